@@ -27,10 +27,14 @@ _PLAIN_TEXT = ("symbol", "company", "sector", "industry", "period_key", "period_
 _WACC_RATE = r"^calc_wacc_.*(?:rate|weight|cost|premium|annual|quarterly)"
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_text(text: Column) -> Column:
     """Direction marks out, runs of blanks and tabs squeezed, ends trimmed."""
     squeezed = F.regexp_replace(F.regexp_replace(text, BIDI_MARKS, ""), r"[ \t]+", " ")
-    return F.regexp_replace(squeezed, r"^\s+|\s+$", "")
+    return stripped(squeezed)
 
 
 def unit_of(name: Column, declared_type: Column) -> Column:
@@ -67,7 +71,7 @@ def caveat_text(sources: list[Column], literal: Column, triggers: str = CAVEAT_T
     """
 
     def picked(text: Column) -> Column:
-        fragments = F.transform(F.split(F.coalesce(text, F.lit("")), FRAGMENT_SPLIT), F.trim)
+        fragments = F.transform(F.split(F.coalesce(text, F.lit("")), FRAGMENT_SPLIT), lambda f: stripped(f))
         return F.filter(fragments, lambda f: f.rlike(triggers))
 
     own = F.when(F.coalesce(literal, F.lit("")) != "", F.array(literal)).otherwise(F.array().cast("array<string>"))

@@ -124,7 +124,7 @@ def table_records(sectioned: DataFrame) -> DataFrame:
     tables = sectioned.filter((F.col("kind") == "table") & (F.get(header, 0) == FIRST_HEADER))
     lines = tables.select("doc_id", "block_no", "section", header.alias("header"), F.posexplode("rows").alias("line", "row"))
     cells = {f: _record_field(F.col("row"), F.col("header"), f) for f in ("variable", *FIELDS)}
-    out = lines.filter("line > 0").withColumns(cells | {"variable": F.trim(cells["variable"])})
+    out = lines.filter("line > 0").withColumns(cells | {"variable": X.stripped(cells["variable"])})
     out = out.filter(F.col("variable").rlike(X.VARIABLE_PATTERN))
     return out.select("doc_id", "block_no", "line", "section", "variable", *FIELDS)
 
@@ -156,7 +156,7 @@ def classification_tokens(sectioned: DataFrame, marker: str = CLASS_MARKER) -> D
     state = F.when(starts, F.lit(True)).when(stops, F.lit(False))
     inside = carry_forward(sectioned, state, "__on").filter(F.col("__on") & paragraph & ~starts)
     tokens = inside.select("doc_id", "block_no", F.posexplode(F.split("text", "[·—]")).alias("pos", "token"))
-    tokens = tokens.withColumn("token", F.trim("token")).filter(F.col("token").rlike(X.TOKEN_PATTERN))
+    tokens = tokens.withColumn("token", X.stripped(F.col("token"))).filter(F.col("token").rlike(X.TOKEN_PATTERN))
     # repeats leave before the list is built: a list holds distinct tokens only
     first = tokens.groupBy("doc_id", "token").agg(F.min(F.struct("block_no", "pos")).alias("at"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "token")))

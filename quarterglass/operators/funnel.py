@@ -232,7 +232,7 @@ def single_gap_firms(panel: DataFrame, n_examples: int = 8) -> DataFrame:
     shown = shown.agg(F.array_join(F.sort_array(F.collect_list("symbol")), ", ")).scalar()
     counts = firms.agg(
         F.sum("zeros").alias("exact_zero_goodwill_rows"),
-        F.count_if("known = 0").alias("firms_goodwill_always_null"),
-        F.count_if("gaps > 0").alias("goodwill_only_missing_firms"),
+        F.count_if(F.col("known") == 0).alias("firms_goodwill_always_null"),
+        F.count_if(F.col("gaps") > 0).alias("goodwill_only_missing_firms"),
     )
     return counts.withColumn("examples", shown)

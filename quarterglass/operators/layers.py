@@ -43,7 +43,7 @@ def benchmark_series(panel: DataFrame, settings: PanelSettings) -> DataFrame:
     """Benchmark rows with their return columns."""
     c = settings.columns
     names = ["symbol", "period_key", "formation_date", "return_window_end", c.fiscal_end, "fwd_return"]
-    names += ["fwd_return_window_unrealized", "momentum_3q", c.forward_return, c.momentum]
+    names += ["fwd_return_window_unrealized", "momentum_3q_clean", c.forward_return, c.momentum]
     return panel.filter("is_benchmark").select(*names).orderBy("symbol", "period_key")
 
 
@@ -55,6 +55,6 @@ def research_view(panel: DataFrame, settings: PanelSettings) -> DataFrame:
     names += ["in_population", "prev_key_gap", "prev_day_gap", "is_consecutive_prev", c.decomposition_status]
     names += [c.quality_flag, c.econ_valid, c.avg_ic, "market_cap", "market_cap_clean"]
     names += settings.trend.feature_columns() + [c.c_ebit, c.c_tax, c.c_ic, "fwd_return"]
-    names += ["fwd_return_window_unrealized", "momentum_3q", "in_evaluation_sample"]
+    names += ["fwd_return_window_unrealized", "momentum_3q_clean", "in_evaluation_sample"]
     names += ["has_level_and_trend_signals", "has_all_contribution_trends"]
     return panel.filter(~F.col("is_benchmark")).select(*dict.fromkeys(names))

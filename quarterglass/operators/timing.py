@@ -43,7 +43,11 @@ def as_of_column(panel: DataFrame, settings: PanelSettings) -> Column:
 
 
 def clean_returns(panel: DataFrame, settings: PanelSettings, as_of: Column) -> DataFrame:
-    """Undo zero-coding of missing returns, momentum, size and price."""
+    """Undo zero-coding of missing returns, momentum, size and price.
+
+    The cleaned momentum is ``momentum_3q_clean``: Spark resolves names without
+    regard to case, so it cannot share the letters of the source column.
+    """
     c, rule = settings.columns, settings.returns
     raw = F.col(c.forward_return)
     momentum = F.col(c.momentum)
@@ -53,7 +57,7 @@ def clean_returns(panel: DataFrame, settings: PanelSettings, as_of: Column) -> D
         "fwd_return": F.when(~pending, raw) if rule.unrealized_to_null else raw,
         "fwd_return_exact_zero_realized": ~pending & is_true(raw == 0),
         "momentum_3q_exact_zero": is_true(momentum == 0),
-        "momentum_3q": zero_to_null(momentum) if rule.momentum_zero_to_null else momentum,
+        "momentum_3q_clean": zero_to_null(momentum) if rule.momentum_zero_to_null else momentum,
     }
     for source, target in rule.zero_means_missing:
         derived[target] = zero_to_null(F.col(source))

@@ -373,7 +373,7 @@ def part_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     style = F.when((b % 8 == 3) & (k % 3 == 0), "Heading 2").otherwise("Normal")
     numbered = F.concat((b % 9 + 1).cast("string"), F.lit("."), F.lit(" "), F.col("p_name"))
     text = (
-        F.when((b == 0) & (k % 3 == 0), F.concat(F.col("size"), F.lit(" עמודות")))
+        F.when((b == 0) & (k % 3 == 0), F.concat(F.lit("Total "), F.col("size"), F.lit(" עמודות")))
         .when(b == 0, F.concat(F.lit("About "), F.col("p_name")))
         .when(b % 8 == 1, numbered)
         .when(b % 8 == 3, F.concat(F.lit("On "), F.col("p_brand")))
