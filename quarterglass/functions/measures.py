@@ -24,9 +24,13 @@ def slope_weights(window: int) -> list[float]:
 
 
 def half_up(value: Column, decimals: int) -> Column:
-    """Round half up with plain double arithmetic."""
+    """Round half up with plain double arithmetic.
+
+    Beyond 2^52 a double has no fraction left, and floor() would not fit a long.
+    """
     scale = float(10**decimals)
-    return F.floor(value * scale + 0.5) / scale
+    scaled = value * scale
+    return F.when(F.abs(scaled) < float(2**52), F.floor(scaled + 0.5) / scale).otherwise(value)
 
 
 def annualise(quarterly: Column) -> Column:

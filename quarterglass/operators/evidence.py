@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarterglass.functions.nulls import is_true, positive_or_null, ratio
 from quarterglass.operators.quantiles import quantile_table
 from quarterglass.operators.sequence import by_entity
+from quarterglass.operators.settle import settle
 from quarterglass.settings import PanelSettings
 
 # Lag classes of the evidence table (label, lowest and highest lag in days).
@@ -46,7 +47,7 @@ def return_alignment(panel: DataFrame, settings: PanelSettings) -> DataFrame:
         ahead = is_true(in_class & F.col("__next_link") & fwd.isNotNull())
         behind = is_true(in_class & F.col("is_consecutive_prev") & bwd.isNotNull())
         cells += [ahead.alias(f"f{i}"), behind.alias(f"b{i}"), F.when(ahead, F.abs(stored - fwd)).alias(f"d{i}")]
-    rows = moved.select(*cells)
+    rows = settle(moved.select(*cells))
 
     def correlation(mask: str, other: str):
         pair = F.corr(F.when(F.col(mask), F.col("fr")), F.when(F.col(mask), F.col(other)))

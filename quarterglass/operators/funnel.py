@@ -40,29 +40,25 @@ MISSING_REASONS = (
 def sample_flow(panel: DataFrame) -> DataFrame:
     """Rows, firms, quarters and first/last quarter per funnel step (A1).
 
-    Distinct counts come from two map-side reductions (per symbol, per
-    quarter) instead of 26 distinct aggregates, which would copy each row 26 times.
+    One pass with two grouping sets, per symbol and per quarter, combined on
+    the map side; 26 distinct aggregates would copy each row 26 times.
     """
     masks = {f"m{i}": F.expr(condition) for i, (_, condition) in enumerate(FLOW_STEPS)}
     flagged = panel.select("symbol", "period_key", *[m.alias(n) for n, m in masks.items()])
-    hits = [F.count_if(n).alias(n) for n in masks]
-    per_firm = flagged.groupBy("symbol").agg(*hits).filter(F.col("symbol").isNotNull())
-    per_quarter = flagged.groupBy("period_key").agg(*hits)
-
-    def lines(frame: DataFrame, key: str) -> DataFrame:
-        return frame.unpivot([key], list(masks), "step_id", "n").filter("n > 0")
-
-    labels = F.create_map(*[F.lit(x) for i, (label, _) in enumerate(FLOW_STEPS) for x in (f"m{i}", label)])
-    steps = panel.sparkSession.range(len(FLOW_STEPS)).select(F.concat(F.lit("m"), F.col("id")).alias("step_id"))
-    firms = lines(per_firm, "symbol").groupBy("step_id").agg(F.count(F.lit(1)).alias("firms"))
-    quarters = lines(per_quarter, "period_key").groupBy("step_id")
-    quarters = quarters.agg(
-        F.sum("n").alias("rows"),
+    grouped = flagged.groupingSets([["symbol"], ["period_key"]], "symbol", "period_key")
+    # grouping_id: 1 for the rows per symbol, 2 for the rows per quarter
+    hits = grouped.agg(*[F.count_if(n).alias(n) for n in masks], F.grouping_id().alias("gid"))
+    lines = hits.unpivot(["symbol", "period_key", "gid"], list(masks), "step_id", "n").filter("n > 0")
+    counted = lines.groupBy("step_id").agg(
+        F.sum(F.when(F.col("gid") == 2, F.col("n"))).alias("rows"),
+        F.count("symbol").alias("firms"),
         F.count("period_key").alias("quarters"),
         F.min("period_key").alias("first_quarter"),
         F.max("period_key").alias("last_quarter"),
     )
-    out = steps.join(quarters, "step_id", "left").join(firms, "step_id", "left")
+    labels = F.create_map(*[F.lit(x) for i, (label, _) in enumerate(FLOW_STEPS) for x in (f"m{i}", label)])
+    steps = panel.sparkSession.range(len(FLOW_STEPS)).select(F.concat(F.lit("m"), F.col("id")).alias("step_id"))
+    out = steps.join(counted, "step_id", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "firms", "quarters")]
     return out.select(labels[F.col("step_id")].alias("step"), *counts, "first_quarter", "last_quarter")
 

@@ -1,0 +1,24 @@
+"""Cut the lineage of a narrow intermediate that several passes read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the shared checkpoint folder; later passes read it from there.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Local
+    sessions get their own; a cluster without one recomputes instead of relying
+    on a disk that goes away with its machine.
+    """
+    session = frame.sparkSession
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = session.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            return frame
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return frame.checkpoint()

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterglass.functions.measures import half_up
 from quarterglass.functions.nulls import positive_or_null, ratio
-from quarterglass.functions.quarters import date_ordinal, month_end_after, ordinal_key, ordinal_quarter, ordinal_year
+from quarterglass.functions.quarters import date_ordinal, month_end_after, ordinal_key
 from quarterglass.operators.fundamentals import add_capital_and_profit, add_roic_drivers
 from quarterglass.operators.sequence import add_lags, add_sequence_info, by_entity, drop_lags, lag_name
-from quarterglass.settings import Columns, SequenceRule
+from quarterglass.settings import Columns, LoadRule, SequenceRule
+from quarterglass.sources.ranges import type_ranges
 
 C = Columns()
 RUN_DATE = "2001-12-01"
@@ -97,70 +98,64 @@ def quarterly_amounts(lines: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _money(cents: Column | str) -> Column:
-    return (F.col(cents) if isinstance(cents, str) else cents) / F.lit(100.0)
-
-
 def raw_statements(spark: SparkSession, sf_dir: str, entity: Entity = PART) -> DataFrame:
-    """Identity and raw statement columns, one row per entity and quarter."""
+    """Identity and raw statement columns, one row per entity and quarter.
+
+    ``m`` = key + quarter decides which cells are missing or zero-coded.
+    """
     q = quarterly_amounts(table(spark, sf_dir, "lineitem"), entity.line_key)
-    about = table(spark, sf_dir, entity.table).select(
-        F.col(entity.table_key).alias("k"),
-        F.expr(entity.company).alias("company"),
-        F.when(F.expr(f"{entity.table_key} % 47 <> 0"), F.expr(entity.sector)).alias("sector"),
-        F.expr(entity.industry).alias("industry"),
+    about = table(spark, sf_dir, entity.table).selectExpr(
+        f"{entity.table_key} AS k",
+        f"{entity.company} AS company",
+        f"CASE WHEN {entity.table_key} % 47 <> 0 THEN {entity.sector} END AS sector",
+        f"{entity.industry} AS industry",
     )
-    rows = q.join(about, "k", "left")
-    benchmark = F.col("k") < 2
-    mixed = F.col("k") + F.col("q_ord")
-    end = F.when(benchmark, month_end_after(F.col("q_ord"), 2)).otherwise(F.col("last_day"))
-    unit_price = F.expr("gross div units")
-    filing_days = 20 + (F.col("k") * 7 + F.col("q_ord")) % 60
-    filing_days = filing_days + F.when(mixed % 5 == 0, 365).when(mixed % 97 == 0, -400).otherwise(0)
-    key = ordinal_key(F.col("q_ord"))
-    symbol = symbol_of(F.col("k"))
-
-    def unless(modulus: int, value: Column) -> Column:
-        return F.when(mixed % modulus != 0, value)
-
-    def zero_every(modulus: int, value: Column) -> Column:
-        return F.when(mixed % modulus == 0, 0.0).otherwise(value)
-
-    return rows.select(
-        F.concat_ws("_", key, symbol).alias("KEY"),
-        symbol.alias("symbol"),
+    ordinal = F.col("q_ord")
+    rows = q.join(about, "k", "left").withColumns(
+        {
+            "symbol": symbol_of(F.col("k")),
+            "period_key": ordinal_key(ordinal),
+            "fiscal_period_end_date": F.when(F.col("k") < 2, month_end_after(ordinal, 2)).otherwise(F.col("last_day")),
+            "m": F.col("k") + ordinal,
+        }
+    )
+    lag_days = "20 + (k * 7 + q_ord) % 60 + CASE WHEN m % 5 = 0 THEN 365 WHEN m % 97 = 0 THEN -400 ELSE 0 END"
+    return rows.selectExpr(
+        "concat_ws('_', period_key, symbol) AS KEY",
+        "symbol",
         "company",
         "sector",
         "industry",
-        key.alias("period_key"),
+        "period_key",
         "q_ord",
-        F.when(~benchmark, ordinal_year(F.col("q_ord"))).alias("period_year"),
-        F.when(~benchmark, F.concat(F.lit("Q"), ordinal_quarter(F.col("q_ord")).cast("string"))).alias("period_quarter"),
-        end.alias("fiscal_period_end_date"),
-        unless(19, F.date_add(end, filing_days.cast("int"))).alias("filing_date"),
-        F.when(~benchmark, F.lit(RUN_DATE).cast("date")).alias("run_date"),
-        _money("ebit_c").alias("ebit"),
-        _money("pretax_c").alias("pretax_income"),
-        _money(-F.col("tax_c")).alias("tax_provision"),
-        _money(F.expr("-(gross div 100)")).alias("interest_expense"),
-        F.when(F.col("least_line") < 7, _money("gross")).alias("total_current_assets"),
-        _money("tcl_c").alias("total_current_liabilities"),
-        F.when(F.col("least_qty") > 2, _money(F.col("units") * 1000)).alias("net_ppe"),
-        _money("gw_c").alias("goodwill"),
-        _money("std_c").alias("short_term_debt_and_capital_lease"),
-        _money("ltd_c").alias("long_term_debt_and_capital_lease"),
-        _money("cash_c").alias("cash_and_cash_equivalents"),
-        _money("sti_c").alias("short_term_investments"),
-        unless(43, zero_every(37, _money(F.col("gross") * 2 - F.col("tcl_c") * 3))).alias("total_stockholders_equity"),
-        _money(F.col("gross") * 3).alias("total_assets"),
-        _money(F.col("gross") + F.col("tcl_c") * 3).alias("total_liabilities"),
-        _money(F.col("gross") * 2 - F.col("tcl_c") * 3).alias("equity"),
-        unless(41, zero_every(23, _money(unit_price * 1000))).alias("market_cap"),
-        unless(31, zero_every(29, _money(unit_price))).alias(C.price),
-        unless(13, zero_every(7, F.lit(0.5))).alias(C.de_reported),
-        _money(F.col("ocf_c") - F.col("capx_c")).alias("free_cash_flow"),
-        _money("capx_c").alias("capx_quarter"),
-        _money("ocf_c").alias("ocf_quarter"),
+        "CASE WHEN k >= 2 THEN CAST(substring(period_key, 1, 4) AS int) END AS period_year",
+        "CASE WHEN k >= 2 THEN substring(period_key, 5, 2) END AS period_quarter",
+        "fiscal_period_end_date",
+        f"CASE WHEN m % 19 <> 0 THEN date_add(fiscal_period_end_date, CAST({lag_days} AS int)) END AS filing_date",
+        f"CASE WHEN k >= 2 THEN date '{RUN_DATE}' END AS run_date",
+        "ebit_c / 100D AS ebit",
+        "pretax_c / 100D AS pretax_income",
+        "-tax_c / 100D AS tax_provision",
+        "-(gross div 100) / 100D AS interest_expense",
+        "CASE WHEN least_line < 7 THEN gross / 100D END AS total_current_assets",
+        "tcl_c / 100D AS total_current_liabilities",
+        "CASE WHEN least_qty > 2 THEN units * 1000 / 100D END AS net_ppe",
+        "gw_c / 100D AS goodwill",
+        "std_c / 100D AS short_term_debt_and_capital_lease",
+        "ltd_c / 100D AS long_term_debt_and_capital_lease",
+        "cash_c / 100D AS cash_and_cash_equivalents",
+        "sti_c / 100D AS short_term_investments",
+        "CASE WHEN m % 43 = 0 THEN NULL WHEN m % 37 = 0 THEN 0D ELSE (gross * 2 - tcl_c * 3) / 100D END"
+        " AS total_stockholders_equity",
+        "gross * 3 / 100D AS total_assets",
+        "(gross + tcl_c * 3) / 100D AS total_liabilities",
+        "(gross * 2 - tcl_c * 3) / 100D AS equity",
+        "CASE WHEN m % 41 = 0 THEN NULL WHEN m % 23 = 0 THEN 0D ELSE (gross div units) * 1000 / 100D END AS market_cap",
+        f"CASE WHEN m % 31 = 0 THEN NULL WHEN m % 29 = 0 THEN 0D ELSE (gross div units) / 100D END AS {C.price}",
+        f"CASE WHEN m % 13 = 0 THEN NULL WHEN m % 7 = 0 THEN 0D ELSE 0.5D END AS {C.de_reported}",
+        "(ocf_c - capx_c) / 100D AS free_cash_flow",
+        "capx_c / 100D AS capx_quarter",
+        "ocf_c / 100D AS ocf_quarter",
     )
 
 
@@ -227,38 +222,34 @@ def price_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranges_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Membership ranges as text, derived from the part key; range_id numbers them."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
-    start = (100 + F.col("k") % 12).cast("int")
-    kind = F.col("k") % 10
-
-    def span(j: int, ticker: Column, lo: Column, hi: Column | None) -> Column:
-        return F.struct(
-            (F.col("k") * 4 + j).alias("range_id"),
-            ticker.alias("ticker"),
-            ordinal_key(lo).alias("start_quarter"),
-            (ordinal_key(hi) if hi is not None else F.lit("")).alias("end_quarter"),
-        )
-
-    own = symbol_of(F.col("k"))
-    stranger = F.concat(F.lit("X"), F.col("k").cast("string"))
-    spans = F.concat(
-        F.when(kind == 0, F.array(span(0, own, start, start + 12), span(1, own, start + 14, None)))
-        .when(kind == 1, F.array(span(0, own, start, start)))
-        .when(kind == 2, F.array(span(0, own, start, start + 8)))
-        .when(kind >= 4, F.array(span(0, own, start, None)))
-        .otherwise(F.array().cast("array<struct<range_id:bigint,ticker:string,start_quarter:string,end_quarter:string>>")),
-        F.when(F.col("k") % 50 == 7, F.array(span(2, stranger, start, None)))
-        .when(F.col("k") % 50 == 8, F.array(span(2, stranger, start, start + 6)))
-        .otherwise(F.array().cast("array<struct<range_id:bigint,ticker:string,start_quarter:string,end_quarter:string>>")),
+    """Membership ranges as text, derived from the part key; range_id numbers them.
+
+    By the key's last digit: 0 two ranges, 1 an empty one, 2 a closed one, 3
+    none, else an open one. Some keys add a ticker (X...) without panel rows.
+    """
+    own = "struct(k * 4 + {j} AS id, symbol AS ticker, s + {lo} AS lo, {hi} AS hi)"
+    stranger = "struct(k * 4 + 2 AS id, concat('X', k) AS ticker, s AS lo, {hi} AS hi)"
+    never = "CAST(NULL AS int)"
+    spans = f"""concat(
+      CASE WHEN k % 10 = 0 THEN array({own.format(j=0, lo=0, hi='s + 12')}, {own.format(j=1, lo=14, hi=never)})
+           WHEN k % 10 = 1 THEN array({own.format(j=0, lo=0, hi='s')})
+           WHEN k % 10 = 2 THEN array({own.format(j=0, lo=0, hi='s + 8')})
+           WHEN k % 10 = 3 THEN array()
+           ELSE array({own.format(j=0, lo=0, hi=never)}) END,
+      CASE WHEN k % 50 = 7 THEN array({stranger.format(hi=never)})
+           WHEN k % 50 = 8 THEN array({stranger.format(hi='s + 6')})
+           ELSE array() END)"""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "CAST(100 + p_partkey % 12 AS int) AS s")
+    listed = parts.withColumn("symbol", symbol_of(F.col("k"))).selectExpr(f"inline({spans})")
+    return listed.select(
+        F.col("id").alias("range_id"),
+        "ticker",
+        ordinal_key(F.col("lo")).alias("start_quarter"),
+        F.coalesce(ordinal_key(F.col("hi")), F.lit("")).alias("end_quarter"),
     )
-    return p.select(F.explode(spans).alias("s")).select("s.*")
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarterglass.settings import LoadRule
-    from quarterglass.sources.ranges import type_ranges
-
     return type_ranges(ranges_text(spark, sf_dir), LoadRule())
 
 
@@ -302,8 +293,6 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fiscal year starts in quarter 1 + n % 4
     shifted = F.col("q_ord") - F.col("n") % 4
     year = F.floor(shifted / 4)
-    from pyspark.sql import Window
-
     ytd = Window.partitionBy("n", "fy").orderBy("q_ord").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("fy", year)
     cents = {n: F.round(F.col(n) * 100).cast("long") for n in ("capx_quarter", "ocf_quarter")}

@@ -632,13 +632,13 @@ sectioned AS (
 put("section_fill", BLOCKS, "SELECT doc_id, b AS block_no, section FROM sectioned")
 TOKENS = """
 harvest AS (
-  SELECT doc_id, upper(name) AS token, min(b) AS pos FROM sectioned WHERE b % 8 = 6 AND kind = 'p' AND length(name) > 3
+  SELECT doc_id, upper(name) AS token, min(b * 10) AS pos FROM sectioned WHERE b % 8 = 6 AND kind = 'p' AND length(name) > 3
   GROUP BY doc_id, upper(name)),
 tokens AS (
   SELECT doc_id, string_agg(token, ' · ' ORDER BY pos) AS tokens FROM (
     SELECT doc_id, token, min(pos) AS pos FROM (
       SELECT doc_id, token, pos FROM harvest
-      UNION ALL SELECT doc_id, upper(p_type), b FROM sectioned WHERE b % 8 = 6 AND kind = 'p' AND regexp_full_match(p_type, '[A-Z_]{4,}'))
+      UNION ALL SELECT doc_id, upper(p_type), b * 10 + 1 FROM sectioned WHERE b % 8 = 6 AND kind = 'p' AND regexp_full_match(p_type, '[A-Z_]{4,}'))
     GROUP BY doc_id, token) GROUP BY doc_id)"""
 FOUND = """
 records AS (

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 def half_up(x: str, decimals: int) -> str:
     scale = f"1e{decimals}"
-    return f"(floor(({x}) * {scale} + 0.5e0) / {scale})"
+    return f"(CASE WHEN abs(({x}) * {scale}) < 4503599627370496e0 THEN floor(({x}) * {scale} + 0.5e0) / {scale} ELSE {x} END)"
 
 
 def steady(x: str) -> str:
-    """Round an order-dependent double: one decimal when large, six otherwise."""
-    return f"CASE WHEN abs({x}) >= 1e3 THEN {half_up(x, 1)} ELSE {half_up(x, 6)} END"
+    """Round an order-dependent double: four decimals when large, nine otherwise."""
+    return f"CASE WHEN abs({x}) >= 1e3 THEN {half_up(x, 4)} ELSE {half_up(x, 9)} END"
 
 
 def div(a: str, b: str) -> str:

@@ -48,9 +48,9 @@ def register(function: Query) -> Query:
 
 
 def steady(value: Column | str) -> Column:
-    """Round an order-dependent double: one decimal when large, six otherwise."""
+    """Round an order-dependent double: four decimals when large, nine otherwise."""
     value = F.col(value) if isinstance(value, str) else value
-    return F.when(F.abs(value) >= 1e3, M.half_up(value, 1)).otherwise(M.half_up(value, 6))
+    return F.when(F.abs(value) >= 1e3, M.half_up(value, 4)).otherwise(M.half_up(value, 9))
 
 
 def with_steady(frame: DataFrame, names: Sequence[str]) -> DataFrame:
