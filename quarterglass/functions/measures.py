@@ -47,14 +47,16 @@ def relative_tolerance(reference: Column, step: float = 1e-9) -> Column:
 def decimals_needed(value: Column, up_to: int) -> Column:
     """Aggregate: smallest d <= up_to at which every value equals its rounding.
 
-    ``up_to + 1`` when no d fits, -1 when there is no value at all.
+    ``up_to + 1`` when no d fits, -1 when there is no value at all. A value that
+    fits d decimals fits d + 1, so the column's need is the largest need of a row.
     """
     tolerance = F.greatest(F.lit(1.0), F.abs(value)) * 1e-9
-    ladder = F.lit(up_to + 1)
+    need = F.lit(up_to + 1)
     for d in range(up_to, -1, -1):
-        fits = F.bool_and(F.abs(value - F.bround(value, d)) <= tolerance)
-        ladder = F.when(fits, F.lit(d)).otherwise(ladder)
-    return F.when(F.count(value) == 0, F.lit(-1)).otherwise(ladder)
+        scale = float(10**d)
+        fits = F.abs(value - F.rint(value * scale) / scale) <= tolerance
+        need = F.when(fits, F.lit(d)).otherwise(need)
+    return F.coalesce(F.max(F.when(value.isNotNull(), need)), F.lit(-1))
 
 
 def three_factor_split(
