@@ -200,7 +200,7 @@ def declared_vs_found(blocks: DataFrame, found: DataFrame, total: str = TOTAL_PA
         (F.col("kind") == "table") & (F.get(header, 0) == GROUP_HEADER[0]) & (F.get(header, 1) == GROUP_HEADER[1])
     )
     groups = groups.groupBy("doc_id").agg(F.min_by("rows", "block_no").alias("rows"))
-    counts = F.transform(F.slice("rows", 2, 1_000_000), lambda r: F.get(r, 1).try_cast("long"))
+    counts = F.transform(F.expr("slice(rows, 2, size(rows))"), lambda r: F.get(r, 1).try_cast("long"))
     groups = groups.select(
         "doc_id", F.aggregate(counts, F.lit(0).cast("long"), lambda s, v: s + F.coalesce(v, F.lit(0))).alias("declared_in_groups")
     )

@@ -13,7 +13,7 @@ from quarterglass.operators import formulas as FO
 from quarterglass.operators import fundamentals as FU
 from quarterglass.operators import source_mapping as SM
 from quarterglass.operators.columns import reconcile_columns
-from quarterglass.operators.quantiles import count_distinct_by, exact_quantiles
+from quarterglass.operators.quantiles import count_distinct_by, exact_quantiles, grid_cell
 from quarterglass.settings import DEFAULTS as S
 
 
@@ -35,6 +35,20 @@ def test_exact_quantiles_match_numpy(spark):
     assert counts == {"a": (30_000, 30_000), "b": (30_000, 5), "c": (1, 1)}
 
 
+def test_grid_cells_keep_the_order(spark):
+    rng = np.random.default_rng(5)
+    edges = [2.0**k for k in range(-60, 60)]
+    values = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000), edges, np.nextafter(edges, 0), [0.0, 5e-324]])
+    values = np.concatenate([values, -values])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", grid_cell(F.col("v")).alias("c"))
+    rows = sorted((r.v, r.c) for r in frame.collect())
+    assert all(a[1] <= b[1] for a, b in zip(rows, rows[1:]))
+    small = frame.withColumn("v", F.col("v"))
+    got = {r.p: r.quantile for r in exact_quantiles(small, ["v"], [0.1, 0.5, 0.77]).collect()}
+    for p, quantile in got.items():
+        assert quantile == pytest.approx(np.quantile(values, p), rel=1e-9)
+
+
 def test_quantiles_of_an_empty_column(spark):
     frame = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     got = {(r.feature, r.p): r.quantile for r in exact_quantiles(frame, ["a", "b"], [0.5]).collect()}
