@@ -6,7 +6,6 @@ from quarterglass.operators.funnel import FLOW_STEPS, MISSING_REASONS
 from quarterglass.operators.fundamentals import combo_names
 from workload.oracle_base import (
     RANGES,
-    SYMBOL,
     W,
     chain,
     div,
@@ -852,4 +851,3 @@ put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND me
       {steady('quantile_cont(a / nullif(b, 0), 0.5)')} AS median_ratio, {steady('quantile_cont(abs((a - b) / nullif(b, 0)), 0.5)')} AS median_relative_deviation
     FROM (SELECT s.{c} AS a, f.{c} AS b FROM stored s JOIN full_panel f USING (symbol, period_key) WHERE s.{c} IS NOT NULL AND f.{c} IS NOT NULL)"""
     for n, c in FIELDS.items()) + ")")
-del SYMBOL

@@ -28,9 +28,9 @@ from quarterglass.operators import signals as SI
 from quarterglass.operators import source_mapping as SM
 from quarterglass.operators import timing as TI
 from quarterglass.operators import uniqueness as UN
-from quarterglass.plans.research_panel import prepared_panel, signal_panel
+from quarterglass.plans.research_panel import prepared_panel
 from quarterglass.plans.run_summary import report_scalars, run_manifest, run_notes
-from quarterglass.settings import DEFAULTS, LoadRule, MembershipRule
+from quarterglass.settings import DEFAULTS, MembershipRule
 from quarterglass.sources import panel_text as PT
 from quarterglass.sources import trade_panel as TP
 from quarterglass.sources.fingerprints import file_fingerprints, fingerprint_diff
@@ -270,7 +270,7 @@ def membership_toggles(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def membership_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """Conflicts appear once the exclusive end becomes inclusive on touching ranges; here over shifted ranges."""
+    """Entity-quarters under two ranges once every closed range is made to end three quarters later."""
     ranges = TP.ranges(spark, d)
     touching = ranges.withColumn("end_ord", F.col("end_ord") + 2)
     return ME.membership_conflicts(ME.membership(TP.raw_statements(spark, d), touching, MembershipRule(end_inclusive=True)))
@@ -319,9 +319,8 @@ def coverage_by_quarter(spark: SparkSession, d: str) -> DataFrame:
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     stocks = TP.raw_statements(spark, d).filter(~F.col("symbol").isin(*S.benchmarks))
-    window = COV.study_window(stocks)
-    first, last = (window.select(n).scalar() for n in ("first_ord", "last_ord"))
-    members = ME.expand_members(TP.ranges(spark, d), S.membership, first, last)
+    bounds = COV.study_window(stocks).select(F.struct("first_ord", "last_ord").alias("b")).scalar()
+    members = ME.expand_members(TP.ranges(spark, d), S.membership, bounds["first_ord"], bounds["last_ord"])
     return COV.coverage_by_quarter(members, stocks)
 
 
@@ -923,8 +922,3 @@ def field_crosscheck(spark: SparkSession, d: str) -> DataFrame:
     fields = ["ebit", C.nopat, C.avg_ic, C.roic_posttax_file]
     out = CC.field_agreement(TP.panel(spark, d), TP.full_precision(spark, d), fields, ["symbol", "period_key"])
     return with_steady(out, ["correlation", "share_within_5pct", "median_ratio", "median_relative_deviation"])
-
-
-def signal_only_columns(spark: SparkSession, d: str) -> list[str]:
-    """Columns of the panel before any return is attached (used by the look-ahead tests)."""
-    return signal_panel(TP.panel(spark, d).drop(C.forward_return, C.momentum), TP.ranges(spark, d), S).columns
