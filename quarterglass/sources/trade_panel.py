@@ -92,7 +92,6 @@ def quarterly_amounts(lines: DataFrame, key: str) -> DataFrame:
     }
     return rows.groupBy("k", "q_ord").agg(
         F.max("day").alias("last_day"),
-        F.min("qty").alias("least_qty"),
         F.min("line").alias("least_line"),
         *[F.sum(F.expr(e)).alias(n) for n, e in sums.items()],
     )
@@ -139,7 +138,7 @@ def raw_statements(spark: SparkSession, sf_dir: str, entity: Entity = PART) -> D
         "-(gross div 100) / 100D AS interest_expense",
         "CASE WHEN least_line < 7 THEN gross / 100D END AS total_current_assets",
         "tcl_c / 100D AS total_current_liabilities",
-        "CASE WHEN least_qty > 2 THEN units * 1000 / 100D END AS net_ppe",
+        "CASE WHEN units % 17 <> 0 THEN units * 1000 / 100D END AS net_ppe",
         "gw_c / 100D AS goodwill",
         "std_c / 100D AS short_term_debt_and_capital_lease",
         "ltd_c / 100D AS long_term_debt_and_capital_lease",

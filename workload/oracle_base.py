@@ -66,7 +66,7 @@ lines AS (
 aligned AS (
   SELECT *, (year(day - INTERVAL 2 MONTH) - 1970) * 4 + quarter(day - INTERVAL 2 MONTH) - 1 AS q_ord FROM lines),
 amounts AS (
-  SELECT k, q_ord, max(day) AS last_day, min(qty) AS least_qty, min(line) AS least_line,
+  SELECT k, q_ord, max(day) AS last_day, min(line) AS least_line,
     CAST(sum(price) AS BIGINT) AS gross, CAST(sum(qty) AS BIGINT) AS units,
     CAST(sum(CASE WHEN returned THEN -(price // 2) ELSE price END) AS BIGINT) AS ebit_c,
     CAST(sum({sign} * ((price * (100 - disc)) // 100)) AS BIGINT) AS pretax_c,
@@ -93,7 +93,7 @@ statements AS (
     ebit_c / 1e2 AS ebit, pretax_c / 1e2 AS pretax_income, -tax_c / 1e2 AS tax_provision,
     -(gross // 100) / 1e2 AS interest_expense,
     CASE WHEN least_line < 7 THEN gross / 1e2 END AS total_current_assets, tcl_c / 1e2 AS total_current_liabilities,
-    CASE WHEN least_qty > 2 THEN units * 1000 / 1e2 END AS net_ppe, gw_c / 1e2 AS goodwill,
+    CASE WHEN units % 17 <> 0 THEN units * 1000 / 1e2 END AS net_ppe, gw_c / 1e2 AS goodwill,
     std_c / 1e2 AS short_term_debt_and_capital_lease, ltd_c / 1e2 AS long_term_debt_and_capital_lease,
     cash_c / 1e2 AS cash_and_cash_equivalents, sti_c / 1e2 AS short_term_investments,
     CASE WHEN (a.k + q_ord) % 43 <> 0 THEN
