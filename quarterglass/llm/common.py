@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 #: White space for ``str.split`` that is not white space here.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Upper-case ASCII letters to lower case, all else kept.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterglass.llm import mixing, sharding
+from quarterglass.llm import mixing, sharding, token_counts, token_store
 from quarterglass.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+
+
+@query
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_tokens(written)
