@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def share(spark: SparkSession, thing: object) -> Broadcast:
+    """A broadcast of an object with its class pickled by value; tasks get it back by ``pickle.loads(shared.value)``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterglass.llm import mixing, sharding, token_counts, token_store
+from quarterglass.llm import decontaminate, mixing, sharding, token_counts, token_store
 from quarterglass.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_store.write_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_store.read_tokens(written)
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
