@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterglass.llm import decontaminate, mixing, near_dup, quality, sharding, token_counts, token_store, toxicity, warc
+from quarterglass.llm import decontaminate, main_text, mixing, near_dup, quality, sharding, token_counts, token_store, toxicity, warc
 from quarterglass.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
