@@ -66,3 +66,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def share(spark: SparkSession, thing: object) -> Broadcast:
     """A broadcast of an object with its class pickled by value; tasks get it back by ``pickle.loads(shared.value)``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame, inside: bool) -> DataFrame:
+    """Rows of ``docs``, all columns kept, whose id is among the one column of ``ids`` (a NULL among NULLs), or is not.
+
+    The other side's column takes a name that the documents don't have.
+    """
+    name, taken = "id", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    other = ids.toDF(name).distinct()
+    return docs.join(other, docs[id_col].eqNullSafe(other[name]), "left_semi" if inside else "left_anti")

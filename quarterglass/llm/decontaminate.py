@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.chunks import Memo
-from quarterglass.llm.common import share
+from quarterglass.llm.common import keep_rows, share
 
 _TERM = re.compile(r"\w+")
 BITS = 64
@@ -208,6 +208,5 @@ def matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, without those that hold an item of the benchmark; rows of NULL id stay."""
-    found = matches(docs, benchmark, **options).select("doc_id").distinct()
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(found.withColumnRenamed("doc_id", "__hit"), docs[id_col] == F.col("__hit"), "left_anti")
+    found = matches(docs, benchmark, **options).select("doc_id").filter("doc_id IS NOT NULL")
+    return keep_rows(docs, options.get("id_col", "doc_id"), found, inside=False)

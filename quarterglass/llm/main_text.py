@@ -152,6 +152,18 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int, least: np.ndar
     return np.cumsum(edge[:-1]) > 0
 
 
+def whole_runs(mask: np.ndarray, run: int) -> np.ndarray:
+    """The covered tokens of a block: all of it, or stretches of a run at least. A run that ends in the next block takes none
+    of that block's first words along."""
+    if not mask.any() or mask.all():
+        return mask
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    out = np.zeros(len(mask), bool)
+    for low, high in edges.reshape(-1, 2):
+        out[low:high] = high - low >= run
+    return out
+
+
 def main_texts(pages: list[list[tuple[str, bool]]], run: int, open_pages: int, main_pages: int, main_share: float) -> list[str]:
     """Main text of each page of a group of one host."""
     known: dict[str, int] = {}
@@ -181,7 +193,7 @@ def main_texts(pages: list[list[tuple[str, bool]]], run: int, open_pages: int, m
             continue
         kept, at = [], low
         for block in blocks:
-            mask = covered[at : at + len(block)]
+            mask = whole_runs(covered[at : at + len(block)], run)
             at += len(block)
             text = " ".join(w for w, c in zip(block, mask, strict=True) if not c)
             if text:

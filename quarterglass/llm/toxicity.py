@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.chunks import Memo
-from quarterglass.llm.common import share
+from quarterglass.llm.common import keep_rows, share
 from quarterglass.llm.labelled import class_weights, held_out, labelled_sample, logit, platt, sigmoid
 
 _TERM = re.compile(r"\w+")
@@ -45,7 +45,7 @@ def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 class Examples:
     """The index of labelled examples; ``score`` gives the calibrated probability and the nearest examples' ids."""
 
-    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, g2: float = 24.0, most_terms: int = 20_000):
+    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, most_terms: int = 20_000):
         self.k, self.block = k, block
         y = np.array([label for _, _, label in rows], int)
         bags, lengths = [], []
@@ -61,9 +61,10 @@ class Examples:
         for bag, label in zip(bags, y, strict=True):
             df[label].update(bag.keys())
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
-        common = [t for t in df[1].keys() | df[0].keys() if df[1][t] + df[0][t] >= 5] if n1 and n0 else []
+        common = [t for t in df[1].keys() | df[0].keys() if df[1][t] + df[0][t] >= 3] if n1 and n0 else []
         gain = _g2(np.array([df[1][t] for t in common], float), np.array([df[0][t] for t in common], float), n1, n0)
-        chosen = sorted((t for t, g in zip(common, gain, strict=True) if g >= g2), key=dict(zip(common, -gain, strict=True)).__getitem__)
+        least = 2 * np.log(max(1.0, len(common) / by_chance))  # about ``by_chance`` terms pass that differ by chance
+        chosen = sorted((t for t, g in zip(common, gain, strict=True) if g >= least), key=dict(zip(common, -gain, strict=True)).__getitem__)
         chosen = sorted(chosen[:most_terms])
         self.terms = {t: i for i, t in enumerate(chosen)}
         self.idf = np.array([1.0 + np.log(len(rows) / (df[0][t] + df[1][t])) for t in chosen])
@@ -193,6 +194,5 @@ def score_toxicity(
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, without those that are predicted toxic; rows of NULL id stay."""
-    id_col = options.get("id_col", "doc_id")
-    rejected = score_toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(rejected, docs[id_col] == F.col("__toxic"), "left_anti")
+    rejected = score_toxicity(docs, labels, **options).filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id")
+    return keep_rows(docs, options.get("id_col", "doc_id"), rejected, inside=False)

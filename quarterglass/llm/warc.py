@@ -33,11 +33,12 @@ GAP, REQUEST = 1 << 16, 1 << 23
 def reversed_host_key(url: Column, page_id: Column) -> Column:
     """``org,example,www)/path?query <page_id>``: host in lower case and reversed, fragment and user left off, control
     characters and spaces as ``%20``; the id keeps captures of one URL apart. NULL and odd URLs have an empty host."""
-    pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^#]*)"
+    pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^#]*)"
     clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20\x7f]", "%20")
-    host = F.regexp_replace(F.lower(F.regexp_extract(clean, pattern, 1)), r":(80|443)?$", "")
-    rest = F.when(clean.rlike(pattern), F.regexp_extract(clean, pattern, 2)).otherwise(clean)
-    surt = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest == "", "/").otherwise(rest))
+    host, port = F.lower(F.regexp_extract(clean, pattern, 1)), F.regexp_extract(clean, pattern, 2)
+    port = F.when(port.isin(":", ":80", ":443"), "").otherwise(port)
+    rest = F.when(clean.rlike(pattern), F.regexp_extract(clean, pattern, 3)).otherwise(clean)
+    surt = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), port, F.lit(")"), F.when(rest == "", "/").otherwise(rest))
     return F.concat(surt, F.lit(" "), F.lpad(F.coalesce(page_id.cast("string"), F.lit("null")), 20, "0"))
 
 
