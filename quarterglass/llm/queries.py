@@ -30,7 +30,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"), tokenizers.PATTERN)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
 
 
 @query

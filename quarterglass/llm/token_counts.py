@@ -9,60 +9,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterglass.llm.chunks import Memo, chunks_of
+from quarterglass.llm.chunks import Memo, Pieces, chunks_of, kept
 from quarterglass.llm.common import settle
 
 
-def _load(path: str):
-    """A tokenizer of the tokenizers library (.json); its file has to be readable on the executors."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def pre_tokens(tokenizer, specials: list[str], pattern: str):
-    """chunk -> its pre-tokens. A special string in it is a pre-token of its own, as the library splits it off first.
-
-    ``pattern`` is the tokenizer's own split; beyond the Latin blocks the library itself splits, since its tables of
-    letters and numbers may be of another Unicode version.
-    """
-    import regex
-
-    split = regex.compile(pattern)
-    special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
-
-    def plain(part: str) -> list[str]:
-        if part.isascii() or max(part) < "ɐ":
-            return split.findall(part)
-        return [part[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(part)]
-
-    def cut(chunk: str) -> list[str]:
-        if special is None or not special.search(chunk):
-            return plain(chunk)
-        out = []
-        for i, part in enumerate(special.split(chunk)):
-            out += [part] if i % 2 else plain(part) if part else []
-        return out
-
-    return cut
-
-
-def _specials(tokenizer) -> list[str]:
-    return [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-
-
-def _frequencies(path: str, pattern: str, most: int = 400_000):
+def _frequencies(path: str, most: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        cut = pre_tokens(tokenizer, _specials(tokenizer), pattern)
+        cut = kept(f"pieces of {path}", lambda: Pieces(path)).split
         chunks: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -86,40 +45,53 @@ def _frequencies(path: str, pattern: str, most: int = 400_000):
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
+        ids = kept(f"pieces of {path}", lambda: Pieces(path)).ids
         for batch in batches:
-            encoded = tokenizer.encode_batch(batch.column("piece").to_pylist(), add_special_tokens=False)
-            counts = pa.array([len(e.ids) for e in encoded], pa.int32())
+            counts = pa.array([len(ids(p)) for p in batch.column("piece").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), counts], ["piece", "n", "n_pieces"])
 
     return run
 
 
-def _documents(path: str, pattern: str, head):
+def _documents(path: str, head):
     """Per document one row with the tokens of its frequent pre-tokens (piece NULL) and one per other pre-token; ``row``
     numbers the input's rows, whatever their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(path)
-        cut = pre_tokens(tokenizer, _specials(tokenizer), pattern)
+        cut = kept(f"pieces of {path}", lambda: Pieces(path)).split
         known = dict(zip(head.value[0].to_pylist(), head.value[1].to_pylist(), strict=True))
 
-        def worth(chunk: str) -> tuple[int, list[str] | None]:
+        others: list[tuple[int, list[str]]] = []
+
+        def worth(chunk: str) -> int:
+            """Its tokens; below 0 the place in ``others`` of a chunk with a pre-token that is not known."""
+            if chunk in known:  # a pre-token is not cut any further
+                return known[chunk]
             parts = cut(chunk)
             rest = [p for p in parts if p not in known]
-            return sum(known.get(p, 0) for p in parts), rest or None
+            if rest:
+                others.append((sum(known.get(p, 0) for p in parts), rest))
+                return -len(others)
+            return sum(known[p] for p in parts)
 
         memo, row = Memo(worth), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, n_bytes, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 row, total, rest = row + 1, 0, {}
-                for chunk, n in Counter(chunks_of(text.as_py() or "")).items():
-                    tokens, parts = memo[chunk]
-                    total += n * tokens
-                    if parts:
+                chunks = chunks_of(text.as_py() or "")
+                for at in range(0, len(chunks), 100_000):
+                    part = chunks[at : at + 100_000]
+                    if len(memo) + len(part) > memo.most:  # places have to stay valid until they are looked up
+                        memo.clear()
+                        others.clear()
+                    worths = np.fromiter(map(memo.__getitem__, part), np.int64, len(part))
+                    total += int(worths[worths >= 0].sum())
+                    for place in worths[worths < 0].tolist():
+                        tokens, parts = others[-place - 1]
+                        total += tokens
                         for p in parts:
-                            rest[p] = rest.get(p, 0) + n
+                            rest[p] = rest.get(p, 0) + 1
                 rows[0].extend([row] * (1 + len(rest)))
                 rows[1].extend([doc_id.as_py(), *[None] * len(rest)])
                 rows[2].extend([n_bytes.as_py(), *[None] * len(rest)])
@@ -146,13 +118,13 @@ def _rows(rows: tuple[list, ...]) -> pa.RecordBatch:
 def count_tokens(
     docs: DataFrame,
     tokenizer_path: str,
-    pattern: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 512,
     head_size: int = 200_000,
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) per row, equal to what the library gives for the whole text.
+    """(doc_id, n_bytes, n_tokens, over_limit) per row, equal to what the tokenizers library gives for the whole text by the
+    file ``tokenizer_path``, which has to be readable on the executors; for tokenizers without a normalizer.
 
     NULL or empty text has no bytes and no tokens. Ids are carried along only: repeated and NULL ids give a row each.
     An empty table gives no row. ``head_size`` bounds the broadcast table of frequent
@@ -161,7 +133,7 @@ def count_tokens(
     spark = docs.sparkSession
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), n_bytes.alias("n_bytes"), F.col(text_col).alias("text"))
-    found = texts.select("text").mapInArrow(_frequencies(tokenizer_path, pattern), "piece string, n long")
+    found = texts.select("text").mapInArrow(_frequencies(tokenizer_path), "piece string, n long")
     distinct = found.groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = settle(distinct.mapInArrow(_pieces(tokenizer_path), "piece string, n long, n_pieces int"), "pieces")
 
@@ -169,7 +141,7 @@ def count_tokens(
     head = top.toArrow()  # head_size rows at most
     shared = spark.sparkContext.broadcast((head.column(0).combine_chunks(), head.column(1).combine_chunks()))
 
-    rows = settle(texts.mapInArrow(_documents(tokenizer_path, pattern, shared), _ROWS), "frequencies")
+    rows = settle(texts.mapInArrow(_documents(tokenizer_path, shared), _ROWS), "frequencies")
     joined = rows.filter("piece IS NOT NULL").join(pieces.select("piece", "n_pieces"), "piece")
     joined = joined.groupBy("row").agg(F.sum(F.col("n") * F.col("n_pieces")).alias("joined"))
     direct = rows.filter("piece IS NULL").select("row", "doc_id", "n_bytes", "n")

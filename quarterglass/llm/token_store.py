@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarterglass.llm.chunks import Memo, chunks_of
+from quarterglass.llm.chunks import Memo, Pieces, chunks_of, kept, packed
 from quarterglass.llm.common import settle, shared_folder
 
 MAGIC = b"QBP1"
@@ -147,13 +147,9 @@ def _batch(columns: list[list], schema: str) -> pa.RecordBatch:
 
 def _write(folder: str, tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        memo = Memo(lambda chunk: np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+        pieces = kept(f"pieces of {tokenizer_path}", lambda: Pieces(tokenizer_path))
+        known = kept(f"ids of {tokenizer_path}", lambda: Memo(lambda piece: packed(pieces.ids(piece)), 800_000))
+        memo = Memo(lambda chunk: pieces.encode(chunk, known))
         end = np.array([end_id], "<u4").tobytes()
         place = TaskContext.get().partitionId()
         # A task that runs again writes a file of its own; only the names that a finished task gives are ever read.
@@ -161,7 +157,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
         files, path = pafs.FileSystem.from_uri(uri)
         files.create_dir(path.rpartition("/")[0], recursive=True)
         with files.open_output_stream(path) as out:
-            writer = Writer(out, width_of(max(tokenizer.get_vocab_size(), end_id + 1)))
+            writer = Writer(out, width_of(max(pieces.tokenizer.get_vocab_size(), end_id + 1)))
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     data = b"".join([memo[c] for c in chunks_of(text.as_py() or "")]) + end
