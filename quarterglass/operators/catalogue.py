@@ -194,7 +194,7 @@ def declared_vs_found(blocks: DataFrame, found: DataFrame, total: str = TOTAL_PA
     """Per document: stated total, sum of the group table, variables extracted (K8)."""
     stated = F.regexp_extract("text", total, 1)
     totals = blocks.filter((F.col("kind") == "p") & F.col("text").rlike(total)).groupBy("doc_id")
-    totals = totals.agg(F.min_by(stated, "block_no").cast("long").alias("declared_total"))
+    totals = totals.agg(F.min_by(stated, "block_no").try_cast("long").alias("declared_total"))
     header = F.get(F.col("rows"), 0)
     groups = blocks.filter(
         (F.col("kind") == "table") & (F.get(header, 0) == GROUP_HEADER[0]) & (F.get(header, 1) == GROUP_HEADER[1])

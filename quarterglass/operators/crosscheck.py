@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarterglass.functions.nulls import is_true
 from quarterglass.operators.quantiles import exact_quantiles
-from quarterglass.operators.settle import settle
 from quarterglass.settings import Columns
 
 
@@ -41,7 +40,7 @@ def crosscheck(panel: DataFrame, price: DataFrame, data: DataFrame, c: Columns)
     }
     mine = ["As_Of_Date", "formation_date", c.forward_return, c.momentum, "fqr_price", "mom_price", "fwd_return"]
     levels = ["roic_pretax_q", "pre_full", "roic_posttax_q", "post_full"]
-    rows = settle(m.withColumns(diffs).select(*mine, *levels, *diffs))
+    rows = m.withColumns(diffs).select(*mine, *levels, *diffs)
 
     def share(condition: Column) -> Column:
         return F.avg(is_true(condition).cast("int"))
@@ -112,7 +111,6 @@ def field_agreement(ours: DataFrame, theirs: DataFrame, fields: list[str], on: l
         *[F.try_divide(a[f], b[f]).alias(f"ratio_{f}") for f in fields],
         *[F.abs(F.try_divide(a[f] - b[f], b[f])).alias(f"dev_{f}") for f in fields],
     )
-    wide = settle(wide)
     lines = [
         F.struct(
             F.lit(f).alias("field"),

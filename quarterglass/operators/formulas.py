@@ -1,9 +1,9 @@
 """Batteries of re-derivation checks.
 
 A check compares a stored value with its re-derivation. The whole battery is
-one projection, settled because it is read again for the medians: counts and
-maxima of every check come from a single aggregation over it, medians from the
-exact-quantile operator.
+one lazy projection: counts and maxima of every check come from a single
+aggregation over it, medians from the exact-quantile operator. A caller for
+whom the input is costly stores it first, as the audit run does.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from quarterglass.functions.nulls import is_true, ratio
 from quarterglass.functions.quarters import aligned_key, key_ordinal
 from quarterglass.operators.quantiles import quantile_table
 from quarterglass.operators.sequence import add_lags, lag_name
-from quarterglass.operators.settle import settle
 from quarterglass.settings import Columns, PanelSettings
 
 
@@ -56,7 +55,7 @@ def summarise(rows: DataFrame, checks: list[Check]) -> DataFrame:
             cells += [deviation.isNotNull().alias(f"t{i}"), is_true(deviation <= tolerance).alias(f"p{i}")]
             cells.append(deviation.alias(f"d{i}"))
             measured.append(f"d{i}")
-    outcome = settle(rows.select(*cells))
+    outcome = rows.select(*cells)
     lines = [
         F.struct(
             F.lit(i + 1).alias("n"),

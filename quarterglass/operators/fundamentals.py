@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterglass.functions.measures import annualise, three_factor_split, total, two_factor_split
@@ -340,9 +340,11 @@ def summarise_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_battery(panel: DataFrame) -> DataFrame:
-    """The upstream quality rules that the panel's columns can express."""
-    jumps = ("goodwill", "net_ppe", "short_term_investments")
-    rows = add_lags(panel, {n: 1 for n in jumps})
+    """The 26 upstream quality rules (B19); ``panel`` has the cost of capital and the trailing cash flow of B9 and B13."""
+    jumps = ("goodwill", "intangible_assets", "net_ppe", "short_term_investments")
+    rows = add_lags(panel, {n: 1 for n in jumps} | {"free_cash_flow": 3, "is_consecutive_prev": 3})
+    rows = rows.withColumn("__same_key", F.count(F.lit(1)).over(Window.partitionBy("symbol", "period_key")))
+    trailing = F.when(unbroken(4), window_sum("free_cash_flow", 4))
     col = F.col
 
     def both(*names: str) -> Column:
@@ -360,6 +362,8 @@ def rule_battery(panel: DataFrame) -> DataFrame:
     parts = col(C.c_ebit) + col(C.c_tax) + col(C.c_ic)
     shares = [f"calc_roic_{n}_absolute_share" for n in ("ebit", "tax", "ic")]
     weights = ("calc_wacc_equity_weight", "calc_wacc_debt_weight")
+    after_tax = col("calc_wacc_cost_of_debt") * (1 - col("calc_wacc_tax_rate"))
+    priced = col("calc_wacc_equity_weight") * col("calc_wacc_cost_of_equity") + col("calc_wacc_debt_weight") * after_tax
     quarterly = 1 + col("calc_wacc_quarterly")
     squared = quarterly * quarterly
     every = F.lit(True)
@@ -370,6 +374,7 @@ def rule_battery(panel: DataFrame) -> DataFrame:
         *[jump_rule(n) for n in jumps],
         Rule("Consecutive reporting periods", col("prev_key_gap").isNotNull(), col("is_consecutive_prev"),
              "Expected a gap of 60-130 days."),
+        Rule("period_key is unique within ticker", col("period_key").isNotNull(), col("__same_key") == 1),
         Rule("Market capitalization is positive", col("market_cap").isNotNull(), col("market_cap") > 0),
         Rule("Equity matches total assets less total liabilities",
              both("equity", "total_assets", "total_liabilities"),
@@ -382,6 +387,10 @@ def rule_battery(panel: DataFrame) -> DataFrame:
         Rule("Enterprise value matches its displayed inputs", col("calc_enterprise_value_quarterly").isNotNull(),
              near(col("calc_enterprise_value_quarterly"), ev),
              "EV includes market capitalization plus debt, less cash and short-term investments."),
+        Rule("Trailing-four-quarter FCF matches four consecutive quarters", col("calc_free_cash_flow_ttm").isNotNull(),
+             near(col("calc_free_cash_flow_ttm"), trailing)),
+        Rule("Quarter-end EV/FCF matches EV divided by trailing FCF", col("calc_ev_to_fcf_quarterly").isNotNull(),
+             near(col("calc_ev_to_fcf_quarterly"), ratio(col("calc_enterprise_value_quarterly"), trailing))),
         Rule("NOPAT Shapley contributions sum to the total change", col("calc_nopat_change_quarterly").isNotNull(),
              near(col("calc_nopat_ebit_contribution") + col("calc_nopat_tax_contribution"), col("calc_nopat_change_quarterly")),
              "Order-independent decomposition is exactly efficient."),
@@ -401,6 +410,8 @@ def rule_battery(panel: DataFrame) -> DataFrame:
              col("calc_roic_offset_ratio").between(-1e-9, 1 + 1e-9),
              "Guaranteed by the triangle inequality on the contributions."),
         Rule("WACC capital weights sum to one", both(*weights), near(total([col(n) for n in weights]), F.lit(1.0))),
+        Rule("WACC matches its weights and component costs", col("calc_wacc_annual").isNotNull(),
+             near(col("calc_wacc_annual"), priced), "E/(D+E) x Re + D/(D+E) x Rd x (1-T)."),
         Rule("Quarterly WACC compounds back to the annual WACC", both("calc_wacc_quarterly", "calc_wacc_annual"),
              near(squared * squared - 1, col("calc_wacc_annual"))),
         Rule("Value-creation verdict is the same annually and quarterly",

@@ -58,6 +58,24 @@ def membership(panel: DataFrame, ranges: DataFrame, rule: MembershipRule) -> Dat
     )
 
 
+def membership_by_rule(panel: DataFrame, ranges: DataFrame, rules: list[MembershipRule]) -> DataFrame:
+    """Row-range matches and entities inside the index under each of several end rules, from one join."""
+    spans = ranges.select(F.col("ticker").alias("symbol"), F.col("start_ord").alias("__start"), F.col("end_ord").alias("__end"))
+    pairs = panel.select("symbol", "q_ord").join(spans, "symbol")
+    inside = [is_true(covers(r, F.col("q_ord"), F.col("__start"), F.col("__end"))) for r in rules]
+    per_entity = pairs.groupBy("symbol").agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(inside)])
+    lines = [
+        F.struct(
+            F.lit(r.end_inclusive).alias("end_inclusive"),
+            F.lit(r.open_end_is_member).alias("open_end_is_member"),
+            F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias("rows_in_index"),
+            F.count_if(F.col(f"n{i}") > 0).alias("firms_in_index"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    return per_entity.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
+
+
 def membership_conflicts(matched: DataFrame) -> DataFrame:
     """Entity-quarters that matched more than one range (Q3)."""
     return (

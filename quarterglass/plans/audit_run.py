@@ -15,7 +15,7 @@ from quarterglass.operators.membership import empty_ranges, expand_members
 from quarterglass.plans.research_panel import build_research_panel
 from quarterglass.plans.run_summary import run_manifest
 from quarterglass.settings import DEFAULTS, PanelSettings
-from quarterglass.sources.fingerprints import file_fingerprints, require_unchanged
+from quarterglass.sources.fingerprints import content_digest, require_unchanged
 from quarterglass.sources.sinks import save_manifest, save_panel, save_table
 
 
@@ -97,18 +97,22 @@ def run_audit(
     settings: PanelSettings = DEFAULTS,
     catalogue: DataFrame | None = None,
     second: SecondSource | None = None,
-    sources: str | list[str] | None = None,
+    verify_source: bool = False,
     parallel: int = 4,
 ) -> list[str]:
     """Write panel, tables and manifest under ``out_dir``; returns the table names.
 
     The panel is written first and read back, so the reports share one scan
     format and a lost executor costs a re-read, not a rebuild. Reports are
-    independent jobs and run ``parallel`` at a time.
+    independent jobs and run ``parallel`` at a time. Rows that share a key are
+    saved before the run stops on them. ``verify_source`` digests ``raw`` before
+    and after and stops if it changed meanwhile.
     """
-    before = file_fingerprints(spark, sources) if sources else None
-    if before is not None:
-        save_table(before, f"{out_dir}/logs/fingerprints")
+    if verify_source:
+        content_digest(raw).write.mode("overwrite").parquet(f"{out_dir}/logs/source_digest")
+    duplicates = uniqueness.duplicated_rows(raw, ("symbol", "q_ord"))
+    if duplicates.limit(1).count():
+        save_table(duplicates, f"{out_dir}/tables/duplicate_rows")
     save_panel(build_research_panel(raw, ranges, settings), f"{out_dir}/data/panel_prepared")
     panel = spark.read.parquet(f"{out_dir}/data/panel_prepared")
     tables = audit_tables(panel, ranges, settings, catalogue, second, raw.columns)
@@ -120,10 +124,6 @@ def run_audit(
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(write, tables))
     save_manifest(run_manifest(panel, ranges, settings), f"{out_dir}/logs/run_manifest")
-    if before is not None:
-        schema = "file string, bytes long, modified timestamp, sha256 string"
-        require_unchanged(
-            spark.read.schema(schema).option("header", True).csv(f"{out_dir}/logs/fingerprints"),
-            file_fingerprints(spark, sources),
-        )
+    if verify_source:
+        require_unchanged(spark.read.parquet(f"{out_dir}/logs/source_digest"), content_digest(raw))
     return done

@@ -1,59 +1,55 @@
-"""Size, time and SHA-256 of source files, and whether a run left them unchanged."""
+"""Content digests of tables, computed by Spark, and whether two states of a table are the same.
 
-from __future__ import annotations
+A column's digest is its number of values and the exact sum over rows of a 48-bit hash of each value's canonical text, so
+it needs one pass with partial sums, depends on no order, and shows which column changed.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def file_fingerprints(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file.
-
-    The scan lists files only (``content`` is not read), and each task streams
-    its files through the digest in 1 MiB blocks, so file size is not limited.
-    """
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
-
-    # nested, so that it travels to executors by value
-    def with_digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-        from urllib.parse import unquote
-
-        from pyarrow import fs
-
-        for files in batches:
-            digests = []
-            for uri in files["path"]:
-                system, path = fs.FileSystem.from_uri(uri)
-                digest = hashlib.sha256()
-                with system.open_input_stream(unquote(path)) as stream:
-                    while chunk := stream.read(1 << 20):
-                        digest.update(chunk)
-                digests.append(digest.hexdigest())
-            yield files.assign(sha256=digests)
-
-    schema = "path string, length long, modificationTime timestamp, sha256 string"
-    digested = listed.mapInPandas(with_digest, schema)
-    return digested.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
-        "sha256",
-    )
-
-
-def fingerprint_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per file: same digest before and after."""
-    old = before.select("file", F.col("sha256").alias("sha_before"))
-    new = after.select("file", F.col("sha256").alias("sha_after"))
-    return old.join(new, "file", "full").withColumn("unchanged", F.col("sha_before").eqNullSafe(F.col("sha_after")))
+from pyspark.sql import types as T
+
+
+def canonical(name: str, kind: T.DataType) -> Column:
+    """Text of a value that other engines write the same: numbers with a fraction in millionths, times in microseconds."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.round(value.cast("double") * 1_000_000).cast("decimal(38,0)").cast("string")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("string")
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(value) if not isinstance(kind, T.MapType) else F.to_json(F.array_sort(F.map_entries(value)))
+    return value.cast("string")
+
+
+def content_digest(frame: DataFrame) -> DataFrame:
+    """(column, n_rows, n_values, checksum): one row per column."""
+    lines = []
+    for field in frame.schema.fields:
+        text = canonical(field.name, field.dataType)
+        piece = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+        lines.append(
+            F.struct(
+                F.lit(field.name).alias("column"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count(text).alias("n_values"),
+                F.coalesce(F.sum(piece), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"),
+            )
+        )
+    return frame.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
+
+
+def digest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per column of two digests: rows before and after, and whether the content is unchanged."""
+    old = before.select("column", F.col("n_rows").alias("rows_before"), F.struct("n_rows", "n_values", "checksum").alias("b"))
+    new = after.select("column", F.col("n_rows").alias("rows_after"), F.struct("n_rows", "n_values", "checksum").alias("a"))
+    joined = old.join(new, "column", "full")
+    return joined.select("column", "rows_before", "rows_after", F.col("b").eqNullSafe(F.col("a")).alias("unchanged"))
 
 
 def require_unchanged(before: DataFrame, after: DataFrame) -> None:
-    """Fail when a source changed during the run (Q5)."""
-    changed = fingerprint_diff(before, after).filter(~F.col("unchanged")).select("file").limit(10).collect()
+    """Fail when a source's content changed during the run (Q5)."""
+    changed = digest_diff(before, after).filter(~F.col("unchanged")).select("column").orderBy("column").limit(10).collect()
     if changed:
-        raise RuntimeError(f"source files changed during the run: {[r.file for r in changed]}")
+        raise RuntimeError(f"source columns changed during the run: {[r.column for r in changed]}")

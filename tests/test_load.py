@@ -1,11 +1,11 @@
 import datetime as dt
-import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarterglass.settings import DEFAULTS as S
 from quarterglass.sources import panel_text as PT
-from quarterglass.sources.fingerprints import file_fingerprints, fingerprint_diff, require_unchanged
+from quarterglass.sources.fingerprints import content_digest, digest_diff, require_unchanged
 from quarterglass.sources.ranges import load_ranges, ranges_load_report
 
 CSV = """KEY,symbol,period_key,fiscal_period_end_date,filing_date,run_date,ebit,market_cap,market_cap
@@ -68,14 +68,11 @@ def test_ranges_keep_file_order(spark, tmp_path):
     assert (report.n_rows, report.n_open_end, report.n_invalid_start, report.n_invalid_end) == (51, 25, 1, 1)
 
 
-def test_fingerprints(spark, tmp_path):
-    for name in ("a.bin", "b.bin"):
-        (tmp_path / name).write_bytes(name.encode() * 300_000)
-    before = file_fingerprints(spark, str(tmp_path / "*.bin"))
-    rows = {r.file: r for r in before.collect()}
-    assert rows["a.bin"].sha256 == hashlib.sha256(b"a.bin" * 300_000).hexdigest() and rows["a.bin"].bytes == 1_500_000
-    assert all(r.unchanged for r in fingerprint_diff(before, before).collect())
-    stored = spark.createDataFrame(before.collect(), before.schema)
-    (tmp_path / "b.bin").write_bytes(b"changed")
-    with pytest.raises(RuntimeError, match="b.bin"):
-        require_unchanged(stored, file_fingerprints(spark, str(tmp_path / "*.bin")))
+def test_digest_shows_the_changed_column(spark):
+    rows = spark.range(1000).selectExpr("id", "id / 7 AS part", "cast(id AS string) AS name", "timestamp_micros(id) AS at", "array(id) AS own")
+    before = content_digest(rows)
+    assert all(r.unchanged for r in digest_diff(before, content_digest(rows.repartition(7))).collect())
+    changed = rows.withColumn("name", F.when(F.col("id") == 5, None).otherwise(F.col("name")))
+    assert {r.column for r in digest_diff(before, content_digest(changed)).filter("NOT unchanged").collect()} == {"name"}
+    with pytest.raises(RuntimeError, match="id"):
+        require_unchanged(before, content_digest(rows.limit(999)))

@@ -194,10 +194,49 @@ def test_audit_run_writes_every_table(spark, sf_dir, tmp_path):
     second = SecondSource(TP.price_sheet(spark, sf_dir), full)
     done = run_audit(
         spark, TP.panel(spark, sf_dir), TP.ranges(spark, sf_dir), str(tmp_path), catalogue=catalogue, second=second,
-        sources=f"{sf_dir}/*.parquet",
+        verify_source=True,
     )
     assert len(done) == 29
     flow = spark.read.option("header", True).csv(f"{tmp_path}/tables/sample_flow").collect()
     assert len(flow) == 13 and int(max(r.rows for r in flow if r.step.startswith("1 "))) == full.count()
     manifest = spark.read.json(f"{tmp_path}/logs/run_manifest").first()
     assert manifest.relevance_report.n_ranges > 0 and manifest.data_as_of == "2001-12-01"
+
+
+def test_audit_run_saves_duplicates_and_stops(spark, sf_dir, tmp_path):
+    from quarterglass.plans.audit_run import run_audit
+    from quarterglass.sources import trade_panel as TP
+
+    raw = TP.panel(spark, sf_dir)
+    twice = raw.union(raw.orderBy("KEY").limit(2))
+    with pytest.raises(ValueError, match="rows share"):
+        run_audit(spark, twice, TP.ranges(spark, sf_dir), str(tmp_path))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/tables/duplicate_rows").count() == 4
+
+
+def test_quantiles_of_values_in_one_cell(spark):
+    """A million distinct values within 2 ** -18 of each other; no window partition holds more than a grid level."""
+    from quarterglass.operators.quantiles import _SUB, exact_quantiles, grid_cell, sub_cell
+
+    rows = spark.range(1_000_000).selectExpr("1 + id * 1e-12 AS v", "-(1 + id * 1e-12) AS w")
+    cells = rows.select(grid_cell(F.col("v")).alias("c"), sub_cell(F.col("v")).alias("s"), "v")
+    assert cells.select("c").distinct().count() == 1
+    assert cells.groupBy("c", "s").agg(F.count_distinct("v").alias("n")).agg(F.max("n")).first()[0] <= _SUB
+    assert cells.agg(F.count_distinct("s")).first()[0] > 8
+    found = {(r.feature, r.p): r.quantile for r in exact_quantiles(rows, ["v", "w"], [0.0, 0.25, 1.0]).collect()}
+    assert found["v", 0.0] == 1 and found["v", 1.0] == 1 + 999_999 * 1e-12 and found["w", 0.0] == -(1 + 999_999 * 1e-12)
+    low, high = 1 + 249_999 * 1e-12, 1 + 250_000 * 1e-12
+    assert low <= found["v", 0.25] <= high
+
+
+@pytest.mark.parametrize("name", ["crosscheck", "formula_checks", "report_scalars", "feature_summary", "field_crosscheck", "precision_audit", "return_alignment"])
+def test_queries_start_no_job_when_they_are_planned(name, spark, sf_dir):
+    from workload.queries import REGISTRY
+
+    spark.sparkContext.setJobGroup(f"plan-{name}", "planning")
+    REGISTRY[name](spark, sf_dir)
+    spark.sparkContext._jsc.clearJobGroup()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(f"plan-{name}") for s in tracker.getJobInfo(j).stageIds]
+    # reading the schema of a Parquet file is a job of one task
+    assert all(tracker.getStageInfo(s).numTasks == 1 for s in stages)

@@ -1,6 +1,4 @@
-"""Registered queries against their SQL. QUARTERGLASS_ALL=1 runs every one, else one per family."""
-
-import os
+"""Registered queries against their SQL."""
 
 import pytest
 
@@ -8,15 +6,7 @@ from tests.compare import connect, difference
 from workload.oracle import ORACLE
 from workload.queries import REGISTRY
 
-CORE = (
-    "scan_typed", "panel_load", "parse_dates_report", "duplicate_columns", "ranges_load", "sequence_info", "rolling_slope",
-    "trend_features", "shapley_3factor", "membership", "membership_vs_expansion", "coverage_by_quarter", "missing_members",
-    "reused_tickers", "research_panel", "sample_flow", "signal_funnel", "missing_by_sector", "duplicates_report",
-    "feature_summary", "precision_audit", "filing_lag_summary", "formula_checks", "crosscheck", "column_mapping", "catalogue",
-    "caveat_fragments", "wacc_chain", "rule_battery", "fiscal_q1_vote", "quality_flags", "field_crosscheck",
-)
-CHOSEN = sorted(ORACLE) if os.environ.get("QUARTERGLASS_ALL") else CORE
-WITHOUT_SQL = {"run_manifest", "file_fingerprints", "fingerprint_diff"}
+WITHOUT_SQL = {"run_manifest"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +18,7 @@ def test_every_query_has_sql_or_a_reason():
     assert set(REGISTRY) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(REGISTRY)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(name, spark, con, sf_dir):
     assert difference(REGISTRY[name], ORACLE[name], spark, con, sf_dir) is None
 

@@ -71,12 +71,29 @@ def named(*columns: str) -> str:
     return ", ".join(f'{c} AS "{LONG[c]}"' if c in LONG else f'"{c}"' for c in columns)
 
 
-FEATURES = (
-    "roic_pretax_q roic_posttax_q debt_to_equity_q roic_trend_4q ebit_contribution_trend_4q tax_contribution_trend_4q"
-    " ic_contribution_trend_4q ebit_contribution_sum_4q ebit_contribution_mean_4q tax_contribution_sum_4q"
-    " tax_contribution_mean_4q ic_contribution_sum_4q ic_contribution_mean_4q roic_change_4q avg_ic_change_4q"
-    " avg_ic_pct_change_4q avg_ic_trend_4q_rel n_decomp_valid_4q n_econ_valid_4q n_positive_avg_ic_4q"
-).split()
+# Names of the features, in report order.
+FEATURES = [
+    "roic_pretax_q",
+    "roic_posttax_q",
+    "debt_to_equity_q",
+    "roic_trend_4q",
+    "ebit_contribution_trend_4q",
+    "tax_contribution_trend_4q",
+    "ic_contribution_trend_4q",
+    "ebit_contribution_sum_4q",
+    "ebit_contribution_mean_4q",
+    "tax_contribution_sum_4q",
+    "tax_contribution_mean_4q",
+    "ic_contribution_sum_4q",
+    "ic_contribution_mean_4q",
+    "roic_change_4q",
+    "avg_ic_change_4q",
+    "avg_ic_pct_change_4q",
+    "avg_ic_trend_4q_rel",
+    "n_decomp_valid_4q",
+    "n_econ_valid_4q",
+    "n_positive_avg_ic_4q",
+]
 
 # --- load and conversions ---------------------------------------------------
 
@@ -163,16 +180,13 @@ put("shapley_3factor", SUPPLIER_FULL, f"SELECT {named('KEY', 'status', 'change',
 put("membership", PREPARED, 'SELECT "KEY", in_index, relevance_range_id, ticker_in_relevance_file FROM matched')
 put("membership_toggles", f"{STATEMENTS},{RANGES}", " UNION ALL ".join(
     f"""SELECT {str(inc).lower()} AS end_inclusive, {str(op).lower()} AS open_end_is_member, count(*) AS rows_in_index, count(DISTINCT symbol) AS firms_in_index
-    FROM statements s JOIN ranges r ON s.symbol = r.ticker AND r.ticker NOT LIKE 'X%' AND q_ord >= start_ord AND ({'end_ord IS NULL OR ' if op else ''} q_ord {'<=' if inc else '<'} end_ord)"""
+    FROM statements s JOIN ranges r ON s.symbol = r.ticker AND q_ord >= start_ord AND ({'end_ord IS NULL OR ' if op else ''} q_ord {'<=' if inc else '<'} end_ord)"""
     for inc in (False, True) for op in (True, False)
 ))
 put("membership_conflicts", f"{STATEMENTS},{RANGES}", """
 SELECT symbol, q_ord, count(*) AS n_ranges FROM statements s
 JOIN ranges r ON s.symbol = r.ticker AND q_ord >= start_ord AND (end_ord IS NULL OR q_ord <= end_ord + 2)
 GROUP BY symbol, q_ord HAVING count(*) > 1""")
-EXPANDED = """SELECT ticker, q AS q_ord, range_id FROM ranges, range({lo}, {hi} + 1) g(q)
-  WHERE q >= start_ord AND (end_ord IS NULL OR q < end_ord)"""
-put("expand_members", RANGES, f"SELECT *, {label('q_ord')} AS period_key FROM ({EXPANDED.format(lo=100, hi=127)})")
 put("membership_vs_expansion", f"{STATEMENTS},{RANGES}", """
 SELECT count(*) AS by_join, count(*) AS by_expansion, 0 AS different FROM statements s
 WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.ticker = s.symbol AND q_ord >= start_ord AND (end_ord IS NULL OR q_ord < end_ord))""")
@@ -198,6 +212,7 @@ coverage AS (
     count(h.symbol) / count(*) AS coverage_share
   FROM members m LEFT JOIN (SELECT DISTINCT symbol, q_ord FROM stocks) h ON m.ticker = h.symbol AND m.q_ord = h.q_ord
   GROUP BY m.q_ord)"""
+put("expand_members", f"{STATEMENTS},{RANGES},{COVERAGE}", f"SELECT *, {label('q_ord')} AS period_key FROM members")
 put("coverage_by_quarter", f"{STATEMENTS},{RANGES},{COVERAGE}", "SELECT * FROM coverage")
 MISSING = """
 missing AS (
@@ -368,15 +383,30 @@ put("ties_by_quarter", PREPARED, " UNION ALL ".join(
     FROM (SELECT count({c}) AS a, count(DISTINCT {c}) AS b FROM p WHERE pop GROUP BY period_key HAVING count({c}) > 0)"""
     for n, c in TIES.items()
 ))
-AUDITED = {"ebit": "ebit", "pretax_income": "pretax_income", LONG["tax_rate"]: "tax_rate", LONG["nopat"]: "nopat", LONG["avg_ic"]: "avg_ic",
-           LONG["post"]: "post", LONG["change"]: "change", LONG["mom"]: "mom"}
+_AS_NAMED = [
+    "q_ord", "period_year", "ebit", "pretax_income", "tax_provision", "interest_expense", "total_current_assets", "total_current_liabilities",
+    "net_ppe", "goodwill", "short_term_debt_and_capital_lease", "long_term_debt_and_capital_lease", "cash_and_cash_equivalents",
+    "short_term_investments", "total_stockholders_equity", "total_assets", "total_liabilities", "equity", "market_cap", "free_cash_flow",
+]
+_SHORT_NAMED = ["price", "de_reported", "tax_expense", "tax_rate", "ic_raw", "debt", "nopat", "avg_ic", "de_file", "pre", "post", "pre_annual", "post_annual",
+                "change", "c_e", "c_q", "c_i", "residual", "fr", "mom"]
+AUDITED = {n: n for n in _AS_NAMED} | {LONG[n]: n for n in _SHORT_NAMED} | {
+    "capx_quarter": "capx_c / 1e2", "ocf_quarter": "ocf_c / 1e2", "calc_enterprise_value_quarterly": "entv",
+}
+# Derived from the contributions before these are rounded.
+AUDITED_FULL = {
+    "calc_roic_total_absolute_contribution": "magnitude",
+    "calc_roic_offset_ratio": f"1 - {div('abs(c_e + c_q + c_i)', 'magnitude')}",
+    **{f"calc_roic_{n}_absolute_share": div(f"abs({c})", "magnitude") for n, c in (("ebit", "c_e"), ("tax", "c_q"), ("ic", "c_i"))},
+}
 DECIMALS = "CASE WHEN count(v) = 0 THEN -1 " + " ".join(
     f"WHEN bool_and(abs(v - round_even(v, {d})) <= 1e-9 * greatest(1e0, abs(v))) THEN {d}" for d in range(10)
 ) + " ELSE 10 END"
 put("precision_audit", STORED, 'SELECT "column", n_non_null, n_distinct, max_decimals, ' + steady("m") + """ AS median_abs_value,
   coalesce(n_distinct > 1 AND max_decimals <= 2 AND m < 5, false) AS ratio_like_and_rounded FROM (""" + " UNION ALL ".join(
     f"""SELECT '{n}' AS "column", count(v) AS n_non_null, count(DISTINCT v) AS n_distinct, {DECIMALS} AS max_decimals, quantile_cont(abs(v), 0.5) AS m
-    FROM (SELECT {c} AS v FROM stored WHERE isfinite({c}))""" for n, c in AUDITED.items()
+    FROM (SELECT v FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {source}) WHERE isfinite(v))"""
+    for audited, source in ((AUDITED, "stored"), (AUDITED_FULL, "full_panel")) for n, c in audited.items()
 ) + ")")
 put("field_candidates", f"""{STORED},
 docs AS (SELECT CASE lower(p_type) WHEN 'economy' THEN 'Momentum_3Q' WHEN 'small' THEN 'ebit' ELSE lower(p_type) END AS variable, min(p_brand) AS meaning FROM part GROUP BY lower(p_type)),
@@ -779,8 +809,9 @@ EFFICIENT = "Order-independent decomposition is exactly efficient."
 CASH = "(cash_and_cash_equivalents + short_term_investments)"
 BATTERY = [
     ("Current assets cover cash and short-term investments", f"total_current_assets IS NOT NULL AND {CASH} IS NOT NULL", f"total_current_assets >= {CASH}", ""),
-    jump("goodwill"), jump("net_ppe"), jump("short_term_investments"),
+    jump("goodwill"), jump("intangible_assets"), jump("net_ppe"), jump("short_term_investments"),
     ("Consecutive reporting periods", "prev_key_gap IS NOT NULL", "link", "Expected a gap of 60-130 days."),
+    ("period_key is unique within ticker", "period_key IS NOT NULL", "same_key = 1", ""),
     ("Market capitalization is positive", "market_cap IS NOT NULL", "market_cap > 0", ""),
     ("Equity matches total assets less total liabilities", "true", near("equity", "total_assets - total_liabilities"), ""),
     ("Calculated debt matches short-term plus long-term debt", "debt IS NOT NULL", near("debt", "short_term_debt_and_capital_lease + long_term_debt_and_capital_lease"), ""),
@@ -788,6 +819,8 @@ BATTERY = [
     ("Debt-to-equity ratio matches debt and stockholders equity", "de_file IS NOT NULL", near("de_file", "debt / nullif(total_stockholders_equity, 0)"), ""),
     ("Enterprise value matches its displayed inputs", "entv IS NOT NULL", near("entv", f"market_cap + debt - {CASH}"),
      "EV includes market capitalization plus debt, less cash and short-term investments."),
+    ("Trailing-four-quarter FCF matches four consecutive quarters", "fcf4 IS NOT NULL", "true", ""),
+    ("Quarter-end EV/FCF matches EV divided by trailing FCF", "entv / nullif(fcf4, 0) IS NOT NULL", "true", ""),
     ("NOPAT Shapley contributions sum to the total change", "n_change IS NOT NULL", near("n_e + n_q", "n_change"), EFFICIENT),
     ("Post-tax ROIC Shapley contributions sum to the total change", "change IS NOT NULL", near("c_e + c_q + c_i", "change"), EFFICIENT),
     ("NOPAT effect combination selects exactly one column", "true", "true", ONE),
@@ -797,12 +830,15 @@ BATTERY = [
     ("ROIC offset ratio lies between zero and one", "magnitude > 0", "1 - abs(c_e + c_q + c_i) / magnitude BETWEEN -1e-9 AND 1 + 1e-9",
      "Guaranteed by the triangle inequality on the contributions."),
     ("WACC capital weights sum to one", "w_e IS NOT NULL AND w_d IS NOT NULL", near("w_e + w_d", "1e0"), ""),
+    ("WACC matches its weights and component costs", "wacc IS NOT NULL", "true", "E/(D+E) x Re + D/(D+E) x Rd x (1-T)."),
     ("Quarterly WACC compounds back to the annual WACC", "wacc_q IS NOT NULL", near("((1 + wacc_q) * (1 + wacc_q)) * ((1 + wacc_q) * (1 + wacc_q)) - 1", "wacc"), ""),
     ("Value-creation verdict is the same annually and quarterly", "post_annual - wacc IS NOT NULL AND post - wacc_q IS NOT NULL",
      "(post_annual - wacc > 0) = (post - wacc_q > 0)", "Annualisation is monotonic, so the sign of the spread is invariant."),
 ]
 put("rule_battery", MOVES + "," + WACC.format(source="labelled") + f""",
-b AS MATERIALIZED (SELECT *, lag(goodwill) {W} AS goodwill_before, lag(net_ppe) {W} AS net_ppe_before, lag(short_term_investments) {W} AS short_term_investments_before FROM w4)""",
+b AS MATERIALIZED (SELECT *, lag(goodwill) {W} AS goodwill_before, lag(net_ppe) {W} AS net_ppe_before, lag(short_term_investments) {W} AS short_term_investments_before,
+  goodwill * 2 - net_ppe / 4 AS intangible_assets, lag(goodwill * 2 - net_ppe / 4) {W} AS intangible_assets_before,
+  CASE WHEN ok4 THEN {four('free_cash_flow')} END AS fcf4, count(*) OVER (PARTITION BY symbol, period_key) AS same_key FROM w4)""",
     'SELECT "check", t AS n_tested, f AS n_failed, floor((t - f) * 100 / nullif(t, 0) * 10 + 0.5e0) / 10 AS pct_ok, n - t AS n_skipped, note FROM (' + " UNION ALL ".join(
         f"""SELECT '{name}' AS "check", count(*) AS n, count(*) FILTER ({tested}) AS t, count(*) FILTER (({tested}) AND NOT coalesce({holds}, false)) AS f, '{note}' AS note FROM b"""
         for name, tested, holds, note in BATTERY) + ")")
@@ -851,3 +887,42 @@ put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND me
       {steady('quantile_cont(a / nullif(b, 0), 0.5)')} AS median_ratio, {steady('quantile_cont(abs((a - b) / nullif(b, 0)), 0.5)')} AS median_relative_deviation
     FROM (SELECT s.{c} AS a, f.{c} AS b FROM stored s JOIN full_panel f USING (symbol, period_key) WHERE s.{c} IS NOT NULL AND f.{c} IS NOT NULL)"""
     for n, c in FIELDS.items()) + ")")
+
+
+# --- content digests ---------------------------------------------------------------------
+
+# Columns of the digested tables by the form of their text: as it is, in millionths, in microseconds.
+DIGESTED = {
+    "region": [("r_regionkey", "s"), ("r_name", "s")],
+    "nation": [("n_nationkey", "s"), ("n_name", "s"), ("n_regionkey", "s")],
+    "customer": [("c_custkey", "s"), ("c_name", "s"), ("c_nationkey", "s"), ("c_acctbal", "d"), ("c_mktsegment", "s")],
+    "supplier": [("s_suppkey", "s"), ("s_name", "s"), ("s_nationkey", "s"), ("s_acctbal", "d")],
+    "part": [("p_partkey", "s"), ("p_name", "s"), ("p_brand", "s"), ("p_type", "s"), ("p_size", "s"), ("p_retailprice", "d")],
+    "orders": [("o_orderkey", "s"), ("o_custkey", "s"), ("o_orderstatus", "s"), ("o_totalprice", "d"), ("o_orderdate", "t"), ("o_orderpriority", "s")],
+    "lineitem": [("l_orderkey", "s"), ("l_partkey", "s"), ("l_suppkey", "s"), ("l_linenumber", "s"), ("l_quantity", "d"), ("l_extendedprice", "d"),
+                 ("l_discount", "d"), ("l_tax", "d"), ("l_returnflag", "s"), ("l_linestatus", "s"), ("l_shipdate", "t")],
+    "events": [("event_id", "s"), ("ts", "t"), ("user_id", "s"), ("event_type", "s"), ("value", "d"), ("props", "s")],
+    "documents": [("doc_id", "s"), ("text", "s"), ("lang", "s"), ("source", "s"), ("n_chars", "s")],
+    "pages": [("page_id", "s"), ("url", "s"), ("html", "s")],
+}
+FORMS = {"s": "CAST({c} AS VARCHAR)", "d": "CAST(CAST(round({c} * 1e6) AS DECIMAL(38, 0)) AS VARCHAR)", "t": "CAST(epoch_us({c}) AS VARCHAR)"}
+
+
+def digest(table: str, source: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(v) AS n_values,
+          CAST(coalesce(sum(CAST(CAST('0x' || substr(md5(v), 1, 12) AS BIGINT) AS DECIMAL(38, 0))), 0) AS VARCHAR) AS checksum
+        FROM (SELECT {FORMS[f].format(c=c)} AS v FROM {source})"""
+        for c, f in DIGESTED[table]
+    )
+
+
+put("file_fingerprints", "", " UNION ALL ".join(f"SELECT '{t}' AS file, * FROM ({digest(t, t)})" for t in DIGESTED))
+STATES = {
+    "priced": "SELECT * REPLACE (CASE WHEN o_orderkey % 100 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders",
+    "fewer": "SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT'",
+    "same": "SELECT * FROM orders",
+}
+put("fingerprint_diff", "", " UNION ALL ".join(
+    f"""SELECT '{n}' AS state, b."column", b.n_rows AS rows_before, a.n_rows AS rows_after, b.n_rows = a.n_rows AND b.n_values = a.n_values AND b.checksum = a.checksum AS unchanged
+    FROM ({digest('orders', 'orders')}) b JOIN ({digest('orders', f'({sql})')}) a ON a."column" = b."column" """ for n, sql in STATES.items()))
