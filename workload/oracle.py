@@ -881,11 +881,13 @@ SELECT o_orderkey, count(*) OVER (PARTITION BY gvkey, period_key) > 1 AS flag_du
   o_orderkey % 3 = 0 AND o_orderkey % 15 <> 0 AS flag_total_liabilities_from_seqq,
   gvkey NOT IN (SELECT gvkey FROM filings WHERE o_orderkey % 2 = 0) AS flag_fcf_fiscal_q1_unresolved,
   o_orderkey % 4 <> 0 AS flag_std_proxy, k % 7 = 0 AS flag_delisted, o_orderkey % 2 <> 0 AS flag_missing_market_cap FROM filings""")
-FIELDS = {"ebit": "ebit", LONG["nopat"]: "nopat", LONG["avg_ic"]: "avg_ic", LONG["post"]: "post"}
+FIELDS = {n: n for n in ("ebit", "pretax_income", "goodwill", "net_ppe", "total_assets", "market_cap")}
+FIELDS |= {LONG[n]: n for n in ("nopat", "avg_ic", "tax_rate", "debt", "pre", "post")}
 put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND median_ratio BETWEEN 0.99 AND 1.01, false) AS accepted FROM (""" + " UNION ALL ".join(
-    f"""SELECT '{n}' AS field, count(*) AS n, {steady('corr(a, b)')} AS correlation, {steady('count(*) FILTER (abs((a - b) / nullif(b, 0)) <= 0.05e0) / count(nullif(b, 0))')} AS share_within_5pct,
+    f"""SELECT '{n}' AS field, count(*) AS n, {steady('corr(a, b)')} AS correlation, {steady('count(*) FILTER (abs((a - b) / nullif(b, 0)) <= 0.05e0) / nullif(count(nullif(b, 0)), 0)')} AS share_within_5pct,
       {steady('quantile_cont(a / nullif(b, 0), 0.5)')} AS median_ratio, {steady('quantile_cont(abs((a - b) / nullif(b, 0)), 0.5)')} AS median_relative_deviation
-    FROM (SELECT s.{c} AS a, f.{c} AS b FROM stored s JOIN full_panel f USING (symbol, period_key) WHERE s.{c} IS NOT NULL AND f.{c} IS NOT NULL)"""
+    FROM (SELECT symbol, period_key, {c} AS a FROM stored) s
+    JOIN (SELECT symbol, period_key, {c} * CASE WHEN q_ord % 5 = 0 THEN 1.1e0 ELSE 1e0 END AS b FROM full_panel) f USING (symbol, period_key) WHERE a IS NOT NULL AND b IS NOT NULL"""
     for n, c in FIELDS.items()) + ")")
 
 

@@ -921,14 +921,17 @@ def ytd_to_quarter(spark: SparkSession, d: str) -> DataFrame:
 @register
 def quality_flags(spark: SparkSession, d: str) -> DataFrame:
     keyed = SM.add_keys(TP.order_filings(spark, d), 0)
-    votes = keyed.filter("o_orderkey % 2 = 0").select("gvkey").distinct()
-    flagged = SM.add_quality_flags(keyed, votes)
+    flagged = SM.add_quality_flags(keyed, keyed.filter("o_orderkey % 2 = 0").select("gvkey").distinct())
     return flagged.select("o_orderkey", *[n for n in flagged.columns if n.startswith("flag_")])
 
 
 @register
 def field_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """The stored panel against its unrounded self on (symbol, period_key)."""
-    fields = ["ebit", C.nopat, C.avg_ic, C.roic_posttax_file]
-    out = CC.field_agreement(TP.panel(spark, d), TP.full_precision(spark, d), fields, ["symbol", "period_key"])
+    """Six direct and six derived fields against a second source on (symbol, period_key): unrounded, a tenth higher in each
+    fifth quarter."""
+    panel, full = TP.panel(spark, d), TP.full_precision(spark, d)
+    fields = ["ebit", "pretax_income", "goodwill", "net_ppe", "total_assets", "market_cap"]
+    fields += [C.nopat, C.avg_ic, C.tax_rate, C.debt, C.roic_pretax_file, C.roic_posttax_file]
+    other = F.when(F.col("q_ord") % 5 == 0, 1.1).otherwise(1.0)
+    out = CC.field_agreement(panel, full.withColumns({n: F.col(n) * other for n in fields}), fields, ["symbol", "period_key"])
     return with_steady(out, ["correlation", "share_within_5pct", "median_ratio", "median_relative_deviation"])
