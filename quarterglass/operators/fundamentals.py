@@ -264,7 +264,10 @@ def add_wacc(panel: DataFrame, cost: CapitalCost = CapitalCost()) -> DataFrame:
             "calc_interest_expense_ttm": sums["__interest"],
             "calc_wacc_average_debt": average_debt,
             "calc_wacc_tax_rate": F.when(rate.isNotNull(), F.greatest(F.lit(0.0), rate)),
+            "calc_wacc_risk_free_rate": F.lit(cost.risk_free),
+            "calc_wacc_equity_risk_premium": F.lit(cost.equity_premium),
             "calc_wacc_cost_of_equity": F.lit(cost.risk_free) + F.lit(cost.equity_premium),
+            "calc_wacc_equity_value": F.col("market_cap"),
             "calc_wacc_total_capital": capital,
             "calc_wacc_equity_weight": ratio(F.col("market_cap"), capital),
             "calc_wacc_debt_weight": ratio(F.col(C.debt), capital),
@@ -282,8 +285,17 @@ def add_wacc(panel: DataFrame, cost: CapitalCost = CapitalCost()) -> DataFrame:
     growth = 1 + F.col("calc_wacc_annual")
     fifth = fourth.withColumn("calc_wacc_quarterly", F.when(growth >= 0, F.sqrt(F.sqrt(growth)) - 1))
     spread = F.col(C.roic_annualized) - F.col("calc_wacc_annual")
+    # The classes of the flag.
+    flag = (
+        F.when(~is_true(whole), "INSUFFICIENT_HISTORY")
+        .when(F.col("market_cap").isNull(), "MISSING_MARKET_CAP")
+        .when(F.col(C.debt).isNull(), "MISSING_DEBT")
+        .when((F.col(C.debt) > 0) & (F.col("calc_interest_expense_ttm") == 0), "DEBT_WITHOUT_INTEREST")
+        .when(F.col("calc_wacc_annual").isNotNull(), "VALID")
+    )
     out = fifth.withColumns(
         {
+            "calc_wacc_quality_flag": flag,
             "calc_wacc_inputs_complete": F.col("calc_wacc_annual").isNotNull(),
             "calc_roic_minus_wacc_annualized": spread,
             "calc_roic_minus_wacc_quarterly": F.col(C.roic_posttax_file) - F.col("calc_wacc_quarterly"),

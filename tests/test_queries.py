@@ -6,7 +6,7 @@ from tests.compare import connect, difference
 from workload.oracle import ORACLE
 from workload.queries import REGISTRY
 
-WITHOUT_SQL = {"run_manifest"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -23,11 +23,6 @@ def test_query_equals_sql(name, spark, con, sf_dir):
     assert difference(REGISTRY[name], ORACLE[name], spark, con, sf_dir) is None
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_queries_without_sql_run(name, spark, sf_dir):
-    assert REGISTRY[name](spark, sf_dir).count() > 0
-
-
 def test_entry(spark, sf_dir):
     import __spark_entry__
 

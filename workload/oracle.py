@@ -780,7 +780,10 @@ w4 AS (SELECT *, CASE WHEN 1 + wacc >= 0 THEN sqrt(sqrt(1 + wacc)) - 1 END AS wa
 put("wacc_chain", SUPPLIER_FULL + "," + WACC.format(source="full_panel"), """
 SELECT "KEY", i_ttm AS calc_interest_expense_ttm, avg_debt AS calc_wacc_average_debt, rd AS calc_wacc_cost_of_debt, t_ttm AS calc_wacc_tax_rate,
   w_e AS calc_wacc_equity_weight, w_d AS calc_wacc_debt_weight, wacc AS calc_wacc_annual, wacc_q AS calc_wacc_quarterly,
-  post_annual - wacc AS calc_roic_minus_wacc_annualized, post - wacc_q AS calc_roic_minus_wacc_quarterly, post_annual - wacc > 0 AS calc_creates_value FROM w4""")
+  post_annual - wacc AS calc_roic_minus_wacc_annualized, post - wacc_q AS calc_roic_minus_wacc_quarterly, post_annual - wacc > 0 AS calc_creates_value,
+  0.0425e0 AS calc_wacc_risk_free_rate, 0.03e0 AS calc_wacc_equity_risk_premium, market_cap AS calc_wacc_equity_value,
+  CASE WHEN NOT coalesce(ok4, false) THEN 'INSUFFICIENT_HISTORY' WHEN market_cap IS NULL THEN 'MISSING_MARKET_CAP' WHEN debt IS NULL THEN 'MISSING_DEBT'
+    WHEN debt > 0 AND i_ttm = 0 THEN 'DEBT_WITHOUT_INTEREST' WHEN wacc IS NOT NULL THEN 'VALID' END AS calc_wacc_quality_flag FROM w4""")
 put("ttm_sum", SUPPLIER_FULL, f"""
 SELECT "KEY", CASE WHEN {OK4} THEN {four('free_cash_flow')} END AS calc_free_cash_flow_ttm,
   {div('entv', f'CASE WHEN {OK4} THEN {four("free_cash_flow")} END')} AS calc_ev_to_fcf_quarterly FROM full_panel""")
@@ -891,6 +894,10 @@ put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND me
     for n, c in FIELDS.items()) + ")")
 
 
+put("run_manifest", PREPARED, f"""SELECT * FROM
+  (SELECT count(*) AS rows_raw, max(run_date) AS data_as_of, count(*) FILTER (pop) AS rows_population, count(*) FILTER (ev) AS rows_evaluation FROM p),
+  ({RETURNS_REPORT}), ({RANGES_REPORT})""")
+
 # --- content digests ---------------------------------------------------------------------
 
 # Columns of the digested tables by the form of their text: as it is, in millionths, in microseconds.

@@ -705,7 +705,8 @@ def report_scalars_query(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def run_manifest_query(spark: SparkSession, d: str) -> DataFrame:
-    return run_manifest(prepared(spark, d), TP.ranges(spark, d), S)
+    flat = run_manifest(prepared(spark, d), TP.ranges(spark, d), S)
+    return flat.select("rows_raw", "data_as_of", "rows_population", "rows_evaluation", "return_cleaning.*", "relevance_report.*")
 
 
 _DIGESTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -843,6 +844,7 @@ def wacc_chain(spark: SparkSession, d: str) -> DataFrame:
     names = ["calc_interest_expense_ttm", "calc_wacc_average_debt", "calc_wacc_cost_of_debt", "calc_wacc_tax_rate"]
     names += ["calc_wacc_equity_weight", "calc_wacc_debt_weight", "calc_wacc_annual", "calc_wacc_quarterly"]
     names += ["calc_roic_minus_wacc_annualized", "calc_roic_minus_wacc_quarterly", "calc_creates_value"]
+    names += ["calc_wacc_risk_free_rate", "calc_wacc_equity_risk_premium", "calc_wacc_equity_value", "calc_wacc_quality_flag"]
     return FU.add_wacc(_fundamentals(spark, d)).select("KEY", *names)
 
 
