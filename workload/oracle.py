@@ -794,6 +794,7 @@ put("identity_checks", NOPAT + "," + WACC.format(source="np") + f", sh AS (SELEC
         ("three-factor residual is zero", "residual IS NOT NULL", "residual", "1e-9"),
         ("two-factor residual is zero", "n_change - (n_e + n_q) IS NOT NULL", "n_change - (n_e + n_q)", relative("n_change")),
         ("absolute shares sum to one", "shares IS NOT NULL", "shares - 1", "1e-9"),
+        ("liabilities and equity sum to assets", "total_liabilities + equity - total_assets IS NOT NULL", "total_liabilities + equity - total_assets", "0.5e0"),
     ], "sh") + ")")
 
 
@@ -878,6 +879,15 @@ put("ytd_to_quarter", LEDGER, f"""
 SELECT gvkey, pk AS period_key, {FLOW.format(y='oancfy', y0='ocf0')} AS oancfy_quarterly, {FLOW.format(y='capxy', y0='capx0')} AS capxy_quarterly,
   {FLOW.format(y='oancfy', y0='ocf0')} - {FLOW.format(y='capxy', y0='capx0')} AS free_cash_flow
 FROM flow LEFT JOIN votes USING (gvkey)""")
+def yearly(c: str, y0: str) -> str:
+    q = FLOW.format(y=c, y0=y0)
+    return f"""SELECT '{c}' AS flow, count(*) FILTER (n = 4) AS years_tested, count(*) FILTER (n = 4 AND abs(s - ytd) <= 0.01e0) AS years_equal FROM (
+    SELECT *, count(v) OVER f AS n, sum(v) OVER f AS s, q - min(q) OVER f AS span FROM (
+      SELECT gvkey, q, {c} AS ytd, {q} AS v, (month(fiscal_period_end_date) - fiscal_q1_month + 12) % 12 = 9 AS last_one FROM flow LEFT JOIN votes USING (gvkey))
+    WINDOW f AS (PARTITION BY gvkey ORDER BY q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE last_one AND span = 3"""
+
+
+put("flow_identity", LEDGER, yearly("oancfy", "ocf0") + " UNION ALL " + yearly("capxy", "capx0"))
 put("quality_flags", FILINGS, """
 SELECT o_orderkey, count(*) OVER (PARTITION BY gvkey, period_key) > 1 AS flag_duplicate_period,
   min(gvkey) OVER (PARTITION BY symbol) <> max(gvkey) OVER (PARTITION BY symbol) AS flag_ticker_collision,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterglass.functions import dates as D
@@ -439,11 +439,15 @@ def benchmark_series(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def row_preservation(spark: SparkSession, d: str) -> DataFrame:
-    """KEY multisets before and after preparation."""
-    before, after = TP.raw_statements(spark, d).select("KEY"), prepared(spark, d).select("KEY")
-    lost = before.exceptAll(after).agg(F.count(F.lit(1)).alias("n")).scalar()
-    added = after.exceptAll(before).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return before.agg(F.count(F.lit(1)).alias("rows_raw")).withColumns({"lost": lost, "added": added})
+    """KEY multisets before and after preparation, from one count per KEY."""
+    before = TP.raw_statements(spark, d).select("KEY", F.lit(1).alias("b"), F.lit(0).alias("a"))
+    after = prepared(spark, d).select("KEY", F.lit(0).alias("b"), F.lit(1).alias("a"))
+    per_key = before.unionByName(after).groupBy("KEY").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    return per_key.agg(
+        F.coalesce(F.sum("b"), F.lit(0)).alias("rows_raw"),
+        F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("lost"),
+        F.coalesce(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))), F.lit(0)).alias("added"),
+    )
 
 
 # --- funnels and structure --------------------------------------------------------
@@ -864,6 +868,7 @@ def identity_checks(spark: SparkSession, d: str) -> DataFrame:
     squared = growth * growth
     weights = col("calc_wacc_equity_weight") + col("calc_wacc_debt_weight")
     shares = M.total([col(f"calc_roic_{n}_absolute_share") for n in ("ebit", "tax", "ic")])
+    balance = col("total_liabilities") + col("equity") - col("total_assets")
     scale = M.relative_tolerance(col("calc_nopat_change_quarterly"))
     checks = [
         FO.Check("capital weights sum to one", "wacc", weights.isNotNull(), weights - 1, 1e-9),
@@ -873,6 +878,7 @@ def identity_checks(spark: SparkSession, d: str) -> DataFrame:
         FO.Check("two-factor residual is zero", "nopat", col("calc_nopat_decomposition_residual").isNotNull(),
                  col("calc_nopat_decomposition_residual"), scale),
         FO.Check("absolute shares sum to one", "roic", shares.isNotNull(), shares - 1, 1e-9),
+        FO.Check("liabilities and equity sum to assets", "balance", balance.isNotNull(), balance, 0.5),
     ]
     return _rounded_checks(FO.summarise(rows, checks)).select("check", "n_tested", "n_pass", "share_pass")
 
@@ -920,6 +926,28 @@ def ytd_to_quarter(spark: SparkSession, d: str) -> DataFrame:
     return flows.select("gvkey", "period_key", "oancfy_quarterly", "capxy_quarterly", fcf.alias("free_cash_flow"))
 
 
+@register
+def flow_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Firm years of four quarters: the quarterly flows sum to the year-to-date value of the last one."""
+    rows = _linked_ledger(spark, d)
+    votes = SM.fiscal_q1_vote(rows)
+    flows = SM.ytd_to_quarter(rows, votes, ["oancfy", "capxy"])
+    w = Window.partitionBy("gvkey").orderBy("q_ord").rowsBetween(-3, 0)
+    last = (F.month("fiscal_period_end_date") - F.col("fiscal_q1_month") + 12) % 12 == 9
+    years = flows.withColumns({f"n_{c}": F.count(f"{c}_quarterly").over(w) for c in ("oancfy", "capxy")})
+    years = years.withColumns({f"s_{c}": F.sum(f"{c}_quarterly").over(w) for c in ("oancfy", "capxy")})
+    years = years.withColumn("span", F.col("q_ord") - F.min("q_ord").over(w)).filter(last & (F.col("span") == 3))
+    lines = [
+        F.struct(
+            F.lit(c).alias("flow"),
+            F.count_if(F.col(f"n_{c}") == 4).alias("years_tested"),
+            F.count_if((F.col(f"n_{c}") == 4) & (F.abs(F.col(f"s_{c}") - F.col(c)) <= 0.01)).alias("years_equal"),
+        )
+        for c in ("oancfy", "capxy")
+    ]
+    return years.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
+
+
 @register
 def quality_flags(spark: SparkSession, d: str) -> DataFrame:
     keyed = SM.add_keys(TP.order_filings(spark, d), 0)
