@@ -87,7 +87,6 @@ class Examples:
         blocks = -(-len(order) // block)
         self.docs = [np.array([p for p, _ in postings[t]], np.int64) for t in range(len(chosen) + 1)]
         self.values = [np.array([w for _, w in postings[t]]) for t in range(len(chosen) + 1)]
-        self.cuts = [np.searchsorted(d, np.arange(blocks + 1) * block) for d in self.docs]
         self.most = np.zeros((len(chosen) + 1, blocks))
         for t, d in enumerate(self.docs):
             np.maximum.at(self.most[t], d // block, self.values[t])
@@ -108,23 +107,33 @@ class Examples:
         return t, w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a term in common, ties by place; exact."""
+        """(places, cosines) of the k nearest examples with a term in common, ties by place; exact.
+
+        The blocks of the highest bounds are scored first, then, at once, all others whose bound reaches the k-th best.
+        """
         bound = weights @ self.most[terms]
-        best_place, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1] - 1e-12:
-                break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                low, high = self.cuts[t][b], self.cuts[t][b + 1]
-                scores[self.docs[t][low:high] - b * self.block] += w * self.values[t][low:high]
-            if 0 <= skip - b * self.block < self.block:
-                scores[skip - b * self.block] = 0.0
-            hit = np.flatnonzero(scores > 0)
-            best_place, best = np.concatenate([best_place, hit + b * self.block]), np.concatenate([best, np.round(scores[hit], 12)])
-            top = np.lexsort((best_place, -best))[: self.k]
-            best_place, best = best_place[top], best[top]
-        return best_place, best
+        docs = np.concatenate([self.docs[t] for t in terms.tolist()])
+        values = np.concatenate([w * self.values[t] for t, w in zip(terms.tolist(), weights.tolist(), strict=True)])
+        lead = np.zeros(len(bound), bool)
+        lead[np.argsort(-bound, kind="stable")[:4]] = True
+        places, cosines = self._best(docs, values, lead, skip)
+        least = cosines[self.k - 1] - 1e-9 if len(cosines) >= self.k else 0.0
+        more = ~lead & (bound > 0) & (bound >= least)
+        if more.any():
+            places, cosines = self._best(docs, values, lead | more, skip)
+        return places[: self.k], cosines[: self.k]
+
+    def _best(self, docs: np.ndarray, values: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scored examples of some blocks, nearest first."""
+        inside = blocks[docs // self.block]
+        scores = np.round(np.bincount(docs[inside], values[inside], len(self.ids)), 12)
+        if skip >= 0:
+            scores[skip] = 0.0
+        hit = np.flatnonzero(scores > 0)
+        if len(hit) > 4 * self.k:  # the k-th best score decides who has to be ordered
+            hit = hit[scores[hit] >= np.partition(scores[hit], -self.k)[-self.k]]
+        order = np.lexsort((hit, -scores[hit]))
+        return hit[order], scores[hit][order]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic votes; an example's vote counts by its nearness and by the rows that it stands for, beside one vote
