@@ -4,8 +4,9 @@ Documents of one shingle set are one class, represented by its smallest id. Each
 every shingle, dealt over bins; an empty bin takes the value of the first filled bin in an order of its own. A bucket
 is a band of equal bins. A bucket of m classes gives m - 1 candidates, from its hub to the others, and the hub is the
 class that meets most others over all its buckets, so that in a group of edited copies it is the text that they came
-from. Every candidate is confirmed on the full shingle sets. Buckets whose members are then still of several components
-take the next hub, round by round.
+from. Every candidate is confirmed on the full shingle sets. What a star misses are links between members of which one
+is not linked to the hub: the classes of buckets that then hold several components are joined exactly, by the rarest
+shingles of each, across components only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.chunks import Memo
-from quarterglass.llm.common import settle
+from quarterglass.llm.common import keep_rows, settle
 from quarterglass.llm.decontaminate import hashed, shingles
 
 
@@ -135,7 +136,6 @@ def near_duplicates(
     bands: int = 30,
     rows: int = 6,
     seed: int = 5,
-    least_rounds: int = 3,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; links have 100 * intersection >= ``percent`` * union.
 
@@ -148,7 +148,8 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     least = next(n for n in range(1, 102) if 100 * n >= percent * (n + 1))  # n of n + 1 shingles may be a link
     sigs = settle(texts.mapInArrow(_signatures(words, bands, rows, least, seed), _SIGNATURES), "signatures")
-    classes = sigs.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep"))
+    # Stored, so that the join with it below has a shuffle on either side and a class of any size is split.
+    classes = settle(sigs.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "classes")
 
     reps = classes.select(F.col("rep").alias("doc")).filter("doc IS NOT NULL")
     banded = sigs.filter(F.size("keys") > 0).join(reps, "doc", "left_semi").select("doc", "n", F.explode("keys").alias("key"))
@@ -157,32 +158,23 @@ def near_duplicates(
     met = shared.groupBy("doc").agg(F.sum("m").alias("met"))
     shared = settle(shared.join(met, "doc").select("key", "doc", "n", F.struct("met", (-F.col("doc")).alias("id")).alias("place")), "places")
 
-    asked = shared.select("doc").distinct()
+    asked = shared.select("doc").distinct().hint("merge")  # one plan at every size
     sets = settle(texts.join(asked, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets(words), "doc long, own array<long>"), "sets")
 
     hubs = shared.groupBy("key").agg(F.max(F.struct("place", "n")).alias("hub"))
-    candidates = _stars(shared, hubs, percent)
+    hubs = hubs.select("key", (-F.col("hub.place.id")).alias("hub"), F.col("hub.n").alias("hub_n"))
+    candidates = settle(_stars(shared.select("key", "doc", "n"), hubs, percent), "candidates")
     links = settle(_confirmed(candidates, sets, percent), "links")
-    tested, labels, turn = candidates, components(links), 1
-    while True:
-        known = shared.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        known = known.join(mixed, "key", "left_semi").join(hubs.select("key", F.col("hub.place").alias("was")), "key")
-        shared = settle(known, "mixed")
-        hubs = settle(shared.filter(F.col("place") < F.col("was")).groupBy("key").agg(F.max(F.struct("place", "n", "component")).alias("hub")), "hubs")
-        if not hubs.limit(1).count():
-            break
-        candidates = _stars(shared, hubs, percent, F.col("component") != F.col("hub.component")).join(tested, ["a", "b"], "left_anti")
-        candidates = settle(candidates, "candidates")
-        found = settle(_confirmed(candidates, sets, percent), "links")
-        turn += 1
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        elif turn >= least_rounds:
-            break
-        tested = tested.unionByName(candidates)
-        shared = shared.select("key", "doc", "n", "place")
+    labels = components(links)
+
+    known = shared.select("key", "doc", "n").join(labels, F.col("doc") == F.col("node"), "left")
+    known = settle(known.select("key", "doc", "n", F.coalesce("component", "doc").alias("component")), "known")
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    apart = settle(known.join(mixed, "key", "left_semi").select("doc", "n", "component").distinct(), "apart")
+    more = _between_components(apart, sets, percent).join(candidates, ["a", "b"], "left_anti")
+    more = settle(_confirmed(more, sets, percent), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     named = sigs.select("doc", "n", "d1", "d2").join(classes.withColumnRenamed("rep", "class"), ["d1", "d2"], "left")
     named = named.join(labels, F.col("class") == F.col("node"), "left")
@@ -192,12 +184,43 @@ def near_duplicates(
     )
 
 
-def _stars(shared: DataFrame, hubs: DataFrame, percent: int, where=None) -> DataFrame:
+def _stars(shared: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's hub and its other members, of sizes that a link allows."""
-    pairs = shared.join(hubs, "key").withColumn("other", -F.col("hub.place.id")).filter("doc != other")
-    pairs = pairs.filter(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-    pairs = pairs if where is None else pairs.filter(where)
-    return pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
+    pairs = shared.join(hubs, "key").filter("doc != hub")
+    pairs = pairs.filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return pairs.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
+
+
+def _between_components(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of ``apart`` (doc, n, component) that may be a link between two components.
+
+    Shingles of one component alone are in no such link. With those first and the others from the rarest on, two sets
+    that are similar enough share one of the first n - ceil(percent * n / 100) + 1 of either; a passage that many
+    documents share is at the end of that order. A set has no such link if too few of its shingles are of several
+    components. Per shingle the members of the largest component are met by the others only.
+    """
+    rows = sets.join(apart, "doc").select("doc", "n", "component", F.explode("own").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = often.filter("low < high").select("s", "often")
+    ordered = rows.join(often, "s").groupBy("doc", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("own"))
+    ordered = ordered.withColumn("k", F.size("own"))
+    least = F.ceil(percent * F.col("n") / 100)
+    ordered = ordered.withColumn("length", (F.col("k") - least + 1).cast("int")).filter("length > 0")
+    first = ordered.select("doc", "n", "k", "component", F.posexplode(F.slice("own", F.lit(1), F.col("length"))).alias("at", "f"))
+    # At the first shingle that two sets have in common, no more than what follows it can be common too.
+    first = settle(first.select("doc", "n", (F.col("k") - F.col("at")).alias("k"), "component", F.col("f.s").alias("s")), "prefixes")
+
+    sizes = first.groupBy("s", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("s").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    largest = settle(largest.select("s", F.col("top.component").alias("top")), "largest")
+    met = first.join(largest, "s")
+    others = met.filter("component != top").select("s", *[F.col(c).alias(f"o_{c}") for c in ("doc", "n", "k", "component")])
+    most = F.least("k", "o_k")  # of the intersection
+    pairs = others.join(
+        met.select("s", "doc", "n", "k", "component"),
+        (others["s"] == met["s"]) & (F.col("component") != F.col("o_component")) & (100 * most >= percent * (F.col("n") + F.col("o_n") - most)),
+    )
+    return pairs.select(F.least("doc", "o_doc").alias("a"), F.greatest("doc", "o_doc").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,6 +235,5 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, with one of each component: that of the smallest id. Rows of NULL id stay only if no
     copy of theirs has an id."""
-    id_col = options.get("id_col", "doc_id")
-    keep = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__kept"))).drop("__kept")
+    kept = near_duplicates(docs, **options).filter("kept").select("doc_id")
+    return keep_rows(docs, options.get("id_col", "doc_id"), kept, inside=True)
