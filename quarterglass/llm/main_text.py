@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterglass.llm.common import settle
+
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe object svg math canvas button select option textarea label dialog menu head title audio video figure".split()
 )
@@ -234,6 +236,7 @@ def extract(
     main_pages: int = 8,
     main_share: float = 0.5,
     group_chars: int = 4_000_000,
+    most_broadcast: int = 100_000,
 ) -> DataFrame:
     """(page_id, url, text, n_chars) per row; blocks are joined by an empty line.
 
@@ -245,9 +248,12 @@ def extract(
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     sizes = base.groupBy("host").agg((F.floor(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_chars) + 1).alias("groups"))
-    # A row of ``sizes`` per host; the hash of the row deals a large host's pages out over its groups.
-    cell = F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-    dealt = base.join(sizes, "host").withColumn("cell", cell)
+    # Hosts of several groups; only these have to meet the pages before they are dealt out. Sent to all tasks while there
+    # are few of them, else joined by host. The hash of the row deals a host's pages out over its groups.
+    large = settle(sizes.filter("groups > 1"), "large-hosts")
+    large = F.broadcast(large) if large.count() <= most_broadcast else large
+    cell = F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
+    dealt = base.join(large, "host", "left").withColumn("cell", cell)
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = dealt.select("cell", "page_id", "url", "html").repartition(n, "cell").sortWithinPartitions("cell", "page_id")
     return together.mapInPandas(_extract(run, open_pages, main_pages, main_share), "page_id long, url string, text string, n_chars long")
