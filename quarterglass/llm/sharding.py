@@ -108,7 +108,9 @@ def shard(
         .withColumn("first_byte", F.col("byte_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("place", F.col("row_start") + F.count("*").over(inside))
     )
-    groups = ordered.groupBy("key").agg(F.min("first_byte").alias("group_byte"), F.sum("size").alias("group_size"))
+    ordered = settle(ordered, "order")
+    # Stored, so that the join below has a shuffle on either side and a group of any size is split.
+    groups = settle(ordered.groupBy("key").agg(F.min("first_byte").alias("group_byte"), F.sum("size").alias("group_size")), "groups")
     together = F.col("group_size") <= F.greatest(F.lit(total / shards / 16.0), F.lit(largest))
     middle = F.when(together, F.col("group_byte") + F.col("group_size") / 2).otherwise(F.col("first_byte") + F.col("size") / 2)
     put = ordered.join(groups, "key").withColumn(
