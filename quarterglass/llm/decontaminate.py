@@ -119,17 +119,14 @@ class Items:
                 for size in self.sizes[k][int(sh[a])]:
                     near[size].append(a)
             for size, places in near.items():
-                span = size - k + 1  # shingles of a window
+                span = min(size - k + 1, len(sh))  # shingles of a window; a shorter document is one window
                 last = len(sh) - span
-                if last < 0:
-                    continue
                 starts = sorted({s for a in places for s in range(max(0, a - span + 1), min(a, last) + 1)})
-                self._windows(k, size, sh, np.array(starts, np.int64), threshold, best)
+                self._windows(k, size, span, sh, np.array(starts, np.int64), threshold, best)
         return best
 
-    def _windows(self, k: int, size: int, sh: np.ndarray, starts: np.ndarray, threshold: float, best: dict) -> None:
+    def _windows(self, k: int, size: int, span: int, sh: np.ndarray, starts: np.ndarray, threshold: float, best: dict) -> None:
         items, bags, prints, tables = self.groups[k, size]
-        span = size - k + 1
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):  # windows that overlap share the sums
             for part in np.array_split(run, len(run) // 4096 + 1):
                 if not len(part):
@@ -147,7 +144,7 @@ class Items:
                         start = int(part[w])
                         score = _similarity(self._bag(k, sh[start : start + span]), bags[i])
                         if score >= threshold and (items[i] not in best or score > best[items[i]][0]):
-                            best[items[i]] = (score, start, size)
+                            best[items[i]] = (score, start, span + k - 1)
 
 
 def _similarity(a: dict[int, float], b: dict[int, float]) -> float:
@@ -184,7 +181,7 @@ def matches(
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): each document's best window for each item at or above the threshold.
 
-    Words are runs of letters and digits in lower case. Items shorter than ``words`` are one shingle; items and documents
+    Words are runs of letters and digits in lower case. A document shorter than an item is compared as a whole. Items shorter than ``words`` are one shingle; items and documents
     without words match nothing, NULL texts are such. Items of NULL id are left out, having no name to report; repeated
     rows of documents are rows of their own, of repeated items the best window counts. Empty tables give no row. The
     benchmark is indexed in blocks of ``block_items`` items, so that what is sent to tasks stays bounded; each block is

@@ -139,6 +139,16 @@ def test_matches_equal_all_windows(spark, odd, nothing):
     assert D.decontaminate(odd, bench).count() == 17 and D.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    items, bench = benchmark(spark)
+    passage = [f"i{k}" for k in range(40)]
+    docs = spark.createDataFrame([(n, " ".join(passage[40 - n :])) for n in range(1, 40)], "doc_id long, text string")
+    found = {r.doc_id: (round(r.similarity, 9), r.first_word, r.n_words) for r in D.matches(docs, bench).filter("item_id = 0").collect()}
+    # All 36 shingles of the item are in no other one, so that they weigh the same.
+    assert found == {n: (round((n - 4) / 36, 9), 0, n) for n in range(33, 40)}
+    assert sorted(r.doc_id for r in D.decontaminate(docs, bench).collect()) == list(range(1, 33))
+
+
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     index = D.Items([(i, " ".join(f"k{i}x{j}" for j in range(20))) for i in range(50)], 5, 6)
