@@ -61,9 +61,13 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The benchmark's index: by (shingle words, item words) the fingerprints' blocks, by shingle its weight."""
+    """The benchmark's index: by (shingle words, item words) the fingerprints' blocks, by shingle its weight.
 
-    def __init__(self, items: list[tuple[int, str | None]], words: int, radius: int):
+    ``whole`` is given where the items are a block of a larger benchmark: the number of all its items, and by shingle words
+    the sorted shingles of several items and how many have them. Of one item is any other, which weighs as unknown ones do.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], words: int, radius: int, whole: tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]] | None = None):
         memo = word_hashes()
         self.radius, self.words = radius, words
         by_size: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
@@ -74,12 +78,19 @@ class Items:
                 by_size[k, len(h)].append((item, shingles(h, k)))
         self.weight: dict[int, dict[int, float]] = {}
         self.known: dict[int, np.ndarray] = {}
-        n = max(1, sum(map(len, by_size.values())))
+        n = max(1, whole[0] if whole else sum(map(len, by_size.values())))
         self.rare = 1.0 + float(np.log(n))
+        self.common: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in {k for k, _ in by_size}:
             df = Counter(int(s) for (kk, _), group in by_size.items() if kk == k for _, sh in group for s in set(sh.tolist()))
-            self.weight[k] = {s: 1.0 + float(np.log(n / c)) for s, c in df.items()}
-            self.known[k] = np.array(sorted(self.weight[k]), np.uint64)
+            self.known[k] = np.array(sorted(df), np.uint64)
+            if whole:
+                several, often = whole[1].get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            else:
+                several = np.array(sorted(s for s, c in df.items() if c > 1), np.uint64)
+                often = np.array([df[s] for s in several.tolist()], np.int64)
+            self.common[k] = several, 1.0 + np.log(n / often)
+            self.weight[k] = dict(zip(self.known[k].tolist(), self.weights(k, self.known[k]).tolist(), strict=True))
         edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
         self.groups = {}
@@ -98,12 +109,17 @@ class Items:
                     self.sizes[k][s].add(size)
 
     def weights(self, k: int, hashes: np.ndarray) -> np.ndarray:
-        known = self.weight[k]
-        return np.array([known.get(s, self.rare) for s in hashes.tolist()])
+        several, weight = self.common[k]
+        out = np.full(len(hashes), self.rare)
+        if len(several):
+            at = np.minimum(np.searchsorted(several, hashes), len(several) - 1)
+            found = several[at] == hashes
+            out[found] = weight[at[found]]
+        return out
 
     def _bag(self, k: int, hashes: np.ndarray) -> dict[int, float]:
-        known = self.weight[k]
-        return {s: n * known.get(s, self.rare) for s, n in Counter(hashes.tolist()).items()}
+        own, counts = np.unique(hashes, return_counts=True)
+        return dict(zip(own.tolist(), (counts * self.weights(k, own)).tolist(), strict=True))
 
     def find(self, words: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of its best window in a document, the earliest of equal ones."""
@@ -169,6 +185,45 @@ def _search(index, threshold: float):
     return run
 
 
+def _item_shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = word_hashes()
+        for batch in batches:
+            for text in batch.column(0):
+                h = hashed(terms_of(text.as_py()), memo)
+                if len(h):
+                    k = min(words, len(h))
+                    own = np.append(np.unique(shingles(h, k)), np.uint64(0)).view(np.int64)
+                    sizes = np.append(np.full(len(own) - 1, k), 0)  # the last row counts the item
+                    yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(own)], ["k", "s"])
+
+    return run
+
+
+def _whole(items: DataFrame, words: int) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Items with words, and by shingle words the sorted shingles of several items with their numbers of items."""
+    rows = items.select("text").mapInArrow(_item_shingles(words), "k int, s long").groupBy("k", "s").agg(F.count("*").alias("often"))
+    found = rows.filter("often > 1 OR k = 0").toArrow()
+    k, s, often = (found.column(c).to_numpy() for c in ("k", "s", "often"))
+    s = s.view(np.uint64)
+    out = {}
+    for size in sorted(set(k.tolist()) - {0}):
+        at = np.flatnonzero(k == size)
+        at = at[np.argsort(s[at])]
+        out[size] = s[at], often[at]
+    return int(often[k == 0].sum()), out
+
+
+def _indexes(items: DataFrame, words: int, radius: int, block_items: int) -> Iterator:
+    """The shared index of each block of the benchmark; an item's repeated rows are in one block."""
+    blocks = max(1, -(-items.count() // block_items))
+    whole = _whole(items, words) if blocks > 1 else None
+    place = F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id"))
+    for b in range(blocks):
+        block = items.filter(F.pmod(place, F.lit(blocks)) == b) if blocks > 1 else items
+        yield share(items.sparkSession, Items([(r.item_id, r.text) for r in block.collect()], words, radius, whole))
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -184,18 +239,14 @@ def matches(
     Words are runs of letters and digits in lower case. A document shorter than an item is compared as a whole. Items shorter than ``words`` are one shingle; items and documents
     without words match nothing, NULL texts are such. Items of NULL id are left out, having no name to report; repeated
     rows of documents are rows of their own, of repeated items the best window counts. Empty tables give no row. The
-    benchmark is indexed in blocks of ``block_items`` items, so that what is sent to tasks stays bounded; each block is
-    searched over all whole texts.
+    benchmark is indexed in blocks of ``block_items`` items; each block is searched over all whole texts. Weights are those
+    of the whole benchmark: beside a block of items, its shingles of several items are sent to tasks, 16 bytes each.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
     parts = []
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = Items([(r.item_id, r.text) for r in block.collect()], words, radius)
-        found = texts.mapInArrow(_search(share(spark, index), threshold), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    for index in _indexes(items, words, radius, block_items):
+        found = texts.mapInArrow(_search(index, threshold), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         parts.append(found)
     out = parts[0]
     for more in parts[1:]:

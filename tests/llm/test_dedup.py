@@ -139,6 +139,17 @@ def test_matches_equal_all_windows(spark, odd, nothing):
     assert D.decontaminate(odd, bench).count() == 17 and D.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_similarities_do_not_depend_on_blocks(spark):
+    shared = [f"s{i}" for i in range(12)]
+    items = [(k, " ".join([*shared, *(f"t{k % 3}x{i}" for i in range(8)), *(f"o{k}x{i}" for i in range(20))])) for k in range(12)]
+    texts = [(k, " ".join([*t.split()[: 38 - k % 4], *shared[: 2 + k % 4]])) for k, t in items]  # ends in shingles of other items
+    texts += [(100 + k, " ".join([*(f"t{(k + 1) % 3}x{i}" for i in range(7)), *t.split()[7:]])) for k, t in items]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): r[2:] for r in D.matches(docs, bench, threshold=0.3, radius=40, block_items=n).collect()} for n in (100, 2))
+    assert one.keys() == many.keys() and len(one) >= len(texts)
+    assert all(abs(one[k][0] - many[k][0]) < 1e-12 and one[k][1:] == many[k][1:] for k in one)
+
+
 def test_documents_shorter_than_an_item_are_one_window(spark):
     items, bench = benchmark(spark)
     passage = [f"i{k}" for k in range(40)]
