@@ -5,7 +5,8 @@ text by its element or its name (those are dropped), or open. The tokens of a ho
 suffixes ordered by doubling, and runs that stand on several distinct pages are covered. What is covered is dropped from
 open blocks, and from articles only where most pages of the host have it, as a notice put into every article would be.
 
-A host of any size is dealt out in groups of pages of bounded length; templates show in every group.
+A host beyond a bounded length is dealt out in groups of its distinct pages. The groups' runs are counted by hashes and
+summed over the host, so that what is covered does not depend on the groups.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.common import settle
+from quarterglass.llm.decontaminate import hashed, shingles, word_hashes
 
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe object svg math canvas button select option textarea label dialog menu head title audio video figure".split()
@@ -166,8 +168,27 @@ def whole_runs(mask: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
+def without(blocks: list[list[str]], covered: np.ndarray, run: int) -> str:
+    """Text of a page's blocks of words without the covered ones."""
+    if not covered.any():
+        return "\n\n".join(map(" ".join, blocks))
+    kept, at = [], 0
+    for block in blocks:
+        mask = whole_runs(covered[at : at + len(block)], run)
+        at += len(block)
+        text = " ".join(w for w, c in zip(block, mask, strict=True) if not c)
+        if text:
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def least_pages(inside: np.ndarray, pages: int, open_pages: int, main_pages: int, main_share: float) -> np.ndarray:
+    """Distinct pages of a host of ``pages`` that make a run boilerplate, by zone."""
+    return np.where(inside, max(main_pages, int(np.ceil(main_share * pages))), open_pages)
+
+
 def main_texts(pages: list[list[tuple[str, bool]]], run: int, open_pages: int, main_pages: int, main_share: float) -> list[str]:
-    """Main text of each page of a group of one host."""
+    """Main text of each page of a host."""
     known: dict[str, int] = {}
     words = [[b.split(" ") for b, _ in page] for page in pages]
     contents: dict[tuple, int] = {}
@@ -184,24 +205,9 @@ def main_texts(pages: list[list[tuple[str, bool]]], run: int, open_pages: int, m
             zone += [inside] * len(block)
         ids += [of_page[k]] * (len(tokens) - low)
         spans[of_page[k]] = (low, len(tokens))
-    in_main = np.array(zone, bool)
-    least = np.where(in_main, max(main_pages, int(np.ceil(main_share * len(spans)))), open_pages)
+    least = least_pages(np.array(zone, bool), len(spans), open_pages, main_pages, main_share)
     covered = repeated_runs(np.array(tokens, np.int64), np.array(ids, np.int64), run, least)
-    out = []
-    for k, blocks in enumerate(words):
-        low, high = spans[of_page[k]]
-        if not covered[low:high].any():
-            out.append("\n\n".join(b for b, _ in pages[k]))
-            continue
-        kept, at = [], low
-        for block in blocks:
-            mask = whole_runs(covered[at : at + len(block)], run)
-            at += len(block)
-            text = " ".join(w for w, c in zip(block, mask, strict=True) if not c)
-            if text:
-                kept.append(text)
-        out.append("\n\n".join(kept))
-    return out
+    return [without(blocks, covered[slice(*spans[of_page[k]])], run) for k, blocks in enumerate(words)]
 
 
 def _extract(run: int, open_pages: int, main_pages: int, main_share: float):
@@ -226,6 +232,101 @@ def _extract(run: int, open_pages: int, main_pages: int, main_share: float):
     return batches
 
 
+_PARSED = "page_id long, url string, host string, d1 long, d2 long, groups long, blocks array<string>, inside array<boolean>"
+
+
+def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages cut into blocks, with a digest of these."""
+    import xxhash
+
+    for frame in frames:
+        pages = [blocks_of(h or "") for h in frame["html"]]
+        digests = [xxhash.xxh3_128_digest("\0".join(b for b, _ in page).encode("utf-8", "surrogatepass")) for page in pages]
+        both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        out = frame.drop(columns="html").assign(d1=both[:, 0], d2=both[:, 1], blocks=[[b for b, _ in p] for p in pages], inside=[[i for _, i in p] for p in pages])
+        yield out[["page_id", "url", "host", "d1", "d2", "groups", "blocks", "inside"]]
+
+
+def _keys(host: str, blocks: list[list[str]], run: int, memo) -> np.ndarray:
+    """Hash of the host and the run that starts at each word, as far as the page goes."""
+    own = shingles(hashed([w for block in blocks for w in block], memo), run)
+    own = (own ^ np.uint64(memo[host])) * np.uint64(0x9E3779B97F4A7C15)
+    return own ^ (own >> np.uint64(31))
+
+
+def _count(run: int):
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(cell, host, whole, key, pages) of each run of a cell, and once the cell's pages, as ``whole``; a cell's pages stand
+        together."""
+        memo, held, last = word_hashes(), [], None
+
+        def counted() -> pd.DataFrame:
+            keys, pages = np.unique(np.concatenate(held), return_counts=True)
+            whole = np.append(np.zeros(len(keys), bool), True)
+            return pd.DataFrame({"cell": last[0], "host": last[1], "whole": whole, "key": np.append(keys.view(np.int64), 0), "pages": np.append(pages, len(held))})
+
+        for frame in frames:
+            for cell, host, blocks in zip(frame["cell"], frame["host"], frame["blocks"], strict=True):
+                if held and last != (cell, host):
+                    yield counted()
+                    held = []
+                last = (cell, host)
+                held.append(np.unique(_keys(host, [b.split(" ") for b in blocks], run, memo)))
+        if held:
+            yield counted()
+
+    return cells
+
+
+def _cover(run: int, open_pages: int, main_pages: int, main_share: float):
+    def cell(pages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        memo, texts = word_hashes(), []
+        whole = int(runs.loc[runs["whole"], "pages"].iloc[0])
+        runs = runs[~runs["whole"]]
+        known, counts = runs["key"].to_numpy(np.int64).view(np.uint64), runs["pages"].to_numpy(np.int64)
+        order = np.argsort(known)
+        known, counts = np.append(known[order], np.uint64(0)), np.append(counts[order], 0)
+        for host, blocks, inside in zip(pages["host"], pages["blocks"], pages["inside"], strict=True):
+            words = [b.split(" ") for b in blocks]
+            own = _keys(host, words, run, memo)
+            at = np.searchsorted(known[:-1], own)
+            found = np.where(known[at] == own, counts[at], 0)
+            least = least_pages(np.repeat(np.array(inside, bool), [len(w) for w in words]), whole, open_pages, main_pages, main_share)
+            edge = np.zeros(len(least) + 1, np.int64)
+            hits = np.flatnonzero(found >= least[: len(own)])
+            np.add.at(edge, hits, 1)
+            np.add.at(edge, hits + run, -1)
+            texts.append(without(words, np.cumsum(edge[:-1]) > 0, run))
+        return pd.DataFrame({"host": pages["host"], "d1": pages["d1"], "d2": pages["d2"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+    return cell
+
+
+def _over_groups(pages: DataFrame, n: int, run: int, open_pages: int, main_pages: int, main_share: float) -> DataFrame:
+    """(page_id, url, text, n_chars) of ``pages`` (page_id, url, html, host, groups) of hosts of several groups.
+
+    Copies of one content are one page, whose text all of them get. A cell is a group of contents of one host.
+    """
+    parsed = settle(pages.select("page_id", "url", "html", "host", "groups").mapInPandas(_parse, _PARSED), "blocks")
+    first = F.min(F.struct("page_id", "inside", "blocks", "groups"))
+    contents = parsed.groupBy("host", "d1", "d2").agg(first.alias("first"))
+    cell = F.xxhash64("host", F.pmod(F.xxhash64("d1"), F.col("first.groups")))
+    contents = contents.select("host", "d1", "d2", cell.alias("cell"), "first.blocks", "first.inside")
+    contents = settle(contents, "contents")
+
+    together = contents.select("cell", "host", "blocks").repartition(n, "cell").sortWithinPartitions("cell", "host")
+    counts = settle(together.mapInPandas(_count(run), "cell long, host string, whole boolean, key long, pages long"), "runs")
+    sums = counts.groupBy("host", "whole", "key").agg(F.sum("pages").alias("pages"))
+    often = sums.filter(F.col("whole") | (F.col("pages") >= min(open_pages, main_pages)))
+    runs = counts.drop("pages").join(often, ["host", "whole", "key"]).select("cell", "whole", "key", "pages")
+
+    grouped = contents.groupBy("cell").cogroup(runs.groupBy("cell"))
+    texts = grouped.applyInPandas(_cover(run, open_pages, main_pages, main_share), "host string, d1 long, d2 long, text string, n_chars long")
+    # Stored, so that the join has a shuffle on either side and a content of any number of copies is split.
+    texts = settle(texts, "texts")
+    return parsed.select("page_id", "url", "host", "d1", "d2").join(texts.hint("merge"), ["host", "d1", "d2"]).select("page_id", "url", "text", "n_chars")
+
+
 def extract(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -242,18 +343,20 @@ def extract(
 
     NULL and empty html give empty text. Pages without a readable host are a host of their own kind; NULL urls too. Rows
     that are repeated are rows of their own, and pages of equal blocks count as one when repeats are looked for. A run of
-    ``run`` words is boilerplate on ``open_pages`` distinct pages, in articles on ``main_share`` of the group's pages and
-    at least ``main_pages``. An empty table gives no row.
+    ``run`` words is boilerplate on ``open_pages`` distinct pages, in articles on ``main_share`` of the host's distinct pages
+    and at least ``main_pages``. An empty table gives no row.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     sizes = base.groupBy("host").agg((F.floor(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_chars) + 1).alias("groups"))
-    # Hosts of several groups; only these have to meet the pages before they are dealt out. Sent to all tasks while there
-    # are few of them, else joined by host. The hash of the row deals a host's pages out over its groups.
+    # Hosts of several groups. Sent to all tasks while there are few of them, else joined by host.
     large = settle(sizes.filter("groups > 1"), "large-hosts")
-    large = F.broadcast(large) if large.count() <= most_broadcast else large
-    cell = F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    dealt = base.join(large, "host", "left").withColumn("cell", cell)
+    n_large = large.count()
+    large = F.broadcast(large) if n_large <= most_broadcast else large
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = dealt.select("cell", "page_id", "url", "html").repartition(n, "cell").sortWithinPartitions("cell", "page_id")
-    return together.mapInPandas(_extract(run, open_pages, main_pages, main_share), "page_id long, url string, text string, n_chars long")
+    small = base.join(large, "host", "left_anti") if n_large else base
+    together = small.withColumn("cell", F.xxhash64("host")).select("cell", "page_id", "url", "html").repartition(n, "cell").sortWithinPartitions("cell", "page_id")
+    out = together.mapInPandas(_extract(run, open_pages, main_pages, main_share), "page_id long, url string, text string, n_chars long")
+    if n_large:
+        out = out.unionByName(_over_groups(base.join(large, "host"), n, run, open_pages, main_pages, main_share))
+    return out

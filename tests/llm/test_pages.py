@@ -110,6 +110,25 @@ def test_template_of_a_host_goes_and_copies_stay(spark):
     assert found[90] == found[91] == "" and found[92] == notice and not M.extract(frame.limit(0)).collect()
 
 
+def test_groups_of_a_host_do_not_change_its_text(spark):
+    text = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    rows = []
+    for k in range(60):
+        notice = f"<div>{text('rare')}</div>" if k % 20 == 0 else f"<div>{text('two')}</div>" if k % 30 == 1 else ""
+        thanks = f"<p>{text('most')}</p>" if k % 3 else f"<p>{text('few')}</p>" if k < 30 else ""
+        rows.append((k, f"http://h.example/{k}", f"{notice}<article><p>{text(f'a{k}x')}</p>{thanks}</article><div>{text(f'b{k}x')}</div>"))
+    rows += [(100 + k, f"http://h.example/c{k}", f"<script>{k}</script><div>{text('copy')}</div>") for k in range(9)]
+    rows += [(200 + k, f"http://h.example/e{k}", None) for k in range(3)] + [(None, "http://h.example/n", f"<div>{text('rare')} and more</div>")] * 2
+    rows += [(300, "http://other.example/", f"<div>{text('rare')}</div>"), (301, None, "<p>none")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    one, many = (sorted(map(tuple, M.extract(frame, group_chars=n).collect()), key=str) for n in (4_000_000, 1500))
+    assert one == many and len(one) == len(rows)
+    found = {r[0]: r[2] for r in many}
+    assert not any(text("rare") in found[k] for k in (0, 20, 40, None)) and text("two") in found[1] and text("rare") in found[300]
+    assert not any(text("most") in found[k] for k in range(60)) and all(text("few") in found[k] for k in range(0, 30, 3))
+    assert all(found[100 + k] == text("copy") for k in range(9))
+
+
 def test_articles_of_all_pages(spark, sf_dir):
     import re
     from html import unescape
