@@ -26,6 +26,8 @@ from quarterglass.llm.decontaminate import hashed, shingles, word_hashes
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe object svg math canvas button select option textarea label dialog menu head title audio video figure".split()
 )
+#: Main text inside an article, figures with captions, tables and listings in them.
+KEPT = frozenset(("figure", "math"))
 #: Elements whose content is no markup.
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 MAIN = frozenset(("article", "main"))
@@ -47,10 +49,10 @@ _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_dropped(tag: str, rest: str, in_main: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_main:
+def _is_dropped(tag: str, rest: str, in_main: bool, in_article: bool) -> bool:
+    if tag in DROPPED and not (in_main and tag in KEPT) or tag == "header" and not in_main:
         return True
-    if rest and tag not in ("html", "body", "article", "main"):
+    if rest and (tag not in ("html", "body", "article", "main") or tag == "article" and in_article):
         for m in _NAMED.finditer(rest):
             if NAMES & set(_PART.findall((m[1] or m[2] or m[3] or "").lower())):
                 return True
@@ -58,11 +60,35 @@ def _is_dropped(tag: str, rest: str, in_main: bool) -> bool:
     return False
 
 
+def _closed(page: str) -> set[int]:
+    """Places of the elements that are closed before their body is."""
+    out: set[int] = set()
+    is_open: dict[str, list[int]] = {}
+    at = 0
+    while found := _TOKEN.search(page, at):
+        at, tag = found.end(), (found[2] or "").lower()
+        if not tag or tag in VOID or not found[1] and found[3].endswith("/"):
+            continue
+        if found[1]:
+            if tag in ("body", "html"):
+                is_open.clear()
+            elif is_open.get(tag):
+                out.add(is_open[tag].pop())
+        elif tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        else:
+            is_open.setdefault(tag, []).append(found.start())
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[str, bool]]:
     """(text, inside an article) of each block that is not dropped, in page order."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    main, dropped, depth, at = 0, "", 0, 0
+    main, articles, dropped, depth, at = 0, 0, "", 0, 0
+    since, inner = 0, 0  # where the dropped part starts, and articles open in it
+    closed: set[int] | None = None
 
     def close() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -89,34 +115,45 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
                     depth -= 1
                     if not depth:
                         dropped = ""
+                    continue
+                elif tag in MAIN and inner:
+                    inner -= 1
                 elif tag in ("body", "html") or tag in MAIN and main:
                     dropped, depth = "", 0
-            if not dropped and tag in BLOCKS:
+            if not dropped and tag in BLOCKS and not (tag == "math" and main):
                 close()
                 if tag in MAIN and main:
                     main -= 1
+                    articles -= tag == "article" and articles > 0
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag in KEPT and main and not dropped):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             if not dropped and tag in BLOCKS:
                 close()
             continue
         if dropped:
-            if tag in MAIN:  # what was opened before is not closed
-                dropped, depth = "", 0
-            else:
-                depth += tag == dropped and tag not in VOID and not found[3].endswith("/")
+            reopens = tag in MAIN and not articles
+            if reopens and tag == "article":  # only what was opened before and is not closed
+                closed = _closed(page) if closed is None else closed
+                reopens = since not in closed
+            if not reopens:
+                if tag == dropped:
+                    depth += tag not in VOID and not found[3].endswith("/")
+                else:
+                    inner += tag in MAIN
                 continue
-        if tag in BLOCKS:
+            dropped, depth = "", 0
+        if tag in BLOCKS and not (tag == "math" and main):
             close()
         elif tag == "br":
             held.append(" ")
-        if tag in MAIN:
-            main += 1
-        elif tag not in VOID and not found[3].endswith("/") and _is_dropped(tag, found[3], main > 0):
+        if tag not in VOID and not (found[3].endswith("/") and tag not in MAIN) and _is_dropped(tag, found[3], main > 0, articles > 0):
             close()
-            dropped, depth = tag, 1
+            dropped, depth, since, inner = tag, 1, found.start(), 0
+        elif tag in MAIN:
+            main += 1
+            articles += tag == "article"
     close()
     return out
 

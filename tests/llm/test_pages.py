@@ -82,6 +82,28 @@ def test_blocks():
     assert M.blocks_of("<script>never closed <p>x") == [] and M.blocks_of("<!-- open <p>x") == []
 
 
+def test_figures_and_math_of_an_article_stay():
+    figure = "<figure class=wide><pre>x = 1</pre><table><tr><td>cell</table><img src=a><figcaption>Caption</figcaption></figure>"
+    math = "so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds"
+    own = lambda page: [b for b, _ in M.blocks_of(page)]
+    assert own(f"<article><p>One{figure}<p>{math}</article><p>after") == ["One", "x = 1", "cell", "Caption", "so a=2 holds", "after"]
+    assert own(f"<p>One</p>{figure}<p>{math}") == ["One", "so", "holds"]
+    assert own(f"<article><aside>{math}{figure}</aside><p>kept</article>") == ["kept"]
+
+
+def test_articles_in_dropped_parts_go():
+    own = lambda page: [b for b, _ in M.blocks_of(page)]
+    comments = "<section id=comments><article class=comment><p>first!</article><article><p>second</article></section>"
+    teaser = "<aside><article><h3>teaser</h3></article> more </aside>"
+    for page in (f"<article><p>kept</article>{comments}{teaser}<p>end", f"<article><p>kept{comments}{teaser}<p>end</article>", f"<main><p>kept{teaser}{comments}<p>end</main>"):
+        assert own(page) == ["kept", "end"]
+    assert own("<article><p>kept<article class='comment odd'><p>no<article>nor this</article></article><p>end</article><p>out") == ["kept", "end", "out"]
+    assert M.blocks_of("<article><article class=comment>no</article><p>end</article><p>out") == [("end", True), ("out", False)]
+    assert own("<article class=sponsored><p>kept<article><p>part</article></article>") == ["kept", "part"]
+    assert own("<body><div class=ad>buy <div>now</div><article><p>kept</article></body></div>") == ["kept"]
+    assert own("<div class=has-sidebar><main><p>kept</main></div>") == ["kept"] and own("<article><nav>menu<article>x</article></article><p>kept") == ["kept"]
+
+
 def test_repeated_runs_equal_a_scan():
     rng = np.random.default_rng(3)
     for _ in range(30):
