@@ -65,6 +65,18 @@ def test_components_equal_all_pairs(spark, documents):
     assert found == brute_components(some)
 
 
+def test_deduplicate_links_from_four_fifths_on(spark):
+    base = [f"b{i}" for i in range(200)]
+    four, five = list(base), list(base)
+    for at in (30, 70, 110, 150):
+        four[at] = five[at] = f"e{at}"
+    five[180] = "e180"  # 176 and 171 of 196 shingles in common with the base: 0.815 and 0.774
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(four))], "doc_id long, text string")
+    assert [r.doc_id for r in N.deduplicate(docs).collect()] == [1] and N.deduplicate(docs, percent=85, bands=30, rows=6).count() == 2
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(five))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.deduplicate(docs).collect()) == [1, 2]
+
+
 def test_odd_documents(odd, nothing):
     got = sorted(((r.doc_id or -1, r.component_id or -1, r.n_shingles, r.kept) for r in N.near_duplicates(odd).collect()))
     by_id = {g[0]: g[1:] for g in got if g[0] != -1}
