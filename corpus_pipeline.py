@@ -30,8 +30,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; documents without words, which no target asks for, once."""
-    mixed = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = docs.join(mixed, docs["doc_id"].eqNullSafe(F.col("__id")))
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # stored, so that a key stays with its row
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    taken = rows.join(mixing.mix(rows, row_col="__row").select(F.col("row_key").alias("__row"), times), "__row")
     return taken.withColumn("__turn", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(*COLUMNS)
 
 

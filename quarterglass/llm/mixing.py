@@ -57,8 +57,10 @@ def mix(
     max_epochs: int = 3,
     seed: int = 7,
     cells: int = 4096,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row; other columns of the input are neither read nor kept.
+    """(doc_id, size, source_size, target, taken) for every row; other columns of the input are neither read nor kept, but
+    for ``row_col``, a stored unique key of rows, which is the first column as ``row_key`` where it is given.
 
     NULL text has size 0; NULL source is a source, the last; rows that are repeated are rows of their own; equal keys
     are ordered by id. A source without words has target 0; an empty table gives no row. A source's taken words miss its
@@ -66,7 +68,9 @@ def mix(
     the rows, and the prefix sum over ``cells`` cells of a source carries on into its cells.
     """
     size = n_words(F.col(text_col))
+    key = [F.col(row_col).alias("row_key")] if row_col else []
     base = docs.select(
+        *key,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key"),
@@ -83,7 +87,7 @@ def mix(
     ahead = W.partitionBy("source_key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
     placed = keyed.join(per_cell.drop("cell_size"), ["source_key", "cell"]).join(targets, "source_key")
-    inside = W.partitionBy("source_key", "cell").orderBy(F.col("key").desc(), "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_key", "cell").orderBy(F.col("key").desc(), "doc_id", *["row_key"][: len(key)]).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("cell_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
 
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -94,5 +98,5 @@ def mix(
         placed.withColumn("before", before)
         .withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("long"))
         .withColumn("rest", rest)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * passes).cast("long").alias("taken"))
+        .select(*["row_key"][: len(key)], "doc_id", "size", "source_size", "target", (F.col("size") * passes).cast("long").alias("taken"))
     )

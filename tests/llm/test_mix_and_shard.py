@@ -102,6 +102,16 @@ def test_a_text_that_is_a_third_of_all_rows_is_subdivided(spark):
     assert sum(len(s) > 1 for s in where.values()) == 1
 
 
+def test_mix_takes_each_row_by_its_own_count(spark, sf_dir):
+    rows = [(k, f"text of {k} " + "w " * (k % 7), "en", "s1", 9) for k in range(20)] + [(3, "text of 3 " + "w " * 3, "en", "s1", 9)] * 5
+    rows += [(None, f"no id {k} " + "v " * (k % 5), "en", "s1", 9) for k in range(12)] + [(None, None, "en", "s1", 9), (None, "", "en", "s2", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    # The one source with words is its own target, so that each row is taken once.
+    assert Counter(map(tuple, out.collect())) == Counter(rows)
+
+
 def test_pipeline(spark, sf_dir, documents):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dup", "decontaminate", "mix", "shard"]
