@@ -68,6 +68,20 @@ def share(spark: SparkSession, thing: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
 
 
+def rows_where(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
+    """Rows of ``docs``, all columns kept, by a verdict on each row's own text; ``verdicts()`` gives a task's function of it."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    def run(batches):
+        import pyarrow as pa
+
+        keep = verdicts()
+        for batch in batches:
+            yield batch.filter(pa.array([keep(text.as_py()) for text in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def keep_rows(docs: DataFrame, id_col: str, ids: DataFrame, inside: bool) -> DataFrame:
     """Rows of ``docs``, all columns kept, whose id is among the one column of ``ids`` (a NULL among NULLs), or is not.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.chunks import Memo
-from quarterglass.llm.common import keep_rows, share
+from quarterglass.llm.common import rows_where, share
 
 _TERM = re.compile(r"\w+")
 BITS = 64
@@ -254,7 +254,18 @@ def matches(
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, without those that hold an item of the benchmark; rows of NULL id stay."""
-    found = matches(docs, benchmark, **options).select("doc_id").filter("doc_id IS NOT NULL")
-    return keep_rows(docs, options.get("id_col", "doc_id"), found, inside=False)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", words: int = 5, threshold: float = 0.8, radius: int = 20, block_items: int = 20_000
+) -> DataFrame:
+    """The documents, all columns kept, without the rows whose own text holds an item of the benchmark, also one of NULL id."""
+
+    def verdicts(index):
+        def task():
+            items, memo = pickle.loads(index.value), word_hashes()
+            return lambda text: not items.find(hashed(terms_of(text), memo), threshold)
+
+        return task
+
+    for index in _indexes(benchmark.select(F.col("item_id").cast("long"), "text"), words, radius, block_items):
+        docs = rows_where(docs, text_col, verdicts(index))
+    return docs

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.llm.chunks import Memo
-from quarterglass.llm.common import keep_rows, share
+from quarterglass.llm.common import rows_where, share
 from quarterglass.llm.labelled import class_weights, held_out, labelled_sample, logit, platt, sigmoid
 
 _TERM = re.compile(r"\w+")
@@ -201,7 +201,16 @@ def score_toxicity(
     return texts.mapInArrow(_score(shared), _OUT)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, without those that are predicted toxic; rows of NULL id stay."""
-    rejected = score_toxicity(docs, labels, **options).filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id")
-    return keep_rows(docs, options.get("id_col", "doc_id"), rejected, inside=False)
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents, all columns kept, without the rows whose own text is predicted toxic."""
+    rows, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    shared = share(docs.sparkSession, Examples(rows, totals, k))
+
+    def verdicts():
+        examples = pickle.loads(shared.value)
+        count = examples.counter()
+        return lambda text: examples.score(*count(text or ""))[0] < 0.5
+
+    return rows_where(docs, text_col, verdicts)

@@ -151,6 +151,14 @@ def test_matches_equal_all_windows(spark, odd, nothing):
     assert D.decontaminate(odd, bench).count() == 17 and D.decontaminate(odd, bench).columns == odd.columns
 
 
+def test_rows_without_id_get_their_own_verdict(spark):
+    items, bench = benchmark(spark)
+    rows = [(None, "q " + items[0][1]), (7, "a clean text"), (7, items[0][1]), (8, "here is no name at all to report of"), (None, "clean"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (20_000, 2):
+        assert sorted(map(str, (r.text for r in D.decontaminate(docs, bench, block_items=n).collect()))) == ["None", "a clean text", "clean"]
+
+
 def test_similarities_do_not_depend_on_blocks(spark):
     shared = [f"s{i}" for i in range(12)]
     items = [(k, " ".join([*shared, *(f"t{k % 3}x{i}" for i in range(8)), *(f"o{k}x{i}" for i in range(20))])) for k in range(12)]

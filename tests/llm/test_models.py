@@ -74,6 +74,17 @@ def test_odd_rows_and_labels(spark, odd, nothing):
     assert X.without_toxic(odd, labels.limit(0)).count() == 17 and X.without_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxic_rows_go_by_their_own_text(spark, sf_dir, documents):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = documents.select("doc_id", "text")
+    toxic = {r.doc_id for r in X.score_toxicity(docs, labels).filter("predicted = 1").collect()}
+    bad, good = (docs.filter(docs.doc_id.isin(list(toxic)) == flag).orderBy("doc_id").first().text for flag in (True, False))
+    more = spark.createDataFrame([(None, bad), (None, good), (10**9, bad), (10**9, good)], "doc_id long, text string")
+    kept = [tuple(r) for r in X.without_toxic(docs.union(more), labels).collect()]
+    assert [r for r in kept if r[0] in (None, 10**9)].count((None, good)) == 1 and (10**9, good) in kept
+    assert (None, bad) not in kept and (10**9, bad) not in kept and len(kept) == docs.count() - len(toxic) + 2
+
+
 def test_sample_is_bounded_and_held_out(spark, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, totals = labelled_sample(documents, labels, "quality", 10)
