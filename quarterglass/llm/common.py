@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark import Broadcast, cloudpickle
@@ -41,16 +40,10 @@ def uniform(seed: int, *columns: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share.
-
-    Only where that is unset, as in tests, a temporary folder serves; then the session has to be a local one.
-    """
+    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share; it has to be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

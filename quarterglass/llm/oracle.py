@@ -46,3 +46,49 @@ refs AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN firs
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
 FROM refs
 """
+
+ORACLE["op12_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+occurrences AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM occurrences GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+counted AS (
+  SELECT o.lang, o.source, o.term, count(*) AS n
+  FROM occurrences o JOIN kept k ON k.lang = o.lang AND k.term = o.term GROUP BY o.lang, o.source, o.term),
+source_groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+source_sums AS (SELECT lang, source, sum(n)::BIGINT AS total FROM counted GROUP BY lang, source),
+lang_sums AS (SELECT lang, sum(n)::BIGINT AS total FROM counted GROUP BY lang),
+lang_counts AS (SELECT lang, term, sum(n)::BIGINT AS n FROM counted GROUP BY lang, term),
+given AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * v.v) AS p
+  FROM source_groups g JOIN kept k ON k.lang = g.lang JOIN sizes v ON v.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN source_sums s ON s.lang = g.lang AND s.source = g.source),
+lang_given AS (
+  SELECT l.lang, l.term, 1 + (1000000000 * (l.n + 2)) // (s.total + 2 * v.v) AS q
+  FROM lang_counts l JOIN lang_sums s ON s.lang = l.lang JOIN sizes v ON v.lang = l.lang),
+pair_sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM given a JOIN given b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source),
+pair_values AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM source_groups a JOIN source_groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term_values AS (
+  SELECT g.lang, g.source, g.term AS item, (((g.p - l.q) * (g.p - l.q)) // (g.p + l.q))::BIGINT AS value
+  FROM given g JOIN lang_given l ON l.lang = g.lang AND l.term = g.term
+  WHERE g.n > 0 AND g.p > l.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank
+  FROM pair_values
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER
+  FROM term_values)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table, and the pipeline."""
+"""Registered queries of the thirteen operators, each over its whole table, and the pipeline."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarterglass.llm import decontaminate, main_text, mixing, near_dup, quality, sharding, token_counts, token_store, toxicity, warc
+from quarterglass.llm import (
+    decontaminate, divergence, language, main_text, mixing, near_dup, quality, sharding, token_counts, token_store, toxicity, warc, whitening,
+)
 from quarterglass.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +69,19 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
