@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.functions.nulls import is_true
-from quarterglass.operators.quantiles import exact_quantiles
+from quarterglass.operators.quantiles import distinct_values, measured, pair_counts, pair_moments, ranked_values
 from quarterglass.settings import Columns
 
 
@@ -27,68 +27,59 @@ def joined_sources(panel: DataFrame, price: DataFrame, data: DataFrame, c: Colum
 
 
 def crosscheck(panel: DataFrame, price: DataFrame, data: DataFrame, c: Columns) -> DataFrame:
-    """Seventeen agreement metrics from one pass plus exact quantiles of the differences."""
+    """Seventeen agreement metrics (A22), all from the counted values of twelve columns of the joined sources."""
     m = joined_sources(panel, price, data, c)
     has_price = F.col("As_Of_Date").isNotNull()
     zero_return, zero_momentum = F.col(c.forward_return) == 0, F.col(c.momentum) == 0
     gap = has_price & F.col("fqr_price").isNull()
-    diffs = {
+    same_gaps = lambda mine, theirs: F.col(mine).isNull() == F.col(theirs).isNull()
+    flags = {
+        "found": has_price,
+        "same_day": F.when(has_price, is_true(F.col("As_Of_Date") == F.col("formation_date"))),
+        "zero_return": is_true(zero_return & gap),
+        "cleaned": F.when(gap, F.col("fwd_return").isNull()),
+        "zero_momentum": is_true(zero_momentum & has_price & F.col("mom_price").isNull()),
+        "true_momentum": is_true(zero_momentum & F.col("mom_price").isNotNull()),
+        "pre_gaps": same_gaps("roic_pretax_q", "pre_full"),
+        "post_gaps": same_gaps("roic_posttax_q", "post_full"),
+    }
+    values = {
+        "distance": F.abs(F.col("fwd_return") - F.col("fqr_price")),
         "pre": F.abs(F.col("roic_pretax_q") - F.col("pre_full")),
         "post": F.abs(F.col("roic_posttax_q") - F.col("post_full")),
         "rounded": F.when(F.col("roic_posttax_q").isNotNull(), F.abs(F.col(c.roic_posttax_file) - F.col("post_full"))),
         "de": F.abs(F.col("debt_to_equity_q") - F.col("de_full")),
     }
-    mine = ["As_Of_Date", "formation_date", c.forward_return, c.momentum, "fqr_price", "mom_price", "fwd_return"]
-    levels = ["roic_pretax_q", "pre_full", "roic_posttax_q", "post_full"]
-    rows = m.withColumns(diffs).select(*mine, *levels, *diffs)
-
-    def share(condition: Column) -> Column:
-        return F.avg(is_true(condition).cast("int"))
-
-    def same_gaps(mine: str, theirs: str) -> Column:
-        return share(F.col(mine).isNull() == F.col(theirs).isNull())
-
-    every, priced = F.count(F.lit(1)), F.count_if(has_price)
-    nothing = F.lit(None).cast("double")
-    both = F.col("fwd_return").isNotNull() & F.col("fqr_price").isNotNull()
-    distance = F.max(F.abs(F.col("fwd_return") - F.col("fqr_price")))
+    names = [*flags, *values]
+    rows = m.select(*[v.cast("double").alias(k) for k, v in (flags | values).items()])
+    one = measured(distinct_values(rows, names), names, [0.5, 0.99])
+    cell = lambda key: F.col("m")[key]
+    share = lambda name: F.try_divide(cell(f"{name}:sum"), cell(f"{name}:n"))
+    count = lambda name: F.coalesce(cell(f"{name}:sum"), F.lit(0.0))
     full = "ROIC recomputed vs xlsx full precision"
-    # Names of the metrics, in report order; the last field names a quantile.
-    lines: list[tuple[str, Column, Column, str, float]] = [
-        ("CSV keys found in xlsx Price sheet", share(has_price), every, "", 0.0),
-        ("Price.As_Of_Date == formation_date",
-         F.avg(F.when(has_price, is_true(F.col("As_Of_Date") == F.col("formation_date")).cast("int"))), priced, "", 0.0),
-        ("CSV FQR == 0 where Price sheet FQR is NaN (zero-coded missing)",
-         F.count_if(is_true(zero_return & gap)).cast("double"), priced, "", 0.0),
-        ("cleaned fwd_return NaN where Price sheet NaN (company rows with price data)",
-         F.avg(F.when(gap, F.col("fwd_return").isNull().cast("int"))), F.count_if(gap), "", 0.0),
-        ("max |fwd_return - Price sheet FQR|", distance, F.count_if(both), "", 0.0),
-        ("CSV Momentum_3Q == 0 where Price sheet is NaN (zero-coded missing)",
-         F.count_if(is_true(zero_momentum & has_price & F.col("mom_price").isNull())).cast("double"), priced, "", 0.0),
-        ("CSV Momentum_3Q == 0 where Price sheet also has a value (genuine zero, set NaN by rule)",
-         F.count_if(is_true(zero_momentum & F.col("mom_price").isNotNull())).cast("double"), priced, "", 0.0),
-        (f"pre-tax {full}: median |diff|", nothing, F.count("pre"), "pre", 0.5),
-        (f"pre-tax {full}: 99th pct |diff|", nothing, F.count("pre"), "pre", 0.99),
-        (f"pre-tax {full}: max |diff|", F.max("pre"), F.count("pre"), "", 0.0),
-        ("pre-tax ROIC NaN pattern recomputed == xlsx", same_gaps("roic_pretax_q", "pre_full"), every, "", 0.0),
-        (f"post-tax {full}: median |diff|", nothing, F.count("post"), "post", 0.5),
-        (f"post-tax {full}: 99th pct |diff|", nothing, F.count("post"), "post", 0.99),
-        (f"post-tax {full}: max |diff|", F.max("post"), F.count("post"), "", 0.0),
-        ("post-tax ROIC CSV rounded vs xlsx full precision: median |diff|", nothing, F.count("post"), "rounded", 0.5),
-        ("post-tax ROIC NaN pattern recomputed == xlsx", same_gaps("roic_posttax_q", "post_full"), every, "", 0.0),
-        ("D/E recomputed vs xlsx: 99th pct |diff|", nothing, F.count("de"), "de", 0.99),
+    # Names of the metrics, in report order.
+    lines: list[tuple[str, Column, str]] = [
+        ("CSV keys found in xlsx Price sheet", share("found"), "found"),
+        ("Price.As_Of_Date == formation_date", share("same_day"), "same_day"),
+        ("CSV FQR == 0 where Price sheet FQR is NaN (zero-coded missing)", count("zero_return"), "same_day"),
+        ("cleaned fwd_return NaN where Price sheet NaN (company rows with price data)", share("cleaned"), "cleaned"),
+        ("max |fwd_return - Price sheet FQR|", cell("distance:max"), "distance"),
+        ("CSV Momentum_3Q == 0 where Price sheet is NaN (zero-coded missing)", count("zero_momentum"), "same_day"),
+        ("CSV Momentum_3Q == 0 where Price sheet also has a value (genuine zero, set NaN by rule)", count("true_momentum"), "same_day"),
+        (f"pre-tax {full}: median |diff|", cell("pre:0.5"), "pre"),
+        (f"pre-tax {full}: 99th pct |diff|", cell("pre:0.99"), "pre"),
+        (f"pre-tax {full}: max |diff|", cell("pre:max"), "pre"),
+        ("pre-tax ROIC NaN pattern recomputed == xlsx", share("pre_gaps"), "pre_gaps"),
+        (f"post-tax {full}: median |diff|", cell("post:0.5"), "post"),
+        (f"post-tax {full}: 99th pct |diff|", cell("post:0.99"), "post"),
+        (f"post-tax {full}: max |diff|", cell("post:max"), "post"),
+        ("post-tax ROIC CSV rounded vs xlsx full precision: median |diff|", cell("rounded:0.5"), "post"),
+        ("post-tax ROIC NaN pattern recomputed == xlsx", share("post_gaps"), "post_gaps"),
+        ("D/E recomputed vs xlsx: 99th pct |diff|", cell("de:0.99"), "de"),
     ]
-    cells = [
-        F.struct(
-            F.lit(i).alias("line"), F.lit(name).alias("check"), value.alias("value"), n.alias("n"),
-            F.lit(feature).alias("feature"), F.lit(p).alias("p"),
-        )
-        for i, (name, value, n, feature, p) in enumerate(lines)
-    ]
-    table = rows.agg(F.array(*cells).alias("r")).selectExpr("inline(r)")
-    found = exact_quantiles(rows, list(diffs), [0.5, 0.99])
-    out = table.join(found, ["feature", "p"], "left").orderBy("line")
-    return out.select("check", F.coalesce("value", "quantile").alias("value"), "n")
+    n_rows = lambda name: F.coalesce(cell(f"{name}:n"), F.lit(0.0)).cast("long")
+    cells = [F.struct(F.lit(name).alias("check"), value.alias("value"), n_rows(n).alias("n")) for name, value, n in lines]
+    return one.select(F.inline(F.array(*cells)))
 
 
 def zero_coded_by_period(panel: DataFrame, price: DataFrame, c: Columns) -> DataFrame:
@@ -101,31 +92,26 @@ def zero_coded_by_period(panel: DataFrame, price: DataFrame, c: Columns) -> Data
 
 
 def field_agreement(ours: DataFrame, theirs: DataFrame, fields: list[str], on: list[str]) -> DataFrame:
-    """Per field: pairs, correlation, median ratio, median relative deviation, share within 5 %."""
+    """Per field: pairs, correlation, median ratio, median relative deviation, share within 5 %.
+
+    Both sides are read once: the fields of the joined rows are melted into counted pairs (field, mine, theirs), and every
+    column comes from these counts.
+    """
     joined = ours.select(*on, *fields).join(theirs.select(*on, *[F.col(f).alias(f"o_{f}") for f in fields]), on)
-    a = {f: F.when(F.col(f"o_{f}").isNotNull(), F.col(f)) for f in fields}
-    b = {f: F.when(F.col(f).isNotNull(), F.col(f"o_{f}")) for f in fields}
-    wide = joined.select(
-        *[a[f].alias(f"a_{f}") for f in fields],
-        *[b[f].alias(f"b_{f}") for f in fields],
-        *[F.try_divide(a[f], b[f]).alias(f"ratio_{f}") for f in fields],
-        *[F.abs(F.try_divide(a[f] - b[f], b[f])).alias(f"dev_{f}") for f in fields],
+    pairs = pair_counts(joined, [(F.col(f), F.col(f"o_{f}")) for f in fields])
+    ratio, deviation = F.try_divide("a", "b"), F.abs(F.try_divide(F.col("a") - F.col("b"), F.col("b")))
+    both = F.posexplode(F.array(ratio, deviation)).alias("kind", "value")
+    values = pairs.select("fid", "n", both).filter(F.col("value").isNotNull())
+    values = values.select((F.col("fid") * 2 + F.col("kind")).alias("fid"), "value", "n")
+    median = lambda kind: F.max(F.when(F.col("fid") % 2 == kind, F.col("quantile")))
+    medians = ranked_values(values, [0.5]).groupBy(F.expr("fid div 2").cast("int").alias("fid"))
+    medians = medians.agg(median(0).alias("median_ratio"), median(1).alias("median_relative_deviation"))
+    near = pairs.groupBy("fid").agg(
+        F.try_divide(F.sum(F.when(deviation <= 0.05, F.col("n")).otherwise(0)), F.sum(F.when(deviation.isNotNull(), F.col("n")))).alias("share_within_5pct")
     )
-    lines = [
-        F.struct(
-            F.lit(f).alias("field"),
-            F.count(f"a_{f}").alias("n"),
-            F.corr(f"a_{f}", f"b_{f}").alias("correlation"),
-            F.try_divide(F.count_if(F.col(f"dev_{f}") <= 0.05), F.count(f"dev_{f}")).alias("share_within_5pct"),
-        )
-        for f in fields
-    ]
-    table = wide.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
-    medians = exact_quantiles(wide, [f"{k}_{f}" for k in ("ratio", "dev") for f in fields], [0.5])
-    kinds = {"median_ratio": "ratio_", "median_relative_deviation": "dev_"}
-    for name, prefix in kinds.items():
-        part = medians.filter(F.col("feature").startswith(prefix))
-        part = part.select(F.expr(f"substring(feature, {len(prefix) + 1})").alias("field"), F.col("quantile").alias(name))
-        table = table.join(part, "field", "left")
+    found = pair_moments(pairs).join(F.broadcast(near), "fid").join(F.broadcast(medians), "fid", "left")  # one row per field
+    every = ours.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(f) for f in fields])).alias("fid", "field"))
+    table = every.join(F.broadcast(found), "fid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     accepted = (F.col("correlation") >= 0.95) & F.col("median_ratio").between(0.99, 1.01)
-    return table.withColumn("accepted", is_true(accepted))
+    columns = ["field", "n", "correlation", "share_within_5pct", "median_ratio", "median_relative_deviation"]
+    return table.select(*columns, is_true(accepted).alias("accepted"))

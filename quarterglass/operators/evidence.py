@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.functions.nulls import is_true, positive_or_null, ratio
-from quarterglass.operators.quantiles import quantile_table
+from quarterglass.operators.quantiles import pair_counts, pair_moments, ranked_values
 from quarterglass.operators.sequence import by_entity
 from quarterglass.settings import PanelSettings
 
@@ -34,40 +34,33 @@ def return_alignment(panel: DataFrame, settings: PanelSettings) -> DataFrame:
     bwd = ratio(price, positive_or_null(F.col("__prev"))) - 1
     stored = F.col(c.forward_return)
     usable = ~F.col("is_benchmark") & stored.isNotNull() & ~F.col("fwd_return_window_unrealized")
-    cells = [
-        F.col("is_benchmark"),
-        F.when(F.col("is_benchmark"), is_true(F.col(c.fiscal_end) == F.col("formation_date")).cast("double")).alias("same"),
-        stored.alias("fr"),
-        fwd.alias("fwd"),
-        bwd.alias("bwd"),
-    ]
-    for i, (_, low, high) in enumerate(LAG_CLASSES):
+    same = F.when(F.col("is_benchmark"), is_true(F.col(c.fiscal_end) == F.col("formation_date")).cast("double"))
+    pairs = [(same, F.lit(0.0))]
+    for _, low, high in LAG_CLASSES:
         in_class = usable & F.col("signal_lag_days").between(low, high)
         ahead = is_true(in_class & F.col("__next_link") & fwd.isNotNull())
         behind = is_true(in_class & F.col("is_consecutive_prev") & bwd.isNotNull())
-        cells += [ahead.alias(f"f{i}"), behind.alias(f"b{i}"), F.when(ahead, F.abs(stored - fwd)).alias(f"d{i}")]
-    rows = moved.select(*cells)
+        pairs += [(F.when(ahead, stored), fwd), (F.when(behind, stored), bwd)]
+    # the panel is read once: counts, shares, correlations and medians come from the counted pairs
+    counted = pair_counts(moved, pairs)
+    moments = pair_moments(counted).select("fid", "n", F.when(F.col("n") > 2, F.col("correlation")).alias("correlation"))
+    shares = counted.filter(F.col("fid") == 0).groupBy("fid").agg((F.sum(F.col("a") * F.col("n")) / F.sum("n")).alias("share"))
+    distances = ranked_values(counted.select("fid", F.abs(F.col("a") - F.col("b")).alias("value"), "n"), [0.5])
+    distances = distances.select("fid", F.col("quantile").alias("median"))
+    found = moments.join(F.broadcast(shares), "fid", "left").join(F.broadcast(distances), "fid", "left")  # one row per pair
 
-    def correlation(mask: str, other: str):
-        pair = F.corr(F.when(F.col(mask), F.col("fr")), F.when(F.col(mask), F.col(other)))
-        return F.when(F.count_if(mask) > 2, pair)
+    def line(n: int, evidence: str, fid: int, value: str, metric: str):
+        cells = {"line": n, "evidence": evidence, "fid": fid, "which": value, "metric": metric}
+        return F.struct(*[F.lit(v).alias(k) for k, v in cells.items()])
 
-    def line(n: int, evidence: str, count, value, metric: str, feature: str = ""):
-        return F.struct(
-            F.lit(n).alias("line"), F.lit(evidence).alias("evidence"), count.alias("n"), value.alias("value"),
-            F.lit(metric).alias("metric"), F.lit(feature).alias("feature"),
-        )
-
-    nothing = F.lit(None).cast("double")
-    lines = [line(0, _BENCHMARK_LABEL, F.count_if("is_benchmark"), F.avg("same"), "share equal")]
+    lines = [line(0, _BENCHMARK_LABEL, 0, "share", "share equal")]
     for i, (label, _, _) in enumerate(LAG_CLASSES):
-        f, b = f"f{i}", f"b{i}"
+        ahead, behind = 2 * i + 1, 2 * i + 2
         lines += [
-            line(3 * i + 1, f"{label}: corr(FQR[t], price[t+1]/price[t]-1)", F.count_if(f), correlation(f, "fwd"), "correlation"),
-            line(3 * i + 2, f"{label}: median |FQR[t] - (price[t+1]/price[t]-1)|", F.count_if(f), nothing, "median abs diff", f"d{i}"),
-            line(3 * i + 3, f"{label}: corr(FQR[t], price[t]/price[t-1]-1) (wrong alignment)", F.count_if(b), correlation(b, "bwd"), "correlation"),
+            line(3 * i + 1, f"{label}: corr(FQR[t], price[t+1]/price[t]-1)", ahead, "correlation", "correlation"),
+            line(3 * i + 2, f"{label}: median |FQR[t] - (price[t+1]/price[t]-1)|", ahead, "median", "median abs diff"),
+            line(3 * i + 3, f"{label}: corr(FQR[t], price[t]/price[t-1]-1) (wrong alignment)", behind, "correlation", "correlation"),
         ]
-    table = rows.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
-    medians = quantile_table(rows, [f"d{i}" for i in range(len(LAG_CLASSES))], {"median": 0.5})
-    out = table.join(medians, "feature", "left").orderBy("line")
-    return out.select("evidence", "n", F.coalesce("value", "median").alias("value"), "metric")
+    table = panel.sparkSession.range(1).select(F.inline(F.array(*lines))).join(F.broadcast(found), "fid", "left").orderBy("line")
+    value = F.when(F.col("which") == "share", F.col("share")).when(F.col("which") == "median", F.col("median")).otherwise(F.col("correlation"))
+    return table.select("evidence", F.coalesce("n", F.lit(0).cast("long")).alias("n"), value.alias("value"), "metric")

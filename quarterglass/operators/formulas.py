@@ -1,9 +1,8 @@
 """Batteries of re-derivation checks.
 
 A check compares a stored value with its re-derivation. The whole battery is
-one lazy projection: counts and maxima of every check come from a single
-aggregation over it, medians from the exact-quantile operator. A caller for
-whom the input is costly stores it first, as the audit run does.
+one lazy projection, melted and counted once: counts, maxima and medians of
+every check come from these counts.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from quarterglass.functions.measures import annualise, relative_tolerance, three_factor_split
 from quarterglass.functions.nulls import is_true, ratio
 from quarterglass.functions.quarters import aligned_key, key_ordinal
-from quarterglass.operators.quantiles import quantile_table
+from quarterglass.operators.quantiles import ranked_values
 from quarterglass.operators.sequence import add_lags, lag_name
 from quarterglass.settings import Columns, PanelSettings
 
@@ -41,41 +40,40 @@ class Check:
 
 
 def summarise(rows: DataFrame, checks: list[Check]) -> DataFrame:
-    """One line per check: tested, passed, share, largest and median deviation."""
-    cells, measured = [], []
+    """One line per check: tested, passed, share, largest and median deviation.
+
+    Every row is melted into its tested checks; equal outcomes of a check are counted once, and all columns of the report
+    come from these counts, so ``rows`` is read once however many checks there are.
+    """
+    outcomes, about = [], []
     for i, check in enumerate(checks):
         if check.passes is not None:
-            tested = is_true(check.tested)
-            cells += [tested.alias(f"t{i}"), (tested & is_true(check.passes)).alias(f"p{i}")]
-            cells.append(F.lit(None).cast("double").alias(f"d{i}"))
+            tested, passed = is_true(check.tested), is_true(check.passes)
+            deviation = F.lit(0.0)
         else:
             # a NULL deviation is not tested; a NULL tolerance fails
             deviation = F.when(is_true(check.tested), F.abs(check.deviation))
             tolerance = F.lit(check.tolerance) if isinstance(check.tolerance, float) else check.tolerance
-            cells += [deviation.isNotNull().alias(f"t{i}"), is_true(deviation <= tolerance).alias(f"p{i}")]
-            cells.append(deviation.alias(f"d{i}"))
-            measured.append(f"d{i}")
-    outcome = rows.select(*cells)
-    lines = [
-        F.struct(
-            F.lit(i + 1).alias("n"),
-            F.lit(f"d{i}").alias("feature"),
-            F.lit(check.name).alias("check"),
-            F.lit(check.reference).alias("dictionary_reference"),
-            F.count_if(f"t{i}").alias("n_tested"),
-            F.count_if(f"p{i}").alias("n_pass"),
-            F.try_divide(F.count_if(f"p{i}"), F.count_if(f"t{i}")).alias("share_pass"),
-            F.max(f"d{i}").alias("max_abs_dev"),
-            F.lit(check.tolerance_text).alias("tolerance"),
-            F.lit(check.note).alias("note"),
-        )
-        for i, check in enumerate(checks)
-    ]
-    table = outcome.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
-    medians = quantile_table(outcome, measured, {"median_abs_dev": 0.5})
-    out = table.join(medians, "feature", "left").orderBy("n")
-    shown = ["check", "dictionary_reference", "n_tested", "n_pass", "share_pass", "max_abs_dev", "median_abs_dev"]
-    return out.select(*shown, "tolerance", "note")
+            tested, passed = deviation.isNotNull(), is_true(deviation <= tolerance)
+        outcomes.append(F.struct(tested.alias("tested"), passed.alias("passed"), F.coalesce(deviation, F.lit(0.0)).alias("value")))
+        about.append(
+            F.struct(
+                F.lit(i).alias("fid"), F.lit(check.name).alias("check"), F.lit(check.reference).alias("dictionary_reference"),
+                F.lit(check.passes is None).alias("measured"), F.lit(check.tolerance_text).alias("tolerance"), F.lit(check.note).alias("note"),
+            )
+        )
+    melted = rows.select(F.posexplode(F.array(*outcomes)).alias("fid", "o")).select("fid", "o.*").filter("tested")
+    counts = melted.groupBy("fid", "value", "passed").agg(F.count(F.lit(1)).alias("n"))
+    facts = counts.groupBy("fid").agg(
+        F.sum("n").alias("n_tested"), F.sum(F.when(F.col("passed"), F.col("n")).otherwise(0)).alias("n_pass"), F.max("value").alias("max_abs_dev")
+    )
+    medians = ranked_values(counts, [0.5]).select("fid", F.col("quantile").alias("median_abs_dev"))
+    found = F.broadcast(facts.join(F.broadcast(medians), "fid", "left"))  # one row per check
+    lines = rows.sparkSession.range(1).select(F.inline(F.array(*about))).join(found, "fid", "left").orderBy("fid")
+    tested, passed = (F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_tested", "n_pass"))
+    shown = [F.when(F.col("measured"), F.col(n)).alias(n) for n in ("max_abs_dev", "median_abs_dev")]
+    share = F.try_divide("n_pass", "n_tested").alias("share_pass")
+    return lines.select("check", "dictionary_reference", tested, passed, share, *shown, "tolerance", "note")
 
 
 def failing(checks: DataFrame, minimum: float = 0.999) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The key sets the duplicate report looks at.
@@ -25,16 +25,24 @@ def duplicated_rows(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def duplicates_report(panel: DataFrame, n_examples: int = 10) -> DataFrame:
-    """Per key set: rows involved and the smallest KEYs among them."""
-    parts = []
-    for position, keys in enumerate(KEY_SETS):
-        label = F.lit(" + ".join(keys)).alias("key")
-        count = key_counts(panel, keys).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("duplicated_rows"))
-        # orderBy + limit is a distributed top-k: at most n_examples rows leave each task
-        top = duplicated_rows(panel, keys).select("KEY").orderBy("KEY").limit(n_examples)
-        shown = top.agg(F.array_join(F.sort_array(F.collect_list("KEY")), "; ").alias("examples"))
-        parts.append(count.select(F.lit(position).alias("n"), label, "duplicated_rows", shown.scalar().alias("examples")))
-    return reduce(DataFrame.unionByName, parts).orderBy("n").drop("n")
+    """Per key set: rows involved and the smallest KEYs among them.
+
+    Rows are melted into one row per key set, so all sets are counted at once; rows of repeated keys are then ranked, where
+    each task hands on its ``n_examples`` smallest only.
+    """
+    keys = [F.struct(*[F.col(name).cast("string").alias(f"k{i}") for i, name in enumerate((*s, s[0])[:2])]) for s in KEY_SETS]
+    long = panel.select("KEY", F.posexplode(F.array(*keys)).alias("n", "k")).select("n", "k.k0", "k.k1", "KEY")
+    repeated = long.groupBy("n", "k0", "k1").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    totals = repeated.groupBy("n").agg(F.sum("rows").alias("rows"))
+    same = (F.col("a.n") == F.col("b.n")) & F.col("a.k0").eqNullSafe(F.col("b.k0")) & F.col("a.k1").eqNullSafe(F.col("b.k1"))
+    rows = long.alias("a").join(repeated.alias("b"), same, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("KEY"))
+    top = rows.select("n", "KEY").withColumn("rank", rank).filter(F.col("rank") <= n_examples)
+    shown = top.groupBy("n").agg(F.array_join(F.sort_array(F.collect_list("KEY")), "; ").alias("examples"))
+    found = F.broadcast(totals.join(F.broadcast(shown), "n"))  # one row per key set
+    labels = F.array(*[F.lit(" + ".join(s)) for s in KEY_SETS])
+    lines = panel.sparkSession.range(1).select(F.posexplode(labels).alias("n", "key")).join(found, "n", "left").orderBy("n")
+    return lines.select("key", F.coalesce("rows", F.lit(0).cast("long")).alias("duplicated_rows"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def uniqueness_verdict(panel: DataFrame, keys: Sequence[str] = ("symbol", "q_ord")) -> DataFrame:

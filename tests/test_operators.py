@@ -1,6 +1,7 @@
 """Quantiles, checks, catalogue, larger-source mapping and the audit run on small inputs."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -215,13 +216,13 @@ def test_audit_run_saves_duplicates_and_stops(spark, sf_dir, tmp_path):
 
 
 def test_quantiles_of_values_in_one_cell(spark):
-    """A million distinct values within 2 ** -18 of each other; no window partition holds more than a grid level."""
-    from quarterglass.operators.quantiles import _SUB, exact_quantiles, grid_cell, sub_cell
+    """A million distinct values within 2 ** -19 of each other; no window partition holds more than a grid level."""
+    from quarterglass.operators.quantiles import _PARTS, cell_part, exact_quantiles, grid_cell
 
     rows = spark.range(1_000_000).selectExpr("1 + id * 1e-12 AS v", "-(1 + id * 1e-12) AS w")
-    cells = rows.select(grid_cell(F.col("v")).alias("c"), sub_cell(F.col("v")).alias("s"), "v")
+    cells = rows.select(grid_cell(F.col("v")).alias("c"), cell_part(F.col("v")).alias("s"), "v")
     assert cells.select("c").distinct().count() == 1
-    assert cells.groupBy("c", "s").agg(F.count_distinct("v").alias("n")).agg(F.max("n")).first()[0] <= _SUB
+    assert cells.groupBy("c", "s").agg(F.count_distinct("v").alias("n")).agg(F.max("n")).first()[0] <= 2**_PARTS
     assert cells.agg(F.count_distinct("s")).first()[0] > 8
     found = {(r.feature, r.p): r.quantile for r in exact_quantiles(rows, ["v", "w"], [0.0, 0.25, 1.0]).collect()}
     assert found["v", 0.0] == 1 and found["v", 1.0] == 1 + 999_999 * 1e-12 and found["w", 0.0] == -(1 + 999_999 * 1e-12)
@@ -229,6 +230,21 @@ def test_quantiles_of_values_in_one_cell(spark):
     assert low <= found["v", 0.25] <= high
 
 
+def executed_nodes(frame):
+    """Names of the nodes of the plan as it ran, those behind a reused exchange left out."""
+    frame.collect()
+    text = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return re.findall(r"^[\s:+|*()\d-]*([A-Z]\w+)", text, re.M)
+
+
+def test_quantiles_read_their_source_once(spark, tmp_path):
+    spark.range(40_000).selectExpr("sin(id) AS a", "id % 7 * 1.5 AS b", "id").write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    nodes = executed_nodes(exact_quantiles(frame, ["a", "b"], [0.01, 0.5, 0.99]))
+    assert nodes.count("FileScan") == 1 and nodes.count("Exchange") <= 6 and nodes.count("ReusedExchange") == 2
+    assert nodes.count("Window") == 4 and nodes.count("SortMergeJoin") == 0
+
+
 @pytest.mark.parametrize("name", ["crosscheck", "formula_checks", "report_scalars", "feature_summary", "field_crosscheck", "precision_audit", "return_alignment"])
 def test_queries_start_no_job_when_they_are_planned(name, spark, sf_dir):
     from workload.queries import REGISTRY

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quarterglass.operators.funnel import FLOW_STEPS, MISSING_REASONS
 from quarterglass.operators.fundamentals import combo_names
 from workload.oracle_base import (
@@ -438,24 +440,28 @@ FROM p WHERE NOT is_benchmark GROUP BY ALL""")
 # --- batteries ---------------------------------------------------------------------------
 
 
-def battery(checks: list[tuple[str, str, str | None, str]], source: str) -> str:
-    """Checks as (name, tested, deviation or None, tolerance or pass condition)."""
+def battery(checks: list[tuple], source: str, about: dict[str, tuple[str, str]]) -> str:
+    """Checks as (name, tested, deviation or None, tolerance or pass condition); ``about`` has (reference, note) of each."""
     lines = []
     for name, tested, deviation, rule in checks:
-        name = name.replace("'", "''")
+        reference, note = about[name]
+        fixed = re.fullmatch(r"[\d.]+(e-?\d+)?", rule)
+        tolerance = "exact" if deviation is None else repr(float(rule)) if fixed else "row-specific (rounding propagated)"
+        quoted = [x.replace("'", "''") for x in (name, reference, tolerance, note)]
+        texts = f"SELECT '{quoted[0]}' AS \"check\", '{quoted[1]}' AS dictionary_reference, '{quoted[2]}' AS tolerance, '{quoted[3]}' AS note"
         if deviation is None:
             lines.append(
-                f"SELECT '{name}' AS \"check\", count(*) FILTER ({tested}) AS n_tested, count(*) FILTER (({tested}) AND ({rule})) AS n_pass,"
+                f"{texts}, count(*) FILTER ({tested}) AS n_tested, count(*) FILTER (({tested}) AND ({rule})) AS n_pass,"
                 f" NULL::DOUBLE AS max_abs_dev, NULL::DOUBLE AS median_abs_dev FROM {source}"
             )
         else:
             lines.append(
-                f"SELECT '{name}' AS \"check\", count(d) AS n_tested, count(*) FILTER (d <= t) AS n_pass, max(d) AS max_abs_dev, quantile_cont(d, 0.5) AS median_abs_dev"
+                f"{texts}, count(d) AS n_tested, count(*) FILTER (d <= t) AS n_pass, max(d) AS max_abs_dev, quantile_cont(d, 0.5) AS median_abs_dev"
                 f" FROM (SELECT abs({deviation}) AS d, {rule} AS t FROM {source} WHERE {tested})"
             )
     body = " UNION ALL ".join(lines)
-    return f"""SELECT "check", n_tested, n_pass, {half_up('n_pass / nullif(n_tested, 0)', 6)} AS share_pass,
-  {half_up('max_abs_dev', 6)} AS max_abs_dev, {half_up('median_abs_dev', 6)} AS median_abs_dev FROM ({body})"""
+    return f"""SELECT "check", dictionary_reference, n_tested, n_pass, {half_up('n_pass / nullif(n_tested, 0)', 6)} AS share_pass,
+  {half_up('max_abs_dev', 6)} AS max_abs_dev, {half_up('median_abs_dev', 6)} AS median_abs_dev, tolerance, note FROM ({body})"""
 
 
 FORMULA_ROWS = f"""{PREPARED},
@@ -500,7 +506,19 @@ FORMULA_CHECKS: list[tuple[str, str, str | None, str]] = [
     ("KEY = period_key + '_' + symbol", "true", None, "\"KEY\" = period_key || '_' || symbol"),
     ("period_year + period_quarter = period_key", "co", None, "period_year::VARCHAR || period_quarter = period_key"),
 ]
-FORMULAS = battery(FORMULA_CHECKS, "f")
+# Dictionary references and notes, in the order of the checks.
+_REFERENCES = [
+    "4 calc_tax_expense_quarterly", "4 calc_raw_tax_rate_quarterly", "4 calc_nopat_quarterly", "4 calc_ic_raw", "4 calc_ic_raw",
+    "4 calc_average_ic_raw_quarterly", "4 calc_average_ic_raw_quarterly", f"4 {LONG['pre']}", f"4 {LONG['post']}",
+    "6.1 calc_roic_posttax_change_quarterly", "6.2 / 11", "6.2 calc_roic_decomposition_residual",
+    *["6.2 calc_roic_*_contribution"] * 3, "4 calc_debt_value_quarterly", "4 calc_debt_to_equity_quarterly", "6.7",
+    "7.1 calc_roic_posttax_annualized_ic_raw", "not in dictionary", "1 alignment", "not in dictionary", "1",
+]
+_NOTES = {1: "CSV rounds the tax rate to 0.01", 16: "file value rounded to 0.01",
+          19: "momentum is built only from returns realised before formation(t)", 21: "all rows incl. benchmarks"}
+_NOTES |= dict.fromkeys((7, 8), "file value is display-rounded; recomputed value keeps full precision")
+_NOTES |= dict.fromkeys((12, 13, 14), "confirms the OMML formula reading; inputs are CSV-rounded")
+FORMULAS = battery(FORMULA_CHECKS, "f", {c[0]: (r, _NOTES.get(i, "")) for i, (c, r) in enumerate(zip(FORMULA_CHECKS, _REFERENCES, strict=True))})
 put("formula_checks", FORMULA_ROWS, FORMULAS)
 put("failing_checks", FORMULA_ROWS, f'SELECT "check", n_tested, n_pass FROM ({FORMULAS}) WHERE n_pass / n_tested < 0.999')
 EXACT_ROWS = f"""{chain()},
@@ -515,7 +533,7 @@ def relative(x: str) -> str:
 
 T = "[full precision]"
 POST4 = "((1 + post) * (1 + post)) * ((1 + post) * (1 + post)) - 1"
-EXACT = battery([
+EXACT_CHECKS = [
     (f"{T} {LONG['c_e']} = Shapley formula (1/3, 1/6)", "status = 'VALID' AND near AND c_e IS NOT NULL",
      "c_e - (ebit - e0) * ((q0 * v0 + q1 * v1) / 3 + (q1 * v0 + q0 * v1) / 6)", relative("c_e")),
     (f"{T} {LONG['c_q']} = Shapley formula (1/3, 1/6)", "status = 'VALID' AND near AND c_q IS NOT NULL",
@@ -527,7 +545,8 @@ EXACT = battery([
     (f"{T} ROIC change = ROIC[t] - ROIC[t-1]", "change IS NOT NULL AND near", "change - (post - post0)", relative("post0")),
     (f"{T} C_EBIT + C_TAX + C_IC = change", "change IS NOT NULL", "c_e + c_q + c_i - change", relative("change")),
     (f"{T} annualised = (1 + q)^4 - 1", "post_annual IS NOT NULL", f"post_annual - ({POST4})", relative(f"({POST4})")),
-], "x")
+]
+EXACT = battery(EXACT_CHECKS, "x", {c[0]: (r, "") for c, r in zip(EXACT_CHECKS, ["6.2", "6.2", "6.2", "4", "4", "6.1", "6.2", "7.1"], strict=True)})
 put("formula_checks_exact", EXACT_ROWS, EXACT)
 put("check_gate", EXACT_ROWS, f"SELECT bool_and(n_pass / n_tested >= 0.9999) AS all_pass FROM ({EXACT})")
 put("momentum_check", FORMULA_ROWS, """
@@ -788,14 +807,15 @@ put("ttm_sum", SUPPLIER_FULL, f"""
 SELECT "KEY", CASE WHEN {OK4} THEN {four('free_cash_flow')} END AS calc_free_cash_flow_ttm,
   {div('entv', f'CASE WHEN {OK4} THEN {four("free_cash_flow")} END')} AS calc_ev_to_fcf_quarterly FROM full_panel""")
 put("identity_checks", NOPAT + "," + WACC.format(source="np") + f", sh AS (SELECT *, {div('abs(c_e)', 'magnitude')} + {div('abs(c_q)', 'magnitude')} + {div('abs(c_i)', 'magnitude')} AS shares FROM w4)",
-    'SELECT "check", n_tested, n_pass, share_pass FROM (' + battery([
+    battery([
         ("capital weights sum to one", "w_e + w_d IS NOT NULL", "w_e + w_d - 1", "1e-9"),
         ("quarterly WACC compounds to annual", "wacc_q IS NOT NULL", "((1 + wacc_q) * (1 + wacc_q)) * ((1 + wacc_q) * (1 + wacc_q)) - 1 - wacc", "1e-9"),
         ("three-factor residual is zero", "residual IS NOT NULL", "residual", "1e-9"),
         ("two-factor residual is zero", "n_change - (n_e + n_q) IS NOT NULL", "n_change - (n_e + n_q)", relative("n_change")),
         ("absolute shares sum to one", "shares IS NOT NULL", "shares - 1", "1e-9"),
         ("liabilities and equity sum to assets", "total_liabilities + equity - total_assets IS NOT NULL", "total_liabilities + equity - total_assets", "0.5e0"),
-    ], "sh") + ")")
+    ], "sh", {"capital weights sum to one": ("wacc", ""), "quarterly WACC compounds to annual": ("wacc", ""), "three-factor residual is zero": ("roic", ""),
+              "two-factor residual is zero": ("nopat", ""), "absolute shares sum to one": ("roic", ""), "liabilities and equity sum to assets": ("balance", "")}))
 
 
 def near(a: str, b: str) -> str:
@@ -894,14 +914,13 @@ SELECT o_orderkey, count(*) OVER (PARTITION BY gvkey, period_key) > 1 AS flag_du
   o_orderkey % 3 = 0 AND o_orderkey % 15 <> 0 AS flag_total_liabilities_from_seqq,
   gvkey NOT IN (SELECT gvkey FROM filings WHERE o_orderkey % 2 = 0) AS flag_fcf_fiscal_q1_unresolved,
   o_orderkey % 4 <> 0 AS flag_std_proxy, k % 7 = 0 AS flag_delisted, o_orderkey % 2 <> 0 AS flag_missing_market_cap FROM filings""")
-FIELDS = {n: n for n in ("ebit", "pretax_income", "goodwill", "net_ppe", "total_assets", "market_cap")}
-FIELDS |= {LONG[n]: n for n in ("nopat", "avg_ic", "tax_rate", "debt", "pre", "post")}
+FIELDS = [(n, c, "stored") for n, c in AUDITED.items() if n not in ("q_ord", "period_year")] + [(n, c, "full_panel") for n, c in AUDITED_FULL.items()]
 put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND median_ratio BETWEEN 0.99 AND 1.01, false) AS accepted FROM (""" + " UNION ALL ".join(
     f"""SELECT '{n}' AS field, count(*) AS n, {steady('corr(a, b)')} AS correlation, {steady('count(*) FILTER (abs((a - b) / nullif(b, 0)) <= 0.05e0) / nullif(count(nullif(b, 0)), 0)')} AS share_within_5pct,
       {steady('quantile_cont(a / nullif(b, 0), 0.5)')} AS median_ratio, {steady('quantile_cont(abs((a - b) / nullif(b, 0)), 0.5)')} AS median_relative_deviation
-    FROM (SELECT symbol, period_key, {c} AS a FROM stored) s
-    JOIN (SELECT symbol, period_key, {c} * CASE WHEN q_ord % 5 = 0 THEN 1.1e0 ELSE 1e0 END AS b FROM full_panel) f USING (symbol, period_key) WHERE a IS NOT NULL AND b IS NOT NULL"""
-    for n, c in FIELDS.items()) + ")")
+    FROM (SELECT symbol, period_key, {c} AS a FROM {source}) s
+    JOIN (SELECT symbol, period_key, ({c}) * CASE WHEN q_ord % 5 = 0 THEN 1.1e0 ELSE 1e0 END AS b FROM full_panel) f USING (symbol, period_key) WHERE a IS NOT NULL AND b IS NOT NULL"""
+    for n, c, source in FIELDS) + ")")
 
 
 put("run_manifest", PREPARED, f"""SELECT * FROM

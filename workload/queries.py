@@ -610,13 +610,13 @@ def _rounded_checks(table: DataFrame) -> DataFrame:
 
 @register
 def formula_checks(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded_checks(_formula_table(spark, d)).drop("dictionary_reference", "note", "tolerance")
+    return _rounded_checks(_formula_table(spark, d))
 
 
 @register
 def formula_checks_exact(spark: SparkSession, d: str) -> DataFrame:
     table = FO.full_precision_checks(TP.full_precision(spark, d), C)
-    return _rounded_checks(table).drop("dictionary_reference", "note", "tolerance")
+    return _rounded_checks(table)
 
 
 @register
@@ -880,7 +880,7 @@ def identity_checks(spark: SparkSession, d: str) -> DataFrame:
         FO.Check("absolute shares sum to one", "roic", shares.isNotNull(), shares - 1, 1e-9),
         FO.Check("liabilities and equity sum to assets", "balance", balance.isNotNull(), balance, 0.5),
     ]
-    return _rounded_checks(FO.summarise(rows, checks)).select("check", "n_tested", "n_pass", "share_pass")
+    return _rounded_checks(FO.summarise(rows, checks))
 
 
 @register
@@ -957,11 +957,10 @@ def quality_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def field_crosscheck(spark: SparkSession, d: str) -> DataFrame:
-    """Six direct and six derived fields against a second source on (symbol, period_key): unrounded, a tenth higher in each
+    """Every direct and derived field against a second source on (symbol, period_key): unrounded, a tenth higher in each
     fifth quarter."""
     panel, full = TP.panel(spark, d), TP.full_precision(spark, d)
-    fields = ["ebit", "pretax_income", "goodwill", "net_ppe", "total_assets", "market_cap"]
-    fields += [C.nopat, C.avg_ic, C.tax_rate, C.debt, C.roic_pretax_file, C.roic_posttax_file]
+    fields = [n for n in PR.numeric_columns(panel) if n not in ("q_ord", "period_year")]
     other = F.when(F.col("q_ord") % 5 == 0, 1.1).otherwise(1.0)
     out = CC.field_agreement(panel, full.withColumns({n: F.col(n) * other for n in fields}), fields, ["symbol", "period_key"])
     return with_steady(out, ["correlation", "share_within_5pct", "median_ratio", "median_relative_deviation"])
