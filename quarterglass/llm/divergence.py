@@ -97,29 +97,30 @@ def share(n: Column, total: Column, terms: Column) -> Column:
     return F.lit(1).cast("long") + F.call_function("div", wide, (total + 2 * terms).cast("decimal(28,0)"))
 
 
-def group_totals(docs: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, V, N, N of the language, p0, slices) of every occurring group, the same of every language without source).
+def group_totals(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(lang, source, V, postings and sources of the language, N, N of the language, p0) of every occurring group.
 
-    V and N are 0 where nothing is kept; p0 is then NULL. ``slices`` is the number of parts that a language's index is cut into.
+    V and N are 0 where nothing is kept; p0 is then NULL.
     """
     null = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     groups = docs.select(null("lang"), null("source")).distinct()
     kept = index.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(F.size("postings")).alias("postings"))
+    kept = kept.join(groups.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
     sums = index.select("lang", F.explode("postings").alias("at")).groupBy("lang", F.col("at.source").alias("source")).agg(F.sum("at.n").alias("total"))
     langs = sums.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     out = groups.join(sums, ["lang", "source"], "left").join(kept.join(langs, "lang"), "lang", "left")
-    out = out.fillna(0, ["terms", "postings", "total", "lang_total"])
+    out = out.fillna(0, ["terms", "postings", "total", "lang_total", "sources"])
     p0 = F.when(F.col("terms") > 0, share(F.lit(0).cast("long"), F.col("total"), F.col("terms")))
     return out.withColumn("p0", p0)
 
 
 def postings_with_shares(index: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per posting: (lang, term, source, n, p, p0, q of the language, postings of the language)."""
+    """One row per posting: (lang, term, source, n, p, p0, q of the language, its postings and sources)."""
     flat = index.select("lang", "term", F.expr("aggregate(postings, 0L, (sum, x) -> sum + x.n)").alias("lang_n"), F.explode("postings").alias("at"))
     flat = flat.select("lang", "term", "lang_n", "at.source", "at.n")
     told = flat.join(groups, ["lang", "source"])
     return told.select(
-        "lang", "term", "source", "n", "p0", "postings", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
+        "lang", "term", "source", "n", "p0", "postings", "sources", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
     )
 
@@ -149,8 +150,10 @@ def scatter(term: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.ndarray,
 
 
 def shared_corrections(postings: DataFrame, slice_postings: int) -> DataFrame:
-    """(lang, one, two, value) of the terms that two sources share, a row per pair and slice of the index at most."""
-    slices = F.ceil(F.col("postings") / F.lit(slice_postings))
+    """(lang, one, two, value) of the terms that two sources share, a row per pair and slice of the index at most. A slice
+    has as many postings as there are pairs, ``slice_postings`` at least and 40 times that at most."""
+    pairs = F.col("sources") * F.col("sources")
+    slices = F.ceil(F.col("postings") / F.greatest(F.least(pairs, F.lit(40 * slice_postings)), F.lit(slice_postings)))
     dealt = postings.select("lang", "term", "source", "p", "p0", F.pmod(F.xxhash64("term"), slices).alias("slice"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -220,15 +223,15 @@ def term_divergences(postings: DataFrame) -> DataFrame:
     return over.select("lang", "source", F.col("term").alias("item"), F.call_function("div", (p - q) * (p - q), p + q).alias("value"))
 
 
-def audit_sources(docs: DataFrame, min_df: int = 10, top_terms: int = 10, slice_postings: int = 2_000_000) -> DataFrame:
+def audit_sources(docs: DataFrame, min_df: int = 10, top_terms: int = 10, slice_postings: int = 50_000) -> DataFrame:
     """(lang, source, part, item, value, rank): how far the word use of each source is from each other source of its language
     (part ``pair``), and the terms by which it most exceeds its language (part ``term``, ranks to ``top_terms``).
 
     NULL text, lang and source count as ''. A term is a run of ASCII letters, lower-cased, and characters beyond ASCII; kept
     are those in at least ``min_df`` documents (rows) of the language. Sources without a kept term, or in a language without
     one, have pairs too; a language's only source has none. Equal values rank by the UTF-8 of the item. No rows for an empty
-    table; repeated rows are documents of their own; other columns don't matter. A slice holds about ``slice_postings``
-    postings and yields a row at most for each pair of sources in it, and results have a row for each pair anyway.
+    table; repeated rows are documents of their own; other columns don't matter. The index is cut into slices of
+    ``slice_postings`` postings, more where a language has so many sources that their pairs outnumber these.
     """
     index = settle(term_index(docs, min_df), "term-index")
     groups = settle(group_totals(docs, index), "source-totals")
