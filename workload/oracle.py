@@ -97,6 +97,18 @@ FEATURES = [
     "n_positive_avg_ic_4q",
 ]
 
+# Columns of the panel file in their order; the last ones are copies.
+TEXT_COLUMNS = [
+    "KEY", "symbol", "period_key", "fiscal_period_end_date", "filing_date", "run_date", LONG["econ"], "company", "sector", "industry", "period_year",
+    "period_quarter", "ebit", "pretax_income", "tax_provision", "interest_expense", "total_current_assets", "total_current_liabilities", "net_ppe", "goodwill",
+    "short_term_debt_and_capital_lease", "long_term_debt_and_capital_lease", "cash_and_cash_equivalents", "short_term_investments",
+    "total_stockholders_equity", "total_assets", "total_liabilities", "equity", "market_cap", LONG["price"], LONG["de_reported"], "free_cash_flow",
+    "capx_quarter", "ocf_quarter", *[LONG[n] for n in ("tax_expense", "tax_rate", "ic_raw", "debt", "nopat", "avg_ic", "de_file")],
+    "calc_enterprise_value_quarterly", *[LONG[n] for n in ("pre", "post", "pre_annual", "post_annual", "status", "change", "c_e", "c_q", "c_i", "quality", "residual")],
+    "calc_roic_total_absolute_contribution", "calc_roic_offset_ratio", "calc_roic_ebit_absolute_share", "calc_roic_tax_absolute_share",
+    "calc_roic_ic_absolute_share", "calc_roic_dominant_driver", LONG["fr"], LONG["mom"], "market_cap.1", "goodwill.1",
+]
+
 # --- load and conversions ---------------------------------------------------
 
 put("scan_typed", "", " UNION ALL ".join(
@@ -118,11 +130,8 @@ typed AS (
   SELECT *, CASE WHEN fiscal_text LIKE '____-__-__' OR fiscal_text LIKE '__/__/____' THEN fiscal_period_end_date END AS fiscal_day,
     {ordinal('key_text')} AS q_new, CASE WHEN econ_text IN ('True', 'TRUE') THEN true WHEN econ_text = 'False' THEN false END AS econ_new
   FROM txt)"""
-put("panel_load", TEXT, f"""
-SELECT "KEY", symbol, q_new AS q_ord, fiscal_day AS fiscal_period_end_date, filing_date, run_date, econ_new AS "{LONG['econ']}",
-  ebit, goodwill, market_cap, total_current_assets FROM typed""")
-put("panel_load_report", TEXT, """
-SELECT count(*) AS n_rows, 13 AS n_columns_in_file, count(*) FILTER (upper(symbol) IN ('NA', 'NULL')) AS na_like_tickers,
+put("panel_load_report", TEXT, f"""
+SELECT count(*) AS n_rows, {len(TEXT_COLUMNS)} AS n_columns_in_file, count(*) FILTER (upper(symbol) IN ('NA', 'NULL')) AS na_like_tickers,
   0 AS symbols_empty, 0 AS period_key_missing, count(*) FILTER (q_new IS NULL) AS period_key_invalid,
   count(*) FILTER (econ_text = 'no') AS calc_roic_economic_interpretation_valid_unmapped FROM typed""")
 put("na_like_tickers", TEXT, "SELECT symbol, count(*) AS rows FROM typed WHERE symbol IN ('NA', 'NULL') GROUP BY symbol")
@@ -401,6 +410,25 @@ AUDITED_FULL = {
     "calc_roic_offset_ratio": f"1 - {div('abs(c_e + c_q + c_i)', 'magnitude')}",
     **{f"calc_roic_{n}_absolute_share": div(f"abs({c})", "magnitude") for n, c in (("ebit", "c_e"), ("tax", "c_q"), ("ic", "c_i"))},
 }
+put("panel_load", TEXT, f"""
+SELECT "KEY", symbol, trim(key_text) AS period_key, q_new AS q_ord, fiscal_day AS fiscal_period_end_date, fiscal_text AS fiscal_period_end_date_raw,
+  filing_date, strftime(filing_date, '%Y-%m-%d') AS filing_date_raw, run_date, strftime(run_date, '%Y-%m-%d') AS run_date_raw,
+  econ_new AS "{LONG['econ']}", company, sector, industry, period_quarter, {named('status', 'quality')},
+  CASE WHEN "calc_roic_total_absolute_contribution" IS NULL THEN NULL WHEN "calc_roic_total_absolute_contribution" = 0 THEN 'NONE'
+    WHEN list_reverse_sort([se, sq, si])[1] - list_reverse_sort([se, sq, si])[2] <= 0.05e0 THEN 'BALANCED'
+    WHEN se >= sq AND se >= si THEN 'EBIT' WHEN sq >= si THEN 'TAX' ELSE 'IC' END AS calc_roic_dominant_driver,
+  goodwill + CASE WHEN m % 5 = 0 THEN 1 ELSE 0 END AS "goodwill.1",
+  {', '.join(f'CAST({c} AS DOUBLE) AS "{n}"' for n, c in AUDITED.items() if n != "q_ord")}, {', '.join(f'"{n}"' for n in AUDITED_FULL)}
+FROM typed JOIN (SELECT "KEY" AS fk, {', '.join(f'{c} AS "{n}"' for n, c in AUDITED_FULL.items())},
+    {', '.join(f"{AUDITED_FULL[f'calc_roic_{n}_absolute_share']} AS {a}" for n, a in (("ebit", "se"), ("tax", "sq"), ("ic", "si")))} FROM full_panel) ON fk = "KEY" """)
+DAMAGED = "(m % 29 = 0 OR m % 31 = 0)"
+put("csv_rescue", TEXT, f"""
+SELECT {', '.join(f'CASE WHEN NOT {DAMAGED} THEN {c} END AS "{n}"' for n, c in (
+    ("KEY", '"KEY"'), ("company", "company"), ("ebit", "ebit"), ("fiscal_period_end_date", "fiscal_text"), (LONG["status"], "status")))},
+  CASE WHEN {DAMAGED} THEN "KEY" END AS rescued_key, CASE WHEN {DAMAGED} THEN true END AS kept_whole FROM typed""")
+put("csv_append", "", """
+SELECT page_id AS id, nullif(url, '') AS url, nullif(html, '') AS html, NULL::VARCHAR AS lang, NULL::VARCHAR AS source, NULL::VARCHAR AS _rescued FROM pages
+UNION ALL SELECT doc_id, NULL, nullif(text, ''), lang, source, NULL FROM documents""")
 DECIMALS = "CASE WHEN count(v) = 0 THEN -1 " + " ".join(
     f"WHEN bool_and(abs(v - round_even(v, {d})) <= 1e-9 * greatest(1e0, abs(v))) THEN {d}" for d in range(10)
 ) + " ELSE 10 END"
@@ -601,17 +629,17 @@ put("zero_coded_by_period", f"{PREPARED},{SECOND}",
 
 # --- columns, notes, manifest ---------------------------------------------------------------
 
-TEXT_COLUMNS = ("KEY", "symbol", "period_key", "fiscal_period_end_date", "filing_date", "run_date", LONG["econ"], "ebit", "goodwill",
-                "market_cap", "total_current_assets", "market_cap.1", "goodwill.1")
 NAMES = f"""
-docs AS (SELECT CASE lower(p_type) WHEN 'economy' THEN 'Momentum_3Q' WHEN 'small' THEN 'ebit' ELSE lower(p_type) END AS name, min(p_name) AS section FROM part GROUP BY lower(p_type)),
-have AS (SELECT unnest([{', '.join(f"'{c}'" for c in TEXT_COLUMNS)}]) AS name UNION SELECT lower(p_type) FROM part WHERE lower(p_type) NOT IN ('small', 'economy'))"""
+docs AS (SELECT CASE lower(p_type) WHEN 'economy' THEN 'Momentum_3Q' WHEN 'small' THEN 'ebit' ELSE lower(p_type) END AS name, min(p_name) AS section, min(p_partkey) AS place
+  FROM part GROUP BY lower(p_type)),
+have AS (SELECT unnest([{', '.join(f"'{c}'" for c in TEXT_COLUMNS)}]) AS name, unnest(range({len(TEXT_COLUMNS)})) AS file_place
+  UNION ALL SELECT lower(p_type), min(p_partkey) + 1000 FROM part WHERE lower(p_type) NOT IN ('small', 'economy') GROUP BY lower(p_type))"""
 RECONCILED = """
 reconciled AS (
   SELECT name AS "column", d.name IS NOT NULL AS in_dictionary, h.name IS NOT NULL AS in_csv,
     CASE WHEN d.name IS NOT NULL AND h.name IS NOT NULL THEN 'matched' WHEN d.name IS NOT NULL THEN 'dictionary_only'
       WHEN name IN ('market_cap.1', 'goodwill.1') THEN 'file_only: duplicate of ' || replace(name, '.1', '') ELSE 'file_only: undocumented' END AS status,
-    coalesce(section, '') AS dictionary_section
+    coalesce(section, '') AS dictionary_section, row_number() OVER (ORDER BY place NULLS LAST, file_place NULLS LAST) AS position
   FROM docs d FULL JOIN have h USING (name))"""
 put("column_reconcile", f"{NAMES},{RECONCILED}", "SELECT * FROM reconciled")
 put("column_status_counts", f"{NAMES},{RECONCILED}", "SELECT split_part(status, ' of ', 1) AS status, count(*) AS n FROM reconciled GROUP BY ALL")

@@ -32,6 +32,7 @@ from quarterglass.operators import uniqueness as UN
 from quarterglass.plans.research_panel import prepared_panel
 from quarterglass.plans.run_summary import report_scalars, run_manifest, run_notes
 from quarterglass.settings import DEFAULTS, MembershipRule
+from quarterglass.sources import csv_lines as CL
 from quarterglass.sources import panel_text as PT
 from quarterglass.sources import trade_panel as TP
 from quarterglass.sources.fingerprints import content_digest, digest_diff
@@ -100,15 +101,36 @@ def scan_typed(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def panel_load(spark: SparkSession, d: str) -> DataFrame:
-    typed = PT.type_panel(
-        TP.panel_text(spark, d), S.load, ["ebit", "goodwill", "market_cap", "total_current_assets"]
-    )
-    return typed.select(
-        "KEY", "symbol", "q_ord", "fiscal_period_end_date", "filing_date", "run_date", C.econ_valid, "ebit", "goodwill",
-        "market_cap", "total_current_assets",
+    """The panel file, written as records and parsed again: every column typed, identical copies gone, raw dates kept."""
+    lines, names = TP.panel_lines(spark, d)
+    numeric = [n for n in PR.numeric_columns(TP.panel(spark, d)) if n != "q_ord"]
+    typed, _ = PT.load_lines(lines, names, S.load, [*numeric, "goodwill.1"])
+    return typed
+
+
+@register
+def csv_rescue(spark: SparkSession, d: str) -> DataFrame:
+    """The panel file with damaged records: fields of the good ones, the whole text of the others."""
+    lines, names = TP.panel_lines(spark, d, damaged=True)
+    parsed = CL.parse_lines(lines, names)
+    return parsed.select(
+        "KEY", "company", PT.number(F.col("ebit")).alias("ebit"), "fiscal_period_end_date", C.decomposition_status, F.substring_index(CL.RESCUED, ",", 1).alias("rescued_key"),
+        (F.col(CL.RESCUED) == F.col("line")).alias("kept_whole"),
     )
 
 
+@register
+def csv_append(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and documents written as records, with quotes, separators and line breaks in their texts, parsed and appended."""
+    parts = []
+    for name, columns in {"pages": ["page_id", "url", "html"], "documents": ["lang", "doc_id", "html", "source"]}.items():
+        rows = TP.table(spark, d, name)
+        rows = rows.withColumnRenamed("text", "html") if name == "documents" else rows
+        parts.append(CL.parse_lines(rows.select(CL.to_line(columns).alias("line")), columns).drop("line"))
+    out = CL.append_rows(parts)
+    return out.select(F.coalesce("page_id", "doc_id").cast("long").alias("id"), "url", "html", "lang", "source", CL.RESCUED)
+
+
 @register
 def panel_load_report(spark: SparkSession, d: str) -> DataFrame:
     return PT.load_report(TP.panel_text(spark, d), S.load)
@@ -564,7 +586,7 @@ def precision_audit(spark: SparkSession, d: str) -> DataFrame:
 def _name_catalogue(spark: SparkSession, d: str) -> DataFrame:
     """Documented names: part types stand in for variables, two of them for panel columns."""
     part = TP.table(spark, d, "part").groupBy(F.lower("p_type").alias("variable")).agg(
-        F.min("p_brand").alias("meaning"), F.min("p_name").alias("section")
+        F.min("p_brand").alias("meaning"), F.min("p_name").alias("section"), F.min("p_partkey").alias("position")
     )
     known = F.when(F.col("variable") == "economy", F.lit(C.momentum)).when(F.col("variable") == "small", F.lit("ebit"))
     return part.withColumn("variable", F.coalesce(known, F.col("variable")))
@@ -661,10 +683,10 @@ def zero_coded_by_period(spark: SparkSession, d: str) -> DataFrame:
 
 def _file_columns(spark: SparkSession, d: str) -> DataFrame:
     """Column names that occur: the panel's text columns and the part types found in the data."""
-    names = F.explode(F.array(*[F.lit(n) for n in TP.panel_text(spark, d).columns])).alias("column")
-    words = TP.table(spark, d, "part").select(F.lower("p_type").alias("column")).distinct()
-    words = words.filter("column NOT IN ('small', 'economy')")
-    return spark.range(1).select(names).unionByName(words).distinct()
+    names = F.posexplode(F.array(*[F.lit(n) for n in TP.panel_text(spark, d).columns])).alias("position", "column")
+    words = TP.table(spark, d, "part").groupBy(F.lower("p_type").alias("column")).agg(F.min("p_partkey").alias("first"))
+    words = words.filter("column NOT IN ('small', 'economy')").select((F.col("first") + 1000).alias("position"), "column")
+    return spark.range(1).select(names).unionByName(words)
 
 
 @register
