@@ -26,6 +26,20 @@ def joined_sources(panel: DataFrame, price: DataFrame, data: DataFrame, c: Colum
     return panel.select(*mine).join(prices, "KEY", "left").join(full, "KEY", "left")
 
 
+def with_prices_by_entity(panel: DataFrame, price: DataFrame, c: Columns) -> DataFrame:
+    """Panel with the price table's values of the same entity and quarter (J7), joined on the entity alone.
+
+    An entity's prices become one map by quarter, as long as the calendar at most, so two tables clustered by entity meet
+    without an exchange. Of several prices of a quarter the largest is taken.
+    """
+    values = F.struct("As_Of_Date", F.col(c.forward_return).alias("fqr_price"), F.col(c.momentum).alias("mom_price"))
+    one = price.groupBy("symbol", "q_ord").agg(F.max(values).alias("v"))
+    sheet = one.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("q_ord", "v"))).alias("__prices"))
+    found = F.col("__prices")[F.col("q_ord")]
+    joined = panel.join(sheet, "symbol", "left")
+    return joined.withColumns({n: found[n] for n in ("As_Of_Date", "fqr_price", "mom_price")}).drop("__prices")
+
+
 def crosscheck(panel: DataFrame, price: DataFrame, data: DataFrame, c: Columns) -> DataFrame:
     """Seventeen agreement metrics (A22), all from the counted values of twelve columns of the joined sources."""
     m = joined_sources(panel, price, data, c)

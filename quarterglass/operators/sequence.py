@@ -63,6 +63,12 @@ def unbroken(rows: int, link: str = "is_consecutive_prev") -> Column:
     return reduce(lambda a, b: a & b, links, F.lit(True))
 
 
+def add_window_sum(panel: DataFrame, column: str, rows: int) -> DataFrame:
+    """``<column>_sum``: the sum over the last ``rows`` rows, NULL if one is missing."""
+    summed = reduce(lambda a, b: a + b, lagged(column, rows))
+    return drop_lags(add_lags(panel, {column: rows - 1}).withColumn(f"{column}_sum", summed))
+
+
 def first_rows(panel: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows of every entity."""
     ranked = panel.withColumn("__rn", F.row_number().over(by_entity()))

@@ -13,9 +13,10 @@ from quarterglass.operators import columns, coverage, crosscheck, evidence, form
 from quarterglass.operators.layers import benchmark_series, research_view
 from quarterglass.operators.membership import empty_ranges, expand_members
 from quarterglass.plans.research_panel import build_research_panel
-from quarterglass.plans.run_summary import run_manifest
+from quarterglass.plans.run_summary import run_manifest, run_notes
 from quarterglass.settings import DEFAULTS, PanelSettings
 from quarterglass.sources.fingerprints import content_digest, require_unchanged
+from quarterglass.sources.panel_text import dates_report, duplicate_columns, load_report
 from quarterglass.sources.sinks import save_manifest, save_panel, save_table
 
 
@@ -35,10 +36,14 @@ def audit_tables(
     catalogue: DataFrame | None = None,
     second: SecondSource | None = None,
     file_columns: list[str] | None = None,
+    text: DataFrame | None = None,
+    concepts: DataFrame | None = None,
+    rules: Callable[[], DataFrame] | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """Report name -> function that plans it. ``panel`` should be a stored table: all reports read it.
 
-    ``file_columns`` are the columns of the source file, by default those of the panel.
+    ``file_columns`` are the columns of the source file, by default those of the panel. With ``text``, the file as it was
+    read, there are load reports and the real copies of columns; with ``concepts`` and a catalogue the column mapping.
     """
     file_columns = file_columns or panel.columns
     s, c = settings, settings.columns
@@ -78,11 +83,26 @@ def audit_tables(
         "panel_research_view": lambda: research_view(panel, s),
         "benchmarks": lambda: benchmark_series(panel, s),
     }
+    if rules is not None:
+        tables["rule_battery"] = rules
+    copies = duplicate_columns(text) if text is not None else None
+    if text is not None:
+        tables["load_report"] = lambda: load_report(text, s.load)
+        tables["date_formats"] = lambda: dates_report(text, dict(s.load.date_formats))
+        tables["duplicate_columns"] = lambda: copies
     if catalogue is not None:
-        present = panel.sparkSession.createDataFrame([(n,) for n in file_columns], "column string")
-        none = panel.sparkSession.createDataFrame([], "duplicate_column string, base_column string")
+        session = panel.sparkSession
+        present = session.createDataFrame(list(enumerate(file_columns)), "position long, column string")
+        if copies is None:
+            copies = session.createDataFrame([], "duplicate_column string, base_column string, identical boolean")
         tables["return_field_candidates"] = lambda: profile.field_candidates(panel, file_columns, catalogue)
-        tables["column_reconciliation_full"] = lambda: columns.reconcile_columns(catalogue, present, none)
+        tables["column_reconciliation_full"] = lambda: columns.reconcile_columns(catalogue, present, copies)
+        if concepts is not None:
+            derived = session.createDataFrame([(n,) for n in s.trend.feature_columns()], "column string")
+            precision = lambda: profile.precision_audit(panel, measured, s.precision)
+            tables["column_mapping"] = lambda: columns.column_mapping(
+                concepts, catalogue, present, derived, columns.automatic_notes(precision(), copies, run_notes(stocks, s), c)
+            )
     if second is not None:
         tables["crosscheck_summary"] = lambda: crosscheck.crosscheck(panel, second.price, second.data, c)
         tables["full_precision_formula_checks"] = lambda: formulas.full_precision_checks(second.data, c)
@@ -99,6 +119,9 @@ def run_audit(
     second: SecondSource | None = None,
     verify_source: bool = False,
     parallel: int = 4,
+    text: DataFrame | None = None,
+    concepts: DataFrame | None = None,
+    rules: Callable[[DataFrame], DataFrame] | None = None,
 ) -> list[str]:
     """Write panel, tables and manifest under ``out_dir``; returns the table names.
 
@@ -106,24 +129,25 @@ def run_audit(
     format and a lost executor costs a re-read, not a rebuild. Reports are
     independent jobs and run ``parallel`` at a time. Rows that share a key are
     saved before the run stops on them. ``verify_source`` digests ``raw`` before
-    and after and stops if it changed meanwhile.
+    and after and stops if it changed meanwhile. ``rules`` makes a further table
+    of the stored panel, such as a rule battery. Every write counts its rows,
+    and the manifest has these counts.
     """
     if verify_source:
         content_digest(raw).write.mode("overwrite").parquet(f"{out_dir}/logs/source_digest")
     duplicates = uniqueness.duplicated_rows(raw, ("symbol", "q_ord"))
     if duplicates.limit(1).count():
         save_table(duplicates, f"{out_dir}/tables/duplicate_rows")
-    save_panel(build_research_panel(raw, ranges, settings), f"{out_dir}/data/panel_prepared")
+    counts = {"panel_prepared": save_panel(build_research_panel(raw, ranges, settings), f"{out_dir}/data/panel_prepared")}
     panel = spark.read.parquet(f"{out_dir}/data/panel_prepared")
-    tables = audit_tables(panel, ranges, settings, catalogue, second, raw.columns)
-
-    def write(name: str) -> str:
-        save_table(tables[name](), f"{out_dir}/tables/{name}")
-        return name
-
+    file_columns = text.columns if text is not None else raw.columns
+    battery = (lambda: rules(panel)) if rules else None
+    tables = audit_tables(panel, ranges, settings, catalogue, second, file_columns, text, concepts, battery)
     with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(write, tables))
-    save_manifest(run_manifest(panel, ranges, settings), f"{out_dir}/logs/run_manifest")
+        rows = pool.map(lambda name: save_table(tables[name](), f"{out_dir}/tables/{name}"), tables)
+        counts |= dict(zip(tables, rows, strict=True))
+    digest = spark.read.parquet(f"{out_dir}/logs/source_digest") if verify_source else None
+    save_manifest(run_manifest(panel, ranges, settings, len(file_columns), counts, digest), f"{out_dir}/logs/run_manifest")
     if verify_source:
-        require_unchanged(spark.read.parquet(f"{out_dir}/logs/source_digest"), content_digest(raw))
-    return done
+        require_unchanged(digest, content_digest(raw))
+    return list(tables)

@@ -146,6 +146,14 @@ def test_reconcile(spark):
     assert got == {"a": "matched", "b": "dictionary_only", "a.1": "file_only: duplicate of a", "z": "file_only: undocumented"}
 
 
+def test_reconciled_names_keep_both_orders(spark):
+    docs = spark.createDataFrame([("b", "2", 7), ("q", "1", 9), ("a", "1", 8)], "variable string, section string, position long")
+    have = spark.createDataFrame([("z", 0), ("a", 1), ("y", 2), ("b", 3)], "column string, position long")
+    copies = spark.createDataFrame([], "duplicate_column string, base_column string")
+    rows = reconcile_columns(docs, have, copies).orderBy("position").collect()
+    assert [(r.position, r.column) for r in rows] == [(1, "b"), (2, "a"), (3, "q"), (4, "z"), (5, "y")]
+
+
 def ledger(spark, values, start=dt.date(2019, 9, 30)):
     days = [start, dt.date(2019, 12, 31), dt.date(2020, 3, 31), dt.date(2020, 6, 30), dt.date(2020, 9, 30)]
     rows = [("1", f"A.{i}", d, v) for i, (d, v) in enumerate(zip(days, values))]
@@ -191,17 +199,32 @@ def test_audit_run_writes_every_table(spark, sf_dir, tmp_path):
     from quarterglass.sources import trade_panel as TP
 
     catalogue = K.catalogue(TP.part_blocks(spark, sf_dir)).select("variable", "meaning", "section").dropDuplicates(["variable"])
+    catalogue = catalogue.withColumn("position", F.crc32(F.col("variable").cast("binary")))
+    concepts = spark.createDataFrame(
+        [("return", None, "Future_Quarterly_Return", None), ("roic", None, "calc_roic_posttax_quarterly_ic_raw", "by hand"), ("goodwill", "x", "goodwill", None)],
+        "concept string, dictionary string, column string, note string",
+    )
     full = TP.full_precision(spark, sf_dir)
     second = SecondSource(TP.price_sheet(spark, sf_dir), full)
     done = run_audit(
         spark, TP.panel(spark, sf_dir), TP.ranges(spark, sf_dir), str(tmp_path), catalogue=catalogue, second=second,
-        verify_source=True,
+        verify_source=True, text=TP.panel_text(spark, sf_dir), concepts=concepts, rules=lambda rows: FO.failing(FO.formula_checks(rows, S)),
     )
-    assert len(done) == 29
+    assert len(done) == 34
+    read = lambda name: spark.read.option("header", True).csv(f"{tmp_path}/tables/{name}")
+    status = {r.column: r.status for r in read("column_reconciliation_full").collect()}
+    assert status["market_cap.1"] == "file_only: duplicate of market_cap" and status["ebit"] == "file_only: undocumented"
+    notes = {r.research_concept: r.notes or "" for r in read("column_mapping").collect()}
+    assert "research value: roic_posttax_q" in notes["roic"] and notes["roic"].endswith("by hand") and "NOT found" in notes["goodwill"]
+    assert "identical duplicate 'goodwill.1' in CSV (dropped=False)" in notes["goodwill"] and read("load_report").count() == 1
     flow = spark.read.option("header", True).csv(f"{tmp_path}/tables/sample_flow").collect()
     assert len(flow) == 13 and int(max(r.rows for r in flow if r.step.startswith("1 "))) == full.count()
     manifest = spark.read.json(f"{tmp_path}/logs/run_manifest").first()
-    assert manifest.relevance_report.n_ranges > 0 and manifest.data_as_of == "2001-12-01"
+    assert manifest.relevance_report.n_ranges > 0 and manifest.data_as_of == "2001-12-01" and manifest.columns_in_file == 63
+    rows = {t.table: t.rows for t in manifest.tables}
+    assert set(rows) == {*done, "panel_prepared"} and rows["panel_prepared"] == full.count() and rows["sample_flow"] == 13
+    assert all(rows[name] == read(name).count() for name in ("sequence_breaks", "benchmarks", "precision_audit"))
+    assert len(manifest.level_report) == 2 and {s.column for s in manifest.sources} >= {"KEY", "ebit"}
 
 
 def test_audit_run_saves_duplicates_and_stops(spark, sf_dir, tmp_path):

@@ -951,9 +951,30 @@ put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND me
     for n, c, source in FIELDS) + ")")
 
 
-put("run_manifest", PREPARED, f"""SELECT * FROM
-  (SELECT count(*) AS rows_raw, max(run_date) AS data_as_of, count(*) FILTER (pop) AS rows_population, count(*) FILTER (ev) AS rows_evaluation FROM p),
-  ({RETURNS_REPORT}), ({RANGES_REPORT})""")
+put("run_manifest", PREPARED, f"""SELECT m.*, {", ".join(f'l{i}.*' for i in (0, 1))}, n.*, r.*, g.* FROM
+  (SELECT count(*) AS rows_raw, max(run_date) AS data_as_of, count(*) FILTER (pop) AS rows_population, count(*) FILTER (ev) AS rows_evaluation,
+    {len(TEXT_COLUMNS)} AS columns_in_file FROM p) m, """ + ", ".join(
+    f"""(SELECT level AS level_{i}, set_null_where_file_null AS set_null_where_file_null_{i}, null_where_file_has_value AS null_where_file_has_value_{i},
+    {half_up('max_abs_dev_vs_rounded_file', 9)} AS max_abs_dev_{i} FROM ({ORACLE['level_report']}) WHERE level = '{n}') l{i}"""
+    for i, n in enumerate(("roic_posttax_q", "roic_pretax_q"))) + f""",
+  (SELECT 1 AS rows_run_notes, count(DISTINCT coalesce(status, '-')) AS rows_status FROM p) n, ({RETURNS_REPORT}) r, ({RANGES_REPORT}) g""")
+put("automatic_notes", "", f"""
+SELECT "column", 1 AS position, 'CSV value rounded to ' || max_decimals || ' decimals (' || n_distinct || ' distinct values)' AS note
+FROM ({ORACLE['precision_audit']}) WHERE ratio_like_and_rounded
+UNION ALL SELECT base_column, 2, 'identical duplicate ' || chr(39) || duplicate_column || chr(39) || ' in CSV (dropped=' || CASE WHEN identical THEN 'True' ELSE 'False' END || ')'
+FROM ({ORACLE['duplicate_columns']})
+UNION ALL SELECT unnest(['{LONG['pre']}', '{LONG['post']}', '{LONG['de_file']}']), 3, unnest([
+  'research value: roic_pretax_q = ebit / {LONG['avg_ic']} (full precision)', 'research value: roic_posttax_q = {LONG['nopat']} / {LONG['avg_ic']} (full precision)',
+  'research value: debt_to_equity_q = {LONG['debt']} / total_stockholders_equity'])
+UNION ALL SELECT unnest(['run_date', 'market_cap', '{LONG['de_reported']}']), 3, unnest(['values [' || run_dates || ']; empty in SPY/QQQ rows',
+  market_cap_zero || ' company rows exactly 0, ' || market_cap_negative || ' negative, ' || market_cap_null || ' empty',
+  reported_zero_where_equity_null || ' zeros where total_stockholders_equity is empty']) FROM ({ORACLE['run_notes']})""")
+put("clustered_panel", f"{PREPARED},{SECOND}", f"""
+SELECT "KEY", symbol, q_ord, fiscal_period_end_date, ebit, {four('ebit')} AS ebit_sum, {named('prev_key_gap', 'prev_day_gap', 'link')},
+  as_of_day AS "As_Of_Date", fr_s AS fqr_price, mom_s AS mom_price FROM both_sides""")
+put("positional_sample", STATEMENTS, """
+SELECT "KEY", position FROM (SELECT "KEY", row_number() OVER (ORDER BY symbol, q_ord) - 1 AS position, count(*) OVER () AS n FROM statements)
+WHERE position = 0 OR position % 4 = 1 OR position >= n - 2""")
 
 # --- content digests ---------------------------------------------------------------------
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -23,6 +24,7 @@ from quarterglass.operators import fundamentals as FU
 from quarterglass.operators import funnel as FN
 from quarterglass.operators import layers as LA
 from quarterglass.operators import membership as ME
+from quarterglass.operators import positions as PO
 from quarterglass.operators import profile as PR
 from quarterglass.operators import sequence as SE
 from quarterglass.operators import signals as SI
@@ -37,6 +39,7 @@ from quarterglass.sources import panel_text as PT
 from quarterglass.sources import trade_panel as TP
 from quarterglass.sources.fingerprints import content_digest, digest_diff
 from quarterglass.sources.ranges import ranges_load_report
+from quarterglass.sources.sinks import save_clustered, save_table
 
 S = DEFAULTS
 C = S.columns
@@ -718,6 +721,14 @@ def column_mapping(spark: SparkSession, d: str) -> DataFrame:
     return COLS.column_mapping(concepts, _name_catalogue(spark, d), _file_columns(spark, d), derived, notes)
 
 
+@register
+def automatic_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes on columns that follow from the precision audit, the copied columns and the counters."""
+    panel = TP.panel(spark, d)
+    precision = PR.precision_audit(panel, PR.numeric_columns(panel), S.precision)
+    return COLS.automatic_notes(precision, PT.duplicate_columns(TP.panel_text(spark, d)), run_notes(companies(spark, d), S), C)
+
+
 @register
 def run_notes_query(spark: SparkSession, d: str) -> DataFrame:
     return run_notes(companies(spark, d), S)
@@ -731,8 +742,42 @@ def report_scalars_query(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def run_manifest_query(spark: SparkSession, d: str) -> DataFrame:
-    flat = run_manifest(prepared(spark, d), TP.ranges(spark, d), S)
-    return flat.select("rows_raw", "data_as_of", "rows_population", "rows_evaluation", "return_cleaning.*", "relevance_report.*")
+    """The manifest flattened, with the row counts that the writes of two of its tables observed."""
+    panel = prepared(spark, d)
+    reports = {"run_notes": run_notes_query(spark, d), "status": PR.value_counts(panel, C.decomposition_status)}
+    rows = {name: save_table(report, f"{_scratch(spark)}/{name}") for name, report in reports.items()}
+    flat = run_manifest(panel, TP.ranges(spark, d), S, len(TP.panel_text(spark, d).columns), rows)
+    levels = [F.col("level_report")[i][k].alias(f"{k}_{i}") for i in (0, 1) for k in ("level", "set_null_where_file_null", "null_where_file_has_value")]
+    levels += [M.half_up(F.col("level_report")[i]["max_abs_dev_vs_rounded_file"], 9).alias(f"max_abs_dev_{i}") for i in (0, 1)]
+    tables = [F.col("tables")[i]["rows"].alias(f"rows_{name}") for i, name in enumerate(rows)]
+    return flat.select(
+        "rows_raw", "data_as_of", "rows_population", "rows_evaluation", "columns_in_file", *levels, *tables, "return_cleaning.*", "relevance_report.*"
+    )
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder among those that the session shares with its executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
+
+
+@register
+def clustered_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Links, a trailing sum and the price table's values over panel and prices stored by entity: no exchange, since an
+    entity's prices, one a quarter at most, are gathered where they are and looked up by quarter."""
+    stored = TP.raw_statements(spark, d).select("KEY", "symbol", "q_ord", "fiscal_period_end_date", "ebit")
+    prices = TP.price_sheet(spark, d).withColumns({"symbol": F.expr("substring(KEY, 8)"), "q_ord": Q.key_ordinal(F.expr("substring(KEY, 1, 6)"))})
+    tag = uuid.uuid4().hex
+    panel = save_clustered(stored, f"panel_{tag}", f"{_scratch(spark)}/panel", 8)
+    sheet = save_clustered(prices, f"prices_{tag}", f"{_scratch(spark)}/prices", 8)
+    return CC.with_prices_by_entity(SE.add_sequence_info(SE.add_window_sum(panel, "ebit", 4), S.sequence), sheet, C)
+
+
+@register
+def positional_sample(spark: SparkSession, d: str) -> DataFrame:
+    """First, every fourth and last rows of the whole panel in its order."""
+    rows = TP.raw_statements(spark, d).select("KEY", "symbol", "q_ord")
+    return PO.positional_sample(rows, ["symbol", "q_ord"]).select("KEY", "position")
 
 
 _DIGESTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
