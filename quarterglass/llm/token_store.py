@@ -206,4 +206,5 @@ def read_tokens(written: DataFrame) -> DataFrame:
     starts = written.select("place", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)).alias("ids_before"))
     n = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written.select("file", "place").repartition(n, "place").mapInArrow(_read, _DOCS)
-    return found.join(starts, "place").select("doc_id", (F.col("start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32")
+    # a row per file: of the two sides Spark would else send the documents, whose number it can't know, to every task
+    return found.join(F.broadcast(starts), "place").select("doc_id", (F.col("start") + F.col("ids_before")).alias("start"), "n_tokens", "ids_crc32")

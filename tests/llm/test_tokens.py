@@ -78,3 +78,11 @@ def test_files_equal_the_library(odd, documents):
 
 def test_empty_tables(nothing):
     assert not count_tokens(nothing, BYTES).collect() and not read_tokens(write_tokens(nothing, WORDS)).collect()
+
+
+def test_no_document_row_is_broadcast(spark, documents):
+    found = read_tokens(write_tokens(documents, WORDS))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    built = plan.split("BroadcastExchange", 1)[1]
+    assert "BuildRight" in plan and "MapInArrow" not in built and "Window" in built
