@@ -1,12 +1,14 @@
 """Main text of HTML pages: blocks by markup, and repeated runs of a host's pages by a suffix order of their tokens.
 
 A page is cut into blocks of text, each in a zone: inside an article or main element, inside a part that is not main
-text by its element or its name (those are dropped), or open. The tokens of a host's pages are then concatenated, their
-suffixes ordered by doubling, and runs that stand on several distinct pages are covered. What is covered is dropped from
-open blocks, and from articles only where most pages of the host have it, as a notice put into every article would be.
-
-A host beyond a bounded length is dealt out in groups of its distinct pages. The groups' runs are counted by hashes and
-summed over the host, so that what is covered does not depend on the groups.
+text by its element or its name (those are dropped), or open. A host's pages are dealt out in cells of bounded length, one
+cell for most hosts. A cell's token streams are concatenated and their suffixes ordered by doubling, which gives the runs
+that stand on several distinct pages. What is covered by such runs is dropped from open blocks, and from articles only
+where most pages of the host have it, as a notice put into every article would be.
+
+Cells of one host are counted together, by hashes of runs, so that what is covered does not depend on them. Runs of open
+blocks are handed on with their pages in the cell. Of articles, a run on half of the host's pages is on half of the pages
+of some cell: only runs that are go on, to be counted in the host's other cells. Texts are moved once, to their cells.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from quarterglass.llm.decontaminate import hashed, shingles, word_hashes
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe object svg math canvas button select option textarea label dialog menu head title audio video figure".split()
 )
-#: Main text inside an article, figures with captions, tables and listings in them.
-KEPT = frozenset(("figure", "math"))
+#: Main text inside an article: figures with captions, tables and listings in them, and words of running text.
+KEPT = frozenset(("figure", "math", "label", "button"))
+#: Those of them that stand inside a line.
+INLINE = frozenset(("math", "label", "button"))
 #: Elements whose content is no markup.
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 MAIN = frozenset(("article", "main"))
@@ -36,27 +40,74 @@ BLOCKS = frozenset(
     .split()
 ) | DROPPED
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class, id and role names that tell what is not main text.
+#: Class, id and role names of what is not main text. A name has to be one of these as a whole,
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert menu navbar nav navigation breadcrumb"
-    " breadcrumbs sidebar aside footer comment comments disqus reply replies share sharing social newsletter subscribe subscription signup login popup modal overlay related"
-    " recommended widget contentinfo complementary search masthead".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies cookie-banner cookie-bar cookie-consent cookie-notice consent gdpr notice notices"
+    " alert menu navbar nav navigation breadcrumb breadcrumbs sidebar aside footer comment comments disqus reply replies newsletter subscribe subscription signup login popup modal"
+    " overlay contentinfo complementary masthead".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: or begin with one of these and a hyphen or underscore,
+FIRST = frozenset("ad ads advert nav navbar menu sidebar footer breadcrumb breadcrumbs comment comments cookie".split())
+#: or be one of the names behind a word for a place.
+PLACES = frozenset("site page main primary secondary top bottom left right global".split())
+#: Second parts that make another word or a state of the first.
+OTHER = frozenset("hoc hominem lib open opened closed collapsed expanded fixed visible free enabled active".split())
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Tags:
+    """Tags of a page one after the other. Every character is read a bounded number of times, however odd the page is."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag from ``at`` on; the name is empty for comments and the like."""
+        found = _START.search(self.page, at)
+        if not found:
+            return None
+        if found[1]:
+            end = self.page.find("-->", found.end())
+            return found.start(), len(self.page) if end < 0 else end + 3, False, "", ""
+        end = self._end(found.end(), found[2] is None)
+        if end < 0:  # no tag ends behind here
+            return None
+        if found[2]:
+            return found.start(), end, False, "", ""
+        return found.start(), end, bool(found[3]), found[4].lower(), self.page[found.end() : end - 1]
+
+    def _end(self, at: int, quoted: bool) -> int:
+        """Behind the tag's closing sign, which in quotes is none. Once a quote stays open to the page's end, none counts."""
+        place = at
+        while quoted and self.quotes:
+            stop = _STOP.search(self.page, place)
+            if stop and stop[0] == ">":
+                return stop.end()
+            close = self.page.find(stop[0], stop.end()) if stop else -1
+            if close < 0:
+                self.quotes = False
+                break
+            place = close + 1
+        return self.page.find(">", at) + 1 or -1
+
+
+def _is_named(names: str) -> bool:
+    for name in names.lower().split():
+        first, _, rest = name.replace("_", "-").partition("-")
+        if name in NAMES or rest and (first in FIRST and rest not in OTHER or first in PLACES and rest in NAMES):
+            return True
+    return False
+
+
 def _is_dropped(tag: str, rest: str, in_main: bool, in_article: bool) -> bool:
     if tag in DROPPED and not (in_main and tag in KEPT) or tag == "header" and not in_main:
         return True
     if rest and (tag not in ("html", "body", "article", "main") or tag == "article" and in_article):
-        for m in _NAMED.finditer(rest):
-            if NAMES & set(_PART.findall((m[1] or m[2] or m[3] or "").lower())):
-                return True
-        return bool(_HIDDEN.search(rest))
+        return any(_is_named(m[1] or m[2] or m[3] or "") for m in _NAMED.finditer(rest)) or bool(_HIDDEN.search(rest))
     return False
 
 
@@ -64,12 +115,12 @@ def _closed(page: str) -> set[int]:
     """Places of the elements that are closed before their body is."""
     out: set[int] = set()
     is_open: dict[str, list[int]] = {}
-    at = 0
-    while found := _TOKEN.search(page, at):
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag or tag in VOID or not found[1] and found[3].endswith("/"):
+    tags, at = Tags(page), 0
+    while found := tags.after(at):
+        start, at, closing, tag, rest = found
+        if not tag or tag in VOID or not closing and rest.endswith("/"):
             continue
-        if found[1]:
+        if closing:
             if tag in ("body", "html"):
                 is_open.clear()
             elif is_open.get(tag):
@@ -78,7 +129,7 @@ def _closed(page: str) -> set[int]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            is_open.setdefault(tag, []).append(found.start())
+            is_open.setdefault(tag, []).append(start)
     return out
 
 
@@ -96,20 +147,20 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
         if text:
             out.append((text, main > 0))
 
-    size = len(page)
+    size, tags = len(page), Tags(page)
     while at < size:
-        found = _TOKEN.search(page, at)
+        found = tags.after(at)
         if not found:
             if not dropped:
                 held.append(page[at:])
             break
-        if not dropped and found.start() > at:
-            held.append(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
+        start, end, closing, tag, rest = found
+        if not dropped and start > at:
+            held.append(page[at:start])
+        at = end
         if not tag:
             continue
-        if found[1]:
+        if closing:
             if dropped:
                 if tag == dropped:
                     depth -= 1
@@ -120,7 +171,7 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
                     inner -= 1
                 elif tag in ("body", "html") or tag in MAIN and main:
                     dropped, depth = "", 0
-            if not dropped and tag in BLOCKS and not (tag == "math" and main):
+            if not dropped and tag in BLOCKS and not (tag in INLINE and main):
                 close()
                 if tag in MAIN and main:
                     main -= 1
@@ -139,18 +190,18 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
                 reopens = since not in closed
             if not reopens:
                 if tag == dropped:
-                    depth += tag not in VOID and not found[3].endswith("/")
+                    depth += tag not in VOID and not rest.endswith("/")
                 else:
                     inner += tag in MAIN
                 continue
             dropped, depth = "", 0
-        if tag in BLOCKS and not (tag == "math" and main):
+        if tag in BLOCKS and not (tag in INLINE and main):
             close()
         elif tag == "br":
             held.append(" ")
-        if tag not in VOID and not (found[3].endswith("/") and tag not in MAIN) and _is_dropped(tag, found[3], main > 0, articles > 0):
+        if tag not in VOID and not (rest.endswith("/") and tag not in MAIN) and _is_dropped(tag, rest, main > 0, articles > 0):
             close()
-            dropped, depth, since, inner = tag, 1, found.start(), 0
+            dropped, depth, since, inner = tag, 1, start, 0
         elif tag in MAIN:
             main += 1
             articles += tag == "article"
@@ -158,17 +209,16 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int, least: np.ndarray) -> np.ndarray:
-    """Mask of the tokens in runs of ``run`` tokens (a power of two) that stand on at least ``least`` distinct pages, as asked
-    at each token.
+def suffix_order(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, class) of the runs of ``run`` tokens (a power of two): suffixes of at least that length in the order of their
+    first ``run`` tokens and then of pages; equal runs are of one class.
 
-    Suffixes are ordered by their first 1, 2, 4, ... tokens: doubling ranks pairs of the ranks before. Pages are told
-    apart by ids; no suffix is compared beyond its page.
+    Suffixes are ordered by their first 1, 2, 4, ... tokens: doubling ranks pairs of the ranks before. No suffix is compared
+    beyond its page.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
     if n < run:
-        return covered
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     ends = np.flatnonzero(np.append(page[1:] != page[:-1], True)) + 1
     left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)  # tokens to the page's end
@@ -181,18 +231,32 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int, least: np.ndar
         length *= 2
     starts = np.flatnonzero(left >= run)
     order = starts[np.lexsort((page[starts], rank[starts]))]
-    ranks, pages = rank[order], page[order]
-    first = np.append(True, (ranks[1:] != ranks[:-1]))
-    new_page = first | np.append(True, pages[1:] != pages[:-1])
-    group = np.cumsum(first) - 1
-    distinct = np.bincount(group, new_page)[group]
-    hits = order[distinct >= least[order]]
+    ranks = rank[order]
+    return order, np.cumsum(np.append(True, ranks[1:] != ranks[:-1])[: len(order)]) - 1
+
+
+def pages_of_runs(order: np.ndarray, group: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """Distinct pages of each class of equal runs."""
+    pages = page[order]
+    new = np.append(True, (pages[1:] != pages[:-1]) | (group[1:] != group[:-1]))[: len(order)]
+    return np.bincount(group, new).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+
+
+def cover(places: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Mask of the ``n`` tokens that the runs starting at ``places`` cover."""
     edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, hits, 1)
-    np.add.at(edge, hits + run, -1)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + run, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
+def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int, least: np.ndarray) -> np.ndarray:
+    """Mask of the tokens in runs that stand on at least ``least`` distinct pages, as asked at each token."""
+    order, group = suffix_order(tokens, page, run)
+    distinct = pages_of_runs(order, group, page)[group]
+    return cover(order[distinct >= least[order]], len(tokens), run)
+
+
 def whole_runs(mask: np.ndarray, run: int) -> np.ndarray:
     """The covered tokens of a block: all of it, or stretches of a run at least. A run that ends in the next block takes none
     of that block's first words along."""
@@ -224,144 +288,150 @@ def least_pages(inside: np.ndarray, pages: int, open_pages: int, main_pages: int
     return np.where(inside, max(main_pages, int(np.ceil(main_share * pages))), open_pages)
 
 
-def main_texts(pages: list[list[tuple[str, bool]]], run: int, open_pages: int, main_pages: int, main_share: float) -> list[str]:
-    """Main text of each page of a host."""
-    known: dict[str, int] = {}
-    words = [[b.split(" ") for b, _ in page] for page in pages]
-    contents: dict[tuple, int] = {}
-    of_page = [contents.setdefault(tuple(b for b, _ in page), len(contents)) for page in pages]
-    # Pages of one content are one page: a copy of an article is no template.
-    tokens, ids, zone = [], [], []
-    spans: dict[int, tuple[int, int]] = {}
-    for k, page in enumerate(pages):
-        if of_page[k] in spans:
-            continue
-        low = len(tokens)
-        for (_, inside), block in zip(page, words[k], strict=True):
-            tokens += [known.setdefault(w, len(known)) for w in block]
-            zone += [inside] * len(block)
-        ids += [of_page[k]] * (len(tokens) - low)
-        spans[of_page[k]] = (low, len(tokens))
-    least = least_pages(np.array(zone, bool), len(spans), open_pages, main_pages, main_share)
-    covered = repeated_runs(np.array(tokens, np.int64), np.array(ids, np.int64), run, least)
-    return [without(blocks, covered[slice(*spans[of_page[k]])], run) for k, blocks in enumerate(words)]
-
-
-def _extract(run: int, open_pages: int, main_pages: int, main_share: float):
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts([blocks_of(h or "") for h in pdf["html"]], run, open_pages, main_pages, main_share)
-        return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Groups stand together in a partition; one is held at a time."""
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            edges = np.flatnonzero(np.append(True, frame["cell"].to_numpy()[1:] != frame["cell"].to_numpy()[:-1])) if len(frame) else []
-            for low, high in zip(edges, [*edges[1:], len(frame)], strict=True):
-                part = frame.iloc[low:high]
-                if held and held[0]["cell"].iloc[0] != part["cell"].iloc[0]:
-                    yield group(pd.concat(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield group(pd.concat(held))
-
-    return batches
-
-
-_PARSED = "page_id long, url string, host string, d1 long, d2 long, groups long, blocks array<string>, inside array<boolean>"
+# -- cells ----------------------------------------------------------------------
+
+OPEN, INSIDE, WHOLE = 0, 1, 2
+_PARSED = "page_id long, url string, host string, groups long, d1 long, d2 long, turn int, salt long, blocks array<string>, inside array<boolean>"
+_RUNS = "cell long, host long, key long, zone int, pages long"
+_TEXTS = "page_id long, url string, host string, d1 long, d2 long, shared boolean, text string, n_chars long"
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages cut into blocks, with a digest of these."""
+    """Pages cut into blocks, with a digest of these. A page whose blocks the task has met on the host goes without them:
+    ``turn`` is 0 for the first page of its blocks, 1 for the second, which tells their cell of copies, and 2 for others."""
     import xxhash
 
+    met: dict[tuple, int] = {}
+    salt = 0
     for frame in frames:
         pages = [blocks_of(h or "") for h in frame["html"]]
         digests = [xxhash.xxh3_128_digest("\0".join(b for b, _ in page).encode("utf-8", "surrogatepass")) for page in pages]
+        if len(met) > 500_000:
+            met.clear()  # a page more or less with its blocks changes nothing
+        turns = []
+        for key in zip(frame["host"], digests, strict=True):
+            turns.append(met.get(key, 0))
+            met[key] = min(turns[-1] + 1, 2)
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        out = frame.drop(columns="html").assign(d1=both[:, 0], d2=both[:, 1], blocks=[[b for b, _ in p] for p in pages], inside=[[i for _, i in p] for p in pages])
-        yield out[["page_id", "url", "host", "d1", "d2", "groups", "blocks", "inside"]]
-
-
-def _keys(host: str, blocks: list[list[str]], run: int, memo) -> np.ndarray:
-    """Hash of the host and the run that starts at each word, as far as the page goes."""
-    own = shingles(hashed([w for block in blocks for w in block], memo), run)
-    own = (own ^ np.uint64(memo[host])) * np.uint64(0x9E3779B97F4A7C15)
-    return own ^ (own >> np.uint64(31))
-
-
-def _count(run: int):
+        yield frame[["page_id", "url", "host", "groups"]].assign(
+            d1=both[:, 0], d2=both[:, 1], turn=turns, salt=np.arange(salt, salt + len(frame)),
+            blocks=[None if t else [b for b, _ in p] for t, p in zip(turns, pages, strict=True)],
+            inside=[None if t else [i for _, i in p] for t, p in zip(turns, pages, strict=True)],
+        )
+        salt += len(frame)
+
+
+class Cell:
+    """The distinct pages of a cell: token ids, pages, zones, and hashes of the runs that start at each token."""
+
+    def __init__(self, host: str, pages: list[tuple[list[list[str]], list[bool]]], run: int, memo):
+        known: dict[str, int] = {}
+        tokens, sizes, zone, keys = [], [], [], []
+        self.host = int(np.array([memo[host]], np.uint64).view(np.int64)[0])
+        for blocks, inside in pages:
+            own = [w for block in blocks for w in block]
+            tokens += [known.setdefault(w, len(known)) for w in own]
+            sizes.append(len(own))
+            flags = np.repeat(np.array(inside, bool), np.array([len(b) for b in blocks], int))
+            zone.append(flags)
+            hashes = shingles(hashed(own, memo), run)
+            mixed = ((hashes ^ np.uint64(memo[host])) + flags[: len(hashes)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            keys.append(np.append(mixed ^ (mixed >> np.uint64(31)), np.zeros(len(own) - len(hashes), np.uint64)))
+        self.tokens, self.page = np.array(tokens, np.int64), np.repeat(np.arange(len(pages)), sizes)
+        self.zone = np.concatenate([np.zeros(0, bool), *zone])
+        self.keys = np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)
+        self.ends = np.cumsum(sizes)
+
+    def runs(self, run: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(zone, key, distinct pages) of the classes of equal runs, a class of both zones being two."""
+        order, group = suffix_order(self.tokens, self.page, run)
+        for zone in (OPEN, INSIDE):
+            mine = self.zone[order] == (zone == INSIDE)
+            places, classes = order[mine], group[mine]
+            classes = np.cumsum(np.append(True, classes[1:] != classes[:-1])[: len(classes)]) - 1
+            first = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])[: len(classes)])
+            yield zone, self.keys[places[first]], pages_of_runs(places, classes, self.page)
+
+
+def _in_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with blocks of one cell at a time; a cell's rows stand together."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        frame = frame[frame["blocks"].notna()]
+        if frame.empty:
+            continue
+        edges = np.flatnonzero(np.append(True, frame["cell"].to_numpy()[1:] != frame["cell"].to_numpy()[:-1]))
+        for low, high in zip(edges, [*edges[1:], len(frame)], strict=True):
+            part = frame.iloc[low:high]
+            if held and held[0]["cell"].iloc[0] != part["cell"].iloc[0]:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _hosts_of(cell: pd.DataFrame, run: int, memo) -> Iterator[tuple[pd.DataFrame, Cell]]:
+    """(distinct pages, their tokens) of each host of a cell; hosts share one only where their hashes are equal."""
+    for host, rows in cell.groupby("host", sort=True):
+        rows = rows.drop_duplicates(["d1", "d2"])
+        pages = [([b.split(" ") for b in blocks], list(inside)) for blocks, inside in zip(rows["blocks"], rows["inside"], strict=True)]
+        yield rows, Cell(host, pages, run, memo)
+
+
+def _first(run: int, main_share: float):
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(cell, host, whole, key, pages) of each run of a cell, and once the cell's pages, as ``whole``; a cell's pages stand
-        together."""
-        memo, held, last = word_hashes(), [], None
-
-        def counted() -> pd.DataFrame:
-            keys, pages = np.unique(np.concatenate(held), return_counts=True)
-            whole = np.append(np.zeros(len(keys), bool), True)
-            return pd.DataFrame({"cell": last[0], "host": last[1], "whole": whole, "key": np.append(keys.view(np.int64), 0), "pages": np.append(pages, len(held))})
-
-        for frame in frames:
-            for cell, host, blocks in zip(frame["cell"], frame["host"], frame["blocks"], strict=True):
-                if held and last != (cell, host):
-                    yield counted()
-                    held = []
-                last = (cell, host)
-                held.append(np.unique(_keys(host, [b.split(" ") for b in blocks], run, memo)))
-        if held:
-            yield counted()
+        """Runs of open blocks, runs on the asked share of the cell's pages in articles, and the number of pages."""
+        memo = word_hashes()
+        for cell in _in_cells(frames):
+            for rows, own in _hosts_of(cell, run, memo):
+                yield pd.DataFrame({"cell": [cell["cell"].iloc[0]], "host": [own.host], "key": [0], "zone": [WHOLE], "pages": [len(rows)]})
+                for zone, keys, pages in own.runs(run):
+                    kept = pages >= (main_share * len(rows) if zone == INSIDE else 1)
+                    yield pd.DataFrame({"cell": cell["cell"].iloc[0], "host": own.host, "key": keys[kept], "zone": zone, "pages": pages[kept]})
 
     return cells
 
 
-def _cover(run: int, open_pages: int, main_pages: int, main_share: float):
-    def cell(pages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        memo, texts = word_hashes(), []
-        whole = int(runs.loc[runs["whole"], "pages"].iloc[0])
-        runs = runs[~runs["whole"]]
-        known, counts = runs["key"].to_numpy(np.int64).view(np.uint64), runs["pages"].to_numpy(np.int64)
-        order = np.argsort(known)
-        known, counts = np.append(known[order], np.uint64(0)), np.append(counts[order], 0)
-        for host, blocks, inside in zip(pages["host"], pages["blocks"], pages["inside"], strict=True):
-            words = [b.split(" ") for b in blocks]
-            own = _keys(host, words, run, memo)
-            at = np.searchsorted(known[:-1], own)
-            found = np.where(known[at] == own, counts[at], 0)
-            least = least_pages(np.repeat(np.array(inside, bool), [len(w) for w in words]), whole, open_pages, main_pages, main_share)
-            edge = np.zeros(len(least) + 1, np.int64)
-            hits = np.flatnonzero(found >= least[: len(own)])
-            np.add.at(edge, hits, 1)
-            np.add.at(edge, hits + run, -1)
-            texts.append(without(words, np.cumsum(edge[:-1]) > 0, run))
-        return pd.DataFrame({"host": pages["host"], "d1": pages["d1"], "d2": pages["d2"], "text": texts, "n_chars": [len(t) for t in texts]})
+def _again(run: int):
+    def cell(pages: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """Pages in the cell of the runs that are asked for."""
+        out, memo = [], word_hashes()
+        keys = asked["key"].to_numpy(np.int64)
+        if len(keys):
+            for _, own in _hosts_of(pages[pages["blocks"].notna()], run, memo):
+                pairs = np.unique(np.stack([own.keys, own.page]), axis=1) if len(own.keys) else np.zeros((2, 0), np.int64)
+                found, counts = np.unique(pairs[0][np.isin(pairs[0], keys)], return_counts=True)
+                out.append(pd.DataFrame({"cell": asked["cell"].iloc[0], "host": own.host, "key": found, "zone": INSIDE, "pages": counts}))
+        return pd.concat(out) if out else pd.DataFrame({"cell": [], "host": [], "key": [], "zone": [], "pages": []})
 
     return cell
 
 
-def _over_groups(pages: DataFrame, n: int, run: int, open_pages: int, main_pages: int, main_share: float) -> DataFrame:
-    """(page_id, url, text, n_chars) of ``pages`` (page_id, url, html, host, groups) of hosts of several groups.
+def _cover(run: int):
+    def cell(pages: pd.DataFrame, drop: pd.DataFrame) -> pd.DataFrame:
+        """Texts of the cell's pages without the runs to drop; those with copies once more, as ``shared``."""
+        memo, texts = word_hashes(), {}
+        copied = set(zip(*(pages.loc[pages["blocks"].isna(), c] for c in ("host", "d1", "d2")), strict=True))
+        pages, keys = pages[pages["blocks"].notna()], drop["key"].to_numpy(np.int64)
+        if len(keys):
+            for rows, own in _hosts_of(pages, run, memo):
+                covered = cover(np.flatnonzero(np.isin(own.keys, keys)), len(own.keys), run)
+                for key, blocks, end in zip(zip(rows["host"], rows["d1"], rows["d2"], strict=True), rows["blocks"], own.ends, strict=True):
+                    words = [b.split(" ") for b in blocks]
+                    texts[key] = without(words, covered[end - sum(map(len, words)) : end], run)
+        ids = list(zip(pages["host"], pages["d1"], pages["d2"], strict=True))
+        out = [texts[key] if key in texts else "\n\n".join(blocks) for key, blocks in zip(ids, pages["blocks"], strict=True)]
+        out = pages[["page_id", "url", "host", "d1", "d2"]].assign(shared=False, text=out, n_chars=[len(t) for t in out])
+        again = out[[key in copied for key in ids]].drop_duplicates(["host", "d1", "d2"]).assign(shared=True)
+        return pd.concat([out, again]).astype({"url": object, "host": object, "text": object})  # strings in pieces can't go back to Spark
 
-    Copies of one content are one page, whose text all of them get. A cell is a group of contents of one host.
-    """
-    parsed = settle(pages.select("page_id", "url", "html", "host", "groups").mapInPandas(_parse, _PARSED), "blocks")
-    first = F.min(F.struct("page_id", "inside", "blocks", "groups"))
-    contents = parsed.groupBy("host", "d1", "d2").agg(first.alias("first"))
-    cell = F.xxhash64("host", F.pmod(F.xxhash64("d1"), F.col("first.groups")))
-    contents = contents.select("host", "d1", "d2", cell.alias("cell"), "first.blocks", "first.inside")
-    contents = settle(contents, "contents")
-
-    together = contents.select("cell", "host", "blocks").repartition(n, "cell").sortWithinPartitions("cell", "host")
-    counts = settle(together.mapInPandas(_count(run), "cell long, host string, whole boolean, key long, pages long"), "runs")
-    sums = counts.groupBy("host", "whole", "key").agg(F.sum("pages").alias("pages"))
-    often = sums.filter(F.col("whole") | (F.col("pages") >= min(open_pages, main_pages)))
-    runs = counts.drop("pages").join(often, ["host", "whole", "key"]).select("cell", "whole", "key", "pages")
-
-    grouped = contents.groupBy("cell").cogroup(runs.groupBy("cell"))
-    texts = grouped.applyInPandas(_cover(run, open_pages, main_pages, main_share), "host string, d1 long, d2 long, text string, n_chars long")
-    # Stored, so that the join has a shuffle on either side and a content of any number of copies is split.
-    texts = settle(texts, "texts")
-    return parsed.select("page_id", "url", "host", "d1", "d2").join(texts.hint("merge"), ["host", "d1", "d2"]).select("page_id", "url", "text", "n_chars")
+    return cell
+
+
+def _copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.loc[frame["blocks"].isna(), ["page_id", "url", "host", "d1", "d2"]]
 
 
 def extract(
@@ -380,20 +450,35 @@ def extract(
 
     NULL and empty html give empty text. Pages without a readable host are a host of their own kind; NULL urls too. Rows
     that are repeated are rows of their own, and pages of equal blocks count as one when repeats are looked for. A run of
-    ``run`` words is boilerplate on ``open_pages`` distinct pages, in articles on ``main_share`` of the host's distinct pages
-    and at least ``main_pages``. An empty table gives no row.
+    ``run`` words is boilerplate in open blocks where those of ``open_pages`` distinct pages have it, in articles where those
+    of ``main_share`` of the host's distinct pages do, and of at least ``main_pages``. An empty table gives no row.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     sizes = base.groupBy("host").agg((F.floor(F.sum(F.coalesce(F.length("html"), F.lit(0))) / group_chars) + 1).alias("groups"))
-    # Hosts of several groups. Sent to all tasks while there are few of them, else joined by host.
+    # Hosts of several cells. Sent to all tasks while there are few of them, else joined by host.
     large = settle(sizes.filter("groups > 1"), "large-hosts")
-    n_large = large.count()
-    large = F.broadcast(large) if n_large <= most_broadcast else large
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = base.join(large, "host", "left_anti") if n_large else base
-    together = small.withColumn("cell", F.xxhash64("host")).select("cell", "page_id", "url", "html").repartition(n, "cell").sortWithinPartitions("cell", "page_id")
-    out = together.mapInPandas(_extract(run, open_pages, main_pages, main_share), "page_id long, url string, text string, n_chars long")
-    if n_large:
-        out = out.unionByName(_over_groups(base.join(large, "host"), n, run, open_pages, main_pages, main_share))
-    return out
+    sized = base.join(F.broadcast(large) if large.count() <= most_broadcast else large, "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    parsed = sized.select("page_id", "url", "html", "host", "groups").mapInPandas(_parse, _PARSED)
+    # Pages of equal blocks meet in a cell; copies that a task has met before only have to be somewhere.
+    cell = F.xxhash64("host", F.pmod(F.xxhash64("d1"), F.col("groups")))
+    dealt = parsed.withColumn("cell", F.when(F.col("turn") == 2, F.xxhash64(F.lit("copies"), F.pmod("salt", F.lit(4 * n)))).otherwise(cell))
+    dealt = dealt.drop("groups", "turn", "salt").repartition(n, "cell")  # the one shuffle of texts, which all steps below read
+    counted = dealt.sortWithinPartitions("cell").mapInPandas(_first(run, main_share), _RUNS)
+    sums = counted.groupBy("host", "key").agg(F.max("zone").alias("zone"), F.sum("pages").alias("pages"), F.collect_set("cell").alias("cells"))
+    # Passed through as it is, so that all readers ask for the same columns of one shuffle.
+    sums = sums.mapInArrow(lambda batches: batches, "host long, key long, zone int, pages long, cells array<long>")
+    hosts = sums.filter(F.col("zone") == WHOLE).select("host", F.col("pages").alias("whole"), F.col("cells").alias("all_cells"))
+    asked = sums.filter(F.col("zone") == INSIDE).select("host", "key").join(hosts.filter(F.col("whole") >= main_pages), "host")
+    asked = asked.select("key", F.explode("all_cells").alias("cell"))
+    recounted = dealt.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(_again(run), _RUNS)
+    inside = recounted.groupBy("host", "key").agg(F.sum("pages").alias("pages")).join(hosts, "host")
+    inside = inside.filter(F.col("pages") >= F.greatest(F.lit(main_pages), F.ceil(main_share * F.col("whole"))))
+    opened = sums.filter((F.col("zone") == OPEN) & (F.col("pages") >= open_pages)).join(hosts, "host")
+    drop = opened.select("key", "all_cells").unionByName(inside.select("key", "all_cells")).select("key", F.explode("all_cells").alias("cell"))
+    texts = dealt.groupBy("cell").cogroup(drop.groupBy("cell")).applyInPandas(_cover(run), _TEXTS)
+    copies = dealt.mapInPandas(_copies, "page_id long, url string, host string, d1 long, d2 long")
+    shared = texts.filter("shared").select("host", "d1", "d2", "text", "n_chars")
+    copies = copies.join(shared.hint("merge"), ["host", "d1", "d2"])  # whose skewed side is split where a content has many copies
+    return texts.filter("NOT shared").select("page_id", "url", "text", "n_chars").unionByName(copies.select("page_id", "url", "text", "n_chars"))

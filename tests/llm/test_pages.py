@@ -161,3 +161,41 @@ def test_articles_of_all_pages(spark, sf_dir):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", article)]
         assert found[r.page_id].text == "\n\n".join(filter(None, blocks)) and found[r.page_id].n_chars == len(found[r.page_id].text)
+
+
+def test_parts_of_other_names_stay():
+    own = lambda page: [b for b, _ in M.blocks_of(page)]
+    for page in (
+        '<div class="layout has-sidebar"><article><p>Main text</p></article></div>', "<div id=page class=no-sidebar><article><p>Main text</article></div>",
+        '<article><p class="ad-hoc">Main text</p></article>', '<article><div class="search-algorithms">Main text</div></article>',
+        '<article><section class="related">Main text</section></article>', '<div class="menu-open"><p>Main text</p></div>', '<p class="adverbs notice-period">Main text',
+    ):
+        assert own(page) == ["Main text"], page
+    assert own("<article><p>press <button>OK</button> or <label>Name</label> now</p></article>") == ["press OK or Name now"]
+    for name in ("sidebar", "left-sidebar", "nav-links", "site-footer", "comment-list", "Cookie-Notice", "page ads", "sidebar_left", "advert"):
+        assert own(f'<article><p>kept</p><div class="{name}">no</div></article>') == ["kept"], name
+
+
+def test_odd_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page):
+        start = time.perf_counter()
+        M.blocks_of(page)
+        return time.perf_counter() - start
+
+    for part in ("<a b='c ", '<a b="c', "<!x ", "<a 'x>' ", "<p class='ad", "<!-- ", "<script>", "<nav><article>", "<b <i ", "&amp", "<a b='>' c=\"'>"):
+        short, long = (min(seconds(part * n) for _ in range(2)) for n in (2_000, 40_000))
+        assert long < 60 * max(short, 2e-3), part
+    assert M.blocks_of("<p>one <a b='c>two</a> three") == [("one two three", False)] and M.blocks_of("<p title=\"a>b\">x</p> <q") == [("x", False), ("<q", False)]
+
+
+def test_copies_of_a_page_in_any_task_have_its_text(spark):
+    notice, article = " ".join(f"n{i}" for i in range(30)), " ".join(f"c{i}" for i in range(40))
+    rows = [(k, f"http://h.example/{k}", f"<script>{k}</script><div>{notice}</div><article>{article}</article>") for k in range(300)]
+    rows += [(1000 + k, f"http://h.example/o{k}", f"<div>{notice}</div><article>own {k}</article>") for k in range(5)] + [(None, None, "<p>a")] * 9
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    for chars in (4_000_000, 2_000):
+        found = M.extract(frame, group_chars=chars).collect()
+        assert sorted(str(r.page_id) for r in found) == sorted(str(r[0]) for r in rows)
+        assert {r.text for r in found} == {article, "a", *(f"own {k}" for k in range(5))}
