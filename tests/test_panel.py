@@ -46,32 +46,39 @@ def test_null_keys_count_as_equal(spark):
     assert duplicated_rows(rows, ["symbol", "q_ord"]).count() == 2
 
 
-def test_zero_denominators_give_null(spark, ranges):
+@pytest.mark.parametrize(
+    ("field", "levels"),
+    [("calc_average_ic_raw_quarterly", {"roic_pretax_q", "roic_posttax_q"}), ("total_stockholders_equity", {"debt_to_equity_q"}), ("ebit", set())],
+)
+def test_a_zero_below_the_line_gives_null_and_nothing_else_does(spark, ranges, field, levels):
     frame = panel_frame()
-    row = (frame.symbol == "AAA") & (frame.period_key == "2018Q2")
-    frame.loc[row, "calc_average_ic_raw_quarterly"] = 0.0
-    frame.loc[row, "total_stockholders_equity"] = 0.0
-    out = build(spark, ranges, frame).filter("KEY = '2018Q2_AAA'").first()
-    assert out.roic_posttax_q is None and out.debt_to_equity_q is None
-
-
-def test_file_null_pattern_is_authoritative(spark, ranges):
-    frame = panel_frame()
-    frame.loc[frame.KEY == "2018Q2_AAA", "calc_roic_posttax_quarterly_ic_raw"] = np.nan
-    assert build(spark, ranges, frame).filter("KEY = '2018Q2_AAA'").first().roic_posttax_q is None
-    by_file = PanelSettings(trend=TrendRule(level_source="file"))
-    out = build(spark, ranges, frame, by_file).filter("KEY = '2018Q3_AAA'").first()
-    assert out.roic_posttax_q == out.calc_roic_posttax_quarterly_ic_raw
+    zero = frame.index % 4 == 2
+    frame.loc[zero, field] = 0.0
+    out = ordered(build(spark, ranges, frame)).set_index("KEY")
+    for level in ("roic_pretax_q", "roic_posttax_q", "debt_to_equity_q"):
+        assert set(out.index[out[level].isna()]) == (set(frame.loc[zero, "KEY"]) if level in levels else set()), level
+
+
+@pytest.mark.parametrize("source", ["recompute", "file"])
+def test_file_null_pattern_is_authoritative(spark, ranges, source):
+    frame, rounded = panel_frame(), "calc_roic_posttax_quarterly_ic_raw"
+    empty = frame.index % 7 == 3
+    frame.loc[empty, rounded] = np.nan
+    out = ordered(build(spark, ranges, frame, PanelSettings(trend=TrendRule(level_source=source)))).set_index("KEY")
+    frame = frame.set_index("KEY")
+    exact = frame["calc_nopat_quarterly"] / frame["calc_average_ic_raw_quarterly"]
+    expected = frame[rounded] if source == "file" else exact.where(frame[rounded].notna())
+    assert out["roic_posttax_q"].to_numpy() == pytest.approx(expected.loc[out.index].to_numpy(), nan_ok=True)
     with pytest.raises(ValueError):
         TrendRule(level_source="guess")
 
 
 def test_timing_and_return_cleaning(spark, ranges):
     frame = panel_frame()
-    frame.loc[frame.KEY == "2018Q1_AAA", ["Future_Quarterly_Return", "Momentum_3Q", "market_cap"]] = 0.0
+    frame.loc[frame.KEY == "2018Q1_ELM", ["Future_Quarterly_Return", "Momentum_3Q", "market_cap"]] = 0.0
     settings = PanelSettings(timing=TimingRule(data_as_of=dt.date(2020, 6, 30)))
     rows = {r.KEY: r for r in build(spark, ranges, frame, settings).collect()}
-    first, last = rows["2018Q1_AAA"], rows["2020Q2_AAA"]
+    first, last = rows["2018Q1_ELM"], rows["2020Q2_ELM"]
     assert first.formation_date == dt.date(2018, 5, 31) and first.return_window_end == dt.date(2018, 8, 31)
     assert first.signal_lag_days == 61 and first.signal_lag_months == 2 and not first.signal_lag_below_min
     assert first.fwd_return == 0.0 and first.fwd_return_exact_zero_realized
