@@ -78,6 +78,24 @@ def carry_forward(blocks: DataFrame, value: Column, name: str, chunk: int = _CHU
     return joined.withColumn(name, F.coalesce("__own", "__in")).drop("__v", "__c", "__own", "__in")
 
 
+def running_count(blocks: DataFrame, condition: Column, name: str, chunk: int = _CHUNK) -> DataFrame:
+    """How many blocks up to each one of its document meet the condition, in runs of ``chunk`` blocks as in ``carry_forward``."""
+    marked = blocks.withColumns({"__m": F.coalesce(condition.cast("int"), F.lit(0)), "__c": F.floor(F.col("block_no") / chunk)})
+    runs = marked.groupBy("doc_id", "__c").agg(F.sum("__m").alias("__n"))
+    before = Window.partitionBy("doc_id").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select("doc_id", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__in"))
+    inside = Window.partitionBy("doc_id", "__c").orderBy("block_no")
+    local = marked.withColumn("__own", F.sum("__m").over(inside))
+    joined = local.join(carried, ["doc_id", "__c"])
+    return joined.withColumn(name, (F.col("__own") + F.col("__in")).cast("int")).drop("__m", "__c", "__own", "__in")
+
+
+def number_tables(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``table_no``: the place of a table among its document's, from 1; NULL for paragraphs."""
+    is_table = F.col("kind") == "table"
+    return running_count(blocks, is_table, "table_no").withColumn("table_no", F.when(is_table, F.col("table_no")))
+
+
 def section_fill(blocks: DataFrame) -> DataFrame:
     """Blocks with the section they belong to (K1).
 
@@ -119,14 +137,14 @@ def _record_field(row: Column, header: Column, field: str) -> Column:
 
 
 def table_records(sectioned: DataFrame) -> DataFrame:
-    """Rows of variable tables as records (K2)."""
+    """Rows of variable tables as records, with the number of their table (K2); blocks need sections and table numbers."""
     header = F.get(F.col("rows"), 0)
     tables = sectioned.filter((F.col("kind") == "table") & (F.get(header, 0) == FIRST_HEADER))
-    lines = tables.select("doc_id", "block_no", "section", header.alias("header"), F.posexplode("rows").alias("line", "row"))
+    lines = tables.select("doc_id", "block_no", "section", "table_no", header.alias("header"), F.posexplode("rows").alias("line", "row"))
     cells = {f: _record_field(F.col("row"), F.col("header"), f) for f in ("variable", *FIELDS)}
     out = lines.filter("line > 0").withColumns(cells | {"variable": X.stripped(cells["variable"])})
     out = out.filter(F.col("variable").rlike(X.VARIABLE_PATTERN))
-    return out.select("doc_id", "block_no", "line", "section", "variable", *FIELDS)
+    return out.select("doc_id", "block_no", "line", "section", "table_no", "variable", *FIELDS)
 
 
 def dummy_records(sectioned: DataFrame) -> DataFrame:
@@ -138,6 +156,7 @@ def dummy_records(sectioned: DataFrame) -> DataFrame:
         "block_no",
         F.lit(0).alias("line"),
         F.lit(DUMMY_SECTION).alias("section"),
+        F.lit(None).cast("int").alias("table_no"),
         F.col("text").alias("variable"),
         F.lit("int8").alias("type"),
         F.lit("").alias("api_key"),
@@ -163,29 +182,32 @@ def classification_tokens(sectioned: DataFrame, marker: str = CLASS_MARKER) -> D
     return first.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda t: t["token"]), " · ").alias("tokens"))
 
 
-def catalogue(blocks: DataFrame) -> DataFrame:
-    """One row per documented variable of a document, first mention wins."""
-    sectioned = section_fill(blocks)
+def catalogue(blocks: DataFrame, caveats: dict[str, str] | None = None) -> DataFrame:
+    """One row per documented variable of a document, first mention wins.
+
+    ``caveats`` has the caveats that a documentation states in its prose, by variable; ``PROSE_CAVEATS`` by default.
+    """
+    sectioned = section_fill(number_tables(blocks))
     records = table_records(sectioned).unionByName(dummy_records(sectioned))
-    fields = ["section", *FIELDS]
+    fields = ["section", "table_no", *FIELDS]
     first = records.groupBy("doc_id", "variable").agg(
         F.min_by(F.struct(*fields), F.struct("block_no", "line")).alias("r")
     )
     out = first.select("doc_id", "variable", "r.*").join(classification_tokens(sectioned), "doc_id", "left")
     listed = (F.col("variable") == CLASS_VARIABLE) & F.col("tokens").isNotNull()
     out = out.withColumn("possible_values", F.when(listed, F.col("tokens")).otherwise(F.col("possible_values")))
-    return describe(out.drop("tokens"))
+    return describe(out.drop("tokens"), PROSE_CAVEATS if caveats is None else caveats)
 
 
-def describe(records: DataFrame) -> DataFrame:
+def describe(records: DataFrame, caveats: dict[str, str]) -> DataFrame:
     """Unit, quality marker and caveats of each variable (K5-K7)."""
     name = F.col("variable")
-    literal = F.create_map(*[F.lit(x) for pair in PROSE_CAVEATS.items() for x in pair])[name]
+    known = F.create_map(*[F.lit(x) for pair in caveats.items() for x in pair]).cast("map<string,string>")
     return records.withColumns(
         {
             "unit": X.unit_of(name, F.col("type")),
             "is_quality_or_status_flag": name.rlike(X.QUALITY_PATTERN),
-            "invalid_or_caveat_conditions": X.caveat_text([F.col("meaning"), F.col("possible_values")], literal),
+            "invalid_or_caveat_conditions": X.caveat_text([F.col("meaning"), F.col("possible_values")], known[name]),
         }
     )
 
@@ -216,10 +238,11 @@ def text_rebuild(blocks: DataFrame) -> DataFrame:
     line = F.when(F.col("kind") == "p", F.concat(F.lit("["), F.col("style"), F.lit("] "), F.col("text"))).otherwise(
         F.concat_ws(
             "\n",
-            F.lit("=== TABLE ==="),
+            F.concat(F.lit("=== TABLE "), F.col("table_no").cast("string"), F.lit(" ===")),
             F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n"),
             F.lit("=== END TABLE ==="),
         )
     )
     ordered = F.sort_array(F.collect_list(F.struct("block_no", line.alias("line"))))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda b: b["line"]), "\n").alias("text"))
+    numbered = number_tables(blocks)
+    return numbered.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda b: b["line"]), "\n").alias("text"))

@@ -133,6 +133,21 @@ def test_carry_forward_crosses_run_boundaries(spark):
     assert out[2] is None and out[3] == 3 and out[776] == 3 and out[3999] == 777 and out[4999] == 4000
 
 
+def test_table_numbers_cross_run_boundaries(spark):
+    rows = spark.range(3000).selectExpr("id % 2 AS doc_id", "id div 2 AS block_no", "CASE WHEN id div 2 % 7 = 3 THEN 'table' ELSE 'p' END AS kind")
+    out = K.running_count(rows, F.col("kind") == "table", "n", chunk=64).collect()
+    assert all(r.n == (r.block_no + 4) // 7 for r in out) and len(out) == 3000
+    numbers = [r.table_no for r in K.number_tables(rows.filter("doc_id = 0")).orderBy("block_no").collect()]
+    assert [n for n in numbers if n] == list(range(1, 215)) and numbers.count(None) == 1500 - 214
+
+
+def test_records_and_text_have_table_numbers(blocks):
+    got = {r.variable: r.table_no for r in K.catalogue(blocks, {"calc_roic_quality_flag": "own words"}).collect()}
+    assert got == {"calc_roic_quality_flag": 1, "calc_roic_business_classification": 2, "calc_nopat_combo__ebit_pos__tax_neg": None}
+    lines = K.text_rebuild(blocks).first().text.split("\n")
+    assert lines[4:6] == ["=== TABLE 1 ===", "עמודה | טיפוס | חישוב"] and "=== TABLE 3 ===" in lines and lines.count("=== END TABLE ===") == 3
+
+
 def test_text_helpers(spark):
     row = spark.range(1).select(X.clean_text(F.lit("‏ a \t b‪ ")).alias("t")).first()
     assert row.t == "a b"

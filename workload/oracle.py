@@ -693,6 +693,7 @@ blocks AS (
       WHEN b % 8 = 6 THEN upper(name) || ' · ' || p_type || ' · abc · AB' WHEN b % 8 = 7 THEN 'calc_raw_combo__ebit_up__tax_down'
       ELSE p_name || ' ' || p_type END AS txt
   FROM parts),
+numbered_tables AS (SELECT doc_id AS d, b AS block_at, row_number() OVER (PARTITION BY doc_id ORDER BY b) AS table_no FROM blocks WHERE kind = 'table'),
 opened AS (
   SELECT *, max(CASE WHEN numbered AND kind = 'p' THEN b END) OVER w AS top_b, max(CASE WHEN styled AND kind = 'p' THEN b END) OVER w AS sub_b,
     min(CASE WHEN styled AND kind = 'p' THEN b END) OVER (PARTITION BY doc_id) AS lead_b
@@ -725,10 +726,11 @@ records AS (
     'itertools.product over the sign/movement categories', '0 · 1 (all 0 when row is unclassified)', '' FROM sectioned WHERE b % 8 = 7),
 found AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY doc_id, variable ORDER BY b, line) = 1)"""
 put("catalogue", f"{BLOCKS},{FOUND}", """
-SELECT doc_id, variable, section, type, meaning, formula, possible_values,
+SELECT doc_id, variable, section, CASE WHEN line > 0 THEN table_no END AS table_no, '' AS api_key, type, meaning, formula, possible_values,
   CASE WHEN variable LIKE 'calc_raw_combo__%' THEN 'indicator int8 (0/1)' WHEN variable LIKE '%status' THEN 'category / text'
     ELSE 'API reporting currency units (USD millions for AAPL per dictionary)' END AS unit,
-  variable LIKE '%_status' AS is_quality_or_status_flag, caveats AS invalid_or_caveat_conditions FROM found""")
+  variable LIKE '%_status' AS is_quality_or_status_flag, caveats AS invalid_or_caveat_conditions
+FROM found LEFT JOIN numbered_tables ON d = doc_id AND block_at = b""")
 put("classification_tokens", f"{BLOCKS},{TOKENS}", "SELECT doc_id, tokens FROM tokens")
 put("declared_vs_found", f"{BLOCKS},{FOUND}", """
 SELECT doc_id, max(CASE WHEN b = 0 AND k % 3 = 0 THEN size::BIGINT END) AS declared_total, max(CASE WHEN b = 2 THEN size::BIGINT END) AS declared_in_groups,
@@ -748,6 +750,12 @@ FROM (SELECT p_partkey, ['calc_roic_', 'calc_wacc_', 'calc_nopat_combo__', '', '
   || replace(lower(p_name), ' ', '_')
   || ['_status', '_count', '_quarterly', '_annualized', '_ratio', '', '_rate', '_inputs_complete'][p_size % 8 + 1] AS name FROM part)""")
 put("text_rebuild", "", r"SELECT doc_id, '[' || source || '] ' || replace(text, chr(10), chr(10) || '[' || source || '] ') AS text FROM documents")
+put("text_rebuild_tables", BLOCKS, """
+SELECT doc_id, string_agg(CASE WHEN kind = 'p' THEN '[' || CASE WHEN styled THEN 'Heading 2' ELSE 'Normal' END || '] ' || txt
+    ELSE '=== TABLE ' || table_no || ' ===' || chr(10) || CASE WHEN b = 2 THEN 'קבוצה | כמות' || chr(10) || p_type || ' | ' || size || chr(10) || 'all | many'
+      ELSE 'עמודה | טיפוס | משמעות | ערכים' || chr(10) || name || ' | ' || p_type || ' | NaN when ' || p_type || '. Size 1.5; other | UNCLASSIFIED · ' || size || chr(10)
+        || 'calc_' || name || '_status | text | state | VALID · x' || chr(10) || 'Not A Name | text | - | -' END || chr(10) || '=== END TABLE ===' END, chr(10) ORDER BY b) AS text
+FROM blocks LEFT JOIN numbered_tables ON d = doc_id AND block_at = b GROUP BY doc_id""")
 put("text_clean", "", r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text
 FROM documents""")

@@ -812,7 +812,7 @@ def section_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
-    return K.catalogue(TP.part_blocks(spark, d)).drop("api_key")
+    return K.catalogue(TP.part_blocks(spark, d))
 
 
 @register
@@ -856,6 +856,12 @@ def text_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return K.text_rebuild(TP.document_lines(spark, d))
 
 
+@register
+def text_rebuild_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of the documents with tables: paragraphs with their style, tables with their number."""
+    return K.text_rebuild(TP.part_blocks(spark, d))
+
+
 @register
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
     return TP.table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("text"))
