@@ -64,11 +64,9 @@ def summarise(rows: DataFrame, checks: list[Check]) -> DataFrame:
         )
     melted = rows.select(F.posexplode(F.array(*outcomes)).alias("fid", "o")).select("fid", "o.*").filter("tested")
     counts = melted.groupBy("fid", "value", "passed").agg(F.count(F.lit(1)).alias("n"))
-    facts = counts.groupBy("fid").agg(
-        F.sum("n").alias("n_tested"), F.sum(F.when(F.col("passed"), F.col("n")).otherwise(0)).alias("n_pass"), F.max("value").alias("max_abs_dev")
-    )
-    medians = ranked_values(counts, [0.5]).select("fid", F.col("quantile").alias("median_abs_dev"))
-    found = F.broadcast(facts.join(F.broadcast(medians), "fid", "left"))  # one row per check
+    found = ranked_values(counts, [0.5], {"n_pass": F.when(F.col("passed"), F.col("n")).otherwise(0)})
+    found = found.select("fid", F.col("total").alias("n_tested"), "n_pass", F.col("largest").alias("max_abs_dev"), F.col("quantile").alias("median_abs_dev"))
+    found = F.broadcast(found)  # one row per check
     lines = rows.sparkSession.range(1).select(F.inline(F.array(*about))).join(found, "fid", "left").orderBy("fid")
     tested, passed = (F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_tested", "n_pass"))
     shown = [F.when(F.col("measured"), F.col(n)).alias(n) for n in ("max_abs_dev", "median_abs_dev")]
