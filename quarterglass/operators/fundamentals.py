@@ -131,6 +131,22 @@ def _dominant_driver(balance: float = 0.05) -> Column:
     return named
 
 
+def _dominant_effect(balance: float = 0.05) -> Column:
+    """Effect of the dominant driver. Drivers whose shares are within ``balance`` of the largest share dominate together:
+    theirs is the effect that they agree on, and NULL where they pull apart."""
+    shares = {n: F.col(f"calc_roic_{n}_absolute_share") for n in ("ebit", "tax", "ic")}
+    top = F.greatest(*shares.values())
+    leading = [F.when(top - share <= balance, F.col(f"calc_roic_{n}_effect")) for n, share in shares.items()]
+    agreed = F.array_distinct(F.array_compact(F.array(*leading)))
+    by_share = F.when(F.size(agreed) == 1, F.get(agreed, F.lit(0)))
+    return F.when(F.col("calc_roic_dominant_driver") == "NONE", "zero").otherwise(by_share)
+
+
+def tax_rate_flag(rate: Column, valid: Column) -> Column:
+    """Whether the tax rate of a valid row lies between 0 and 1, in the words of the quality flag; NULL without a rate."""
+    return F.when(valid & rate.isNotNull(), F.when(rate.between(0, 1), "VALID").otherwise("TAX_RATE_OUT_OF_RANGE"))
+
+
 def _three_way(value: Column, tolerance: Column | float, up: str, down: str, flat: str) -> Column:
     tolerance = F.lit(tolerance) if isinstance(tolerance, float) else tolerance
     return F.when(value > tolerance, up).when(value < -tolerance, down).when(value.isNotNull(), flat)
@@ -190,7 +206,12 @@ def add_movement_labels(panel: DataFrame, tolerance: Column | float = 0.0) -> Da
     )
     pos, neg = F.col("calc_roic_positive_driver_count"), F.col("calc_roic_negative_driver_count")
     out = out.withColumns(
-        {"calc_roic_active_driver_count": pos + neg, "calc_roic_has_opposing_effects": (pos > 0) & (neg > 0)}
+        {
+            "calc_roic_active_driver_count": pos + neg,
+            "calc_roic_has_opposing_effects": (pos > 0) & (neg > 0),
+            "calc_roic_dominant_driver_effect": F.when(valid, _dominant_effect()),
+            "calc_tax_rate_quality_flag": tax_rate_flag(F.col(C.tax_rate), valid),
+        }
     )
     return drop_lags(out)
 

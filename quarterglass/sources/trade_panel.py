@@ -356,6 +356,21 @@ def order_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer and quarter: its last filing's day and the year-to-date sum of its orders, in cents.
+
+    Fiscal years start in quarter 1 + customer % 4.
+    """
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), _cents("o_totalprice").alias("cents"))
+    flows = rows.groupBy("o_custkey", date_ordinal(F.col("day")).alias("q")).agg(F.max("day").alias("fiscal_period_end_date"), F.sum("cents").alias("cents"))
+    year = F.floor((F.col("q") - F.col("o_custkey") % 4) / 4)
+    ytd = Window.partitionBy("o_custkey", year).orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
+    return flows.select(
+        F.col("o_custkey").cast("string").alias("gvkey"), F.concat(F.lit("C"), F.expr("o_custkey div 2").cast("string")).alias("tic"),
+        "fiscal_period_end_date", F.sum("cents").over(ytd).alias("ytd"),
+    )
+
+
 def part_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document blocks from the part table: per 40 parts one document of headings, texts and tables."""
     p = table(spark, sf_dir, "part").select(

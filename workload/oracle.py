@@ -812,7 +812,12 @@ put("movement_labels", MOVES, """
 SELECT "KEY", d_post AS calc_roic_posttax_change_direction, d_e AS calc_ebit_movement, d_t AS calc_tax_rate_movement, d_i AS calc_ic_movement,
   r_e AS calc_ebit_sign_regime, r_n AS calc_nopat_sign_regime, n_pos AS calc_roic_positive_driver_count, n_neg AS calc_roic_negative_driver_count,
   n_zero AS calc_roic_neutral_driver_count, n_pos + n_neg AS calc_roic_active_driver_count, n_pos > 0 AND n_neg > 0 AS calc_roic_has_opposing_effects,
-  combo_effect AS calc_roic_effect_combination, combo_move AS calc_raw_movement_combination FROM labelled""")
+  combo_effect AS calc_roic_effect_combination, combo_move AS calc_raw_movement_combination,
+  CASE WHEN status <> 'VALID' THEN NULL WHEN magnitude = 0 THEN 'zero' WHEN len(ahead) = 1 THEN ahead[1] END AS calc_roic_dominant_driver_effect,
+  CASE WHEN status = 'VALID' AND tax_rate BETWEEN 0 AND 1 THEN 'VALID' WHEN status = 'VALID' AND tax_rate IS NOT NULL THEN 'TAX_RATE_OUT_OF_RANGE' END AS calc_tax_rate_quality_flag
+FROM (SELECT *, list_distinct(list_filter([""" + ", ".join(
+    f"CASE WHEN greatest(abs(c_e), abs(c_q), abs(c_i)) / nullif(magnitude, 0e0) - abs({c}) / nullif(magnitude, 0e0) <= 0.05e0 THEN {x} END"
+    for c, x in (("c_e", "x_e"), ("c_q", "x_t"), ("c_i", "x_i"))) + """], lambda e: e IS NOT NULL)) AS ahead FROM labelled)""")
 FAMILIES = {"calc_nopat_effect_combination": "combo_nopat", "calc_raw_movement_combination": "combo_move", "calc_roic_effect_combination": "combo_effect"}
 put("combo_dummies", MOVES, " UNION ALL ".join(
     f"SELECT '{n}' AS indicator, count(*) FILTER ({FAMILIES[f]} = '{n.split('_combo__')[1]}') AS rows FROM labelled"
@@ -944,11 +949,15 @@ def yearly(c: str, y0: str) -> str:
 
 
 put("flow_identity", LEDGER, yearly("oancfy", "ocf0") + " UNION ALL " + yearly("capxy", "capx0"))
-put("quality_flags", FILINGS, """
+put("quality_flags", f"""{FILINGS},
+flows AS (SELECT gvkey, any_value(k) AS k, q_ord, max(day) AS day, sum(CAST(round(amount * 100) AS BIGINT)) AS cents FROM filings GROUP BY gvkey, q_ord),
+year_to_date AS (SELECT *, sum(cents) OVER (PARTITION BY gvkey, (q_ord - k % 4) // 4 ORDER BY q_ord) AS ytd FROM flows),
+steps AS (SELECT *, q_ord - lag(q_ord) OVER g AS gap, date_diff('day', lag(day) OVER g, day) AS days, lag(ytd) OVER g AS before
+  FROM year_to_date WINDOW g AS (PARTITION BY gvkey ORDER BY q_ord))""", """
 SELECT o_orderkey, count(*) OVER (PARTITION BY gvkey, period_key) > 1 AS flag_duplicate_period,
   min(gvkey) OVER (PARTITION BY symbol) <> max(gvkey) OVER (PARTITION BY symbol) AS flag_ticker_collision,
   o_orderkey % 3 = 0 AND o_orderkey % 15 <> 0 AS flag_total_liabilities_from_seqq,
-  gvkey NOT IN (SELECT gvkey FROM filings WHERE o_orderkey % 2 = 0) AS flag_fcf_fiscal_q1_unresolved,
+  gvkey NOT IN (SELECT gvkey FROM steps WHERE gap = 1 AND days BETWEEN 60 AND 130 AND ytd < before) AS flag_fcf_fiscal_q1_unresolved,
   o_orderkey % 4 <> 0 AS flag_std_proxy, k % 7 = 0 AS flag_delisted, o_orderkey % 2 <> 0 AS flag_missing_market_cap FROM filings""")
 FIELDS = [(n, c, "stored") for n, c in AUDITED.items() if n not in ("q_ord", "period_year")] + [(n, c, "full_panel") for n, c in AUDITED_FULL.items()]
 put("field_crosscheck", STORED, """SELECT *, coalesce(correlation >= 0.95 AND median_ratio BETWEEN 0.99 AND 1.01, false) AS accepted FROM (""" + " UNION ALL ".join(

@@ -900,6 +900,7 @@ def movement_labels(spark: SparkSession, d: str) -> DataFrame:
     names += ["calc_ebit_sign_regime", "calc_nopat_sign_regime", "calc_roic_positive_driver_count"]
     names += ["calc_roic_negative_driver_count", "calc_roic_neutral_driver_count", "calc_roic_active_driver_count"]
     names += ["calc_roic_has_opposing_effects", "calc_roic_effect_combination", "calc_raw_movement_combination"]
+    names += ["calc_roic_dominant_driver_effect", "calc_tax_rate_quality_flag"]
     return FU.add_movement_labels(_fundamentals(spark, d)).select("KEY", *names)
 
 
@@ -1023,8 +1024,10 @@ def flow_identity(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def quality_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Flags of the order filings; the first fiscal quarter of a firm is known where its year-to-date flows vote for one."""
     keyed = SM.add_keys(TP.order_filings(spark, d), 0)
-    flagged = SM.add_quality_flags(keyed, keyed.filter("o_orderkey % 2 = 0").select("gvkey").distinct())
+    flows = SM.link_filings(SM.add_keys(TP.order_flows(spark, d), 0), S.sequence)
+    flagged = SM.add_quality_flags(keyed, SM.fiscal_q1_vote(flows, "ytd"))
     return flagged.select("o_orderkey", *[n for n in flagged.columns if n.startswith("flag_")])
 
 
