@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarterglass.llm import mixing, sharding
@@ -102,6 +103,36 @@ def test_a_text_that_is_a_third_of_all_rows_is_subdivided(spark):
     assert sum(len(s) > 1 for s in where.values()) == 1
 
 
+def plain_shards(docs, shards):
+    """(doc_id, CRC, shard, slot) by one sort on (hash of the text, id) and running sums of bytes, in plain Python."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).collect()
+    rows = sorted((r.key, -(2**63) if r.doc_id is None else r.doc_id, r.doc_id, len(r.t.encode()) + 8, zlib.crc32(r.t.encode())) for r in rows)
+    total, largest, groups, at = sum(r[3] for r in rows), max(r[3] for r in rows), defaultdict(list), 0
+    for r in rows:
+        groups[r[0]].append((at, r[3]))
+        at += r[3]
+    place, slots, out = defaultdict(int), Counter(), []
+    for key, _, doc_id, size, crc in rows:
+        mine = groups[key]
+        bytes_ = sum(n for _, n in mine)
+        if bytes_ <= max(total / shards / 16, largest):
+            middle = mine[0][0] + bytes_ / 2
+        else:
+            middle = mine[place[key]][0] + size / 2
+        place[key] += 1
+        own = min(int(middle * shards // total), shards - 1)
+        out.append((doc_id, crc, own, slots[own]))
+        slots[own] += 1
+    return out
+
+
+def test_shards_equal_one_sort(spark, odd, documents):
+    hot = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('hot ', 20) ELSE repeat(cast(id DIV 2 AS string), 10) END AS text")
+    for docs, shards in ((documents, 24), (odd, 24), (hot, 24), (hot.limit(5), 24), (documents, 3)):
+        found = sharding.shard(docs, shards).collect()
+        assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in found) == Counter(plain_shards(docs, shards))
+
+
 def test_mix_takes_each_row_by_its_own_count(spark, sf_dir):
     rows = [(k, f"text of {k} " + "w " * (k % 7), "en", "s1", 9) for k in range(20)] + [(3, "text of 3 " + "w " * 3, "en", "s1", 9)] * 5
     rows += [(None, f"no id {k} " + "v " * (k % 5), "en", "s1", 9) for k in range(12)] + [(None, None, "en", "s1", 9), (None, "", "en", "s2", 9)]
