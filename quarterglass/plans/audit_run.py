@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quarterglass.operators import columns, coverage, crosscheck, evidence, formulas, funnel, profile, uniqueness
 from quarterglass.operators.layers import benchmark_series, research_view
-from quarterglass.operators.membership import empty_ranges, expand_members
-from quarterglass.plans.research_panel import build_research_panel
+from quarterglass.operators.membership import empty_ranges, expand_members, validate_ranges
+from quarterglass.plans.research_panel import prepared_panel
 from quarterglass.plans.run_summary import run_manifest, run_notes
 from quarterglass.settings import DEFAULTS, PanelSettings
 from quarterglass.sources.fingerprints import content_digest, require_unchanged
@@ -135,10 +135,12 @@ def run_audit(
     """
     if verify_source:
         content_digest(raw).write.mode("overwrite").parquet(f"{out_dir}/logs/source_digest")
-    duplicates = uniqueness.duplicated_rows(raw, ("symbol", "q_ord"))
-    if duplicates.limit(1).count():
-        save_table(duplicates, f"{out_dir}/tables/duplicate_rows")
-    counts = {"panel_prepared": save_panel(build_research_panel(raw, ranges, settings), f"{out_dir}/data/panel_prepared")}
+    keys = ("symbol", "q_ord")
+    validate_ranges(ranges, settings.membership)
+    if uniqueness.key_counts(raw, keys).limit(1).count():  # reads the keys only
+        save_table(uniqueness.duplicated_rows(raw, keys), f"{out_dir}/tables/duplicate_rows")
+        uniqueness.require_unique(raw, keys)
+    counts = {"panel_prepared": save_panel(prepared_panel(raw, ranges, settings), f"{out_dir}/data/panel_prepared")}
     panel = spark.read.parquet(f"{out_dir}/data/panel_prepared")
     file_columns = text.columns if text is not None else raw.columns
     battery = (lambda: rules(panel)) if rules else None
