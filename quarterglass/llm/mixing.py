@@ -26,6 +26,11 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.when(size == 0, 0.1).otherwise(F.greatest(F.coalesce(near, F.lit(0.1)), F.lit(0.1)))
 
 
+def key_cell(key: Column, cells: int) -> Column:
+    """Ascending as keys fall: ``cells`` cells per doubling of ``-ln(key)``."""
+    return F.floor(F.log2(F.greatest(-F.log(key), F.lit(2.0**-54))) * cells).cast("int")
+
+
 def source_targets(sizes: DataFrame, shares: Sequence[int], max_epochs: int) -> DataFrame:
     """(source_key, source, source_size) plus ``target``: shares of all words by weight, none above ``max_epochs`` times
     its source, what is over reshared by weight.
@@ -56,16 +61,19 @@ def mix(
     shares: Sequence[int] = (5, 2, 1),
     max_epochs: int = 3,
     seed: int = 7,
-    cells: int = 4096,
+    cells: int = 1024,
     row_col: str | None = None,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row; other columns of the input are neither read nor kept, but
     for ``row_col``, a stored unique key of rows, which is the first column as ``row_key`` where it is given.
 
     NULL text has size 0; NULL source is a source, the last; rows that are repeated are rows of their own; equal keys
-    are ordered by id. A source without words has target 0; an empty table gives no row. A source's taken words miss its
+    are ordered by id, size and a hash of the text, so that rows still tied are alike and reruns agree. A source without
+    words has target 0; an empty table gives no row. A source's taken words miss its
     target by half a document at most. Sorting goes by (source, key cell), not by source: a source may hold any share of
-    the rows, and the prefix sum over ``cells`` cells of a source carries on into its cells.
+    the rows, and the prefix sum over the cells of a source carries on into its cells. There are ``cells`` cells per
+    doubling of ``-ln(key)``, which is exponential for any quality: the fullest holds 1 in 4,000 rows of the source, and
+    a source has at most 65,000. Targets are computed from one row per source, by one task.
     """
     size = n_words(F.col(text_col))
     key = [F.col(row_col).alias("row_key")] if row_col else []
@@ -76,18 +84,19 @@ def mix(
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("source_key"),
         size.alias("size"),
         quality_weight(F.col(text_col), size).alias("quality"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
     base = settle(base, "mix")
     sizes = base.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, shares, max_epochs)
 
     keyed = base.withColumn("key", F.pow(uniform(seed, F.col("doc_id")), F.lit(1.0) / F.col("quality")))
-    keyed = keyed.withColumn("cell", F.floor((1.0 - F.col("key")) * cells).cast("int"))
+    keyed = keyed.withColumn("cell", key_cell(F.col("key"), cells))
     per_cell = keyed.groupBy("source_key", "cell").agg(F.sum("size").alias("cell_size"))
     ahead = W.partitionBy("source_key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     per_cell = per_cell.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
     placed = keyed.join(per_cell.drop("cell_size"), ["source_key", "cell"]).join(targets, "source_key")
-    inside = W.partitionBy("source_key", "cell").orderBy(F.col("key").desc(), "doc_id", *["row_key"][: len(key)]).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_key", "cell").orderBy(F.col("key").desc(), "doc_id", "size", "text_hash", *["row_key"][: len(key)]).rowsBetween(W.unboundedPreceding, -1)
     before = F.col("cell_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
 
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

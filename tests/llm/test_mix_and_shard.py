@@ -70,6 +70,18 @@ def test_heavier_documents_are_drawn_more_often(spark):
     assert share[0] > 1.2 * share[1] > 0
 
 
+def test_no_cell_is_full_where_qualities_are_low(spark):
+    """20,000 one-word texts of the least quality, and rows of one id that tie in key: reruns agree, cells stay small."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', 500) AS text", "'s' || cast(id % 2 AS string) AS source")
+    tied = spark.createDataFrame([(None, t, "s1") for t in ("aa bb", "bb aa", "aa bb cc", "dd", "")] * 3, "doc_id long, text string, source string")
+    docs = docs.union(tied)
+    runs = [Counter(map(tuple, mixing.mix(d).collect())) for d in (docs.repartition(3), docs.repartition(7), docs.orderBy("text"))]
+    assert runs[0] == runs[1] == runs[2] and sum(runs[0].values()) == 20_015
+    key = F.pow(mixing.uniform(7, F.col("doc_id")), F.lit(1.0) / mixing.quality_weight(F.col("text"), mixing.n_words(F.col("text"))))
+    largest = docs.filter("doc_id IS NOT NULL").groupBy("source", mixing.key_cell(key, 1024)).count().agg(F.max("count")).first()[0]
+    assert largest <= 30
+
+
 def check_shards(docs, shards):
     texts = Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     found = sharding.shard(docs, shards).collect()
