@@ -134,7 +134,7 @@ def write_archives(
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     firsts = base.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1 AND first IS NOT NULL").select("digest", "first")
+    firsts = settle(firsts.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "firsts")  # stored: the join's skew can be split
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = base.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
     rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
@@ -265,9 +265,11 @@ def fetch(found: DataFrame, folder: str) -> DataFrame:
     ordered = found.select("file", "at", "bytes").repartition(n, "file").sortWithinPartitions("file", "at")
     records = settle(ordered.mapInArrow(_fetch(folder), _RECORDS), "records")
     responses = records.filter("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest"), F.col("payload_bytes").alias("of_bytes"))
-    revisits = records.filter("record_type = 'revisit'").join(
-        responses.dropDuplicates(["of", "of_digest"]), (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left"
-    )
+    revisits = records.filter("record_type = 'revisit'")
+    referred = revisits.select(F.col("refers_to").alias("of"), F.col("payload_digest").alias("of_digest")).distinct()
+    # One row per payload that is revisited, stored: however many pages revisit one payload, the join's skew can be split.
+    referred = settle(referred.join(responses.dropDuplicates(["of", "of_digest"]), ["of", "of_digest"]), "referred")
+    revisits = revisits.join(referred, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
     lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     revisits = revisits.withColumn("payload_bytes", F.coalesce("of_bytes", lost.cast("long")))
     names = [f.split()[0] for f in _RECORDS.split(", ")]
