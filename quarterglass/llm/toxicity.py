@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, and distance-weighted votes.
 
-The examples are a bounded sample of the labelled rows. Terms are words and word beginnings; of all terms of the sample
-those stay whose document frequency differs between the labels beyond chance, all others are folded into one term for the
-rest of the text, and cosine is taken over these. Postings are in blocks of examples with the largest weight of each block; blocks are visited by the bound that follows from these
-until none can hold a nearer example, so what is found are the exact nearest ones.
+The examples are a bounded sample of the labelled rows. Terms are all words of the examples, and those beginnings of words
+whose document frequency differs between the labels beyond chance; document frequencies are those of all documents. Words
+that differ so weigh in full, all others by ``OTHER``: none is left out, and words that no example has are in the length of
+a text's vector. Postings are in blocks of examples with the largest weight of each block; blocks are visited by the bound
+that follows from these until none can hold a nearer example, so what is found are the exact nearest ones.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from quarterglass.llm.common import rows_where, share
 from quarterglass.llm.labelled import class_weights, held_out, labelled_sample, logit, platt, sigmoid
 
 _TERM = re.compile(r"\w+")
-#: Weight of the rest of the text, by the root of its words.
-REST = 0.3
+#: Weight of words that occur alike under both labels.
+OTHER = 0.1
 #: Lengths of the word beginnings that are terms beside the words.
 BEGINNINGS = (4, 5, 6)
 
@@ -42,91 +44,130 @@ def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def term_counter(terms: dict[str, int]):
+    """text -> (counts of terms, sum of (1 + ln tf) squared of words that are none); a word is looked up once."""
+    memo = Memo(lambda word: (word in terms, [terms[t] for t in word_terms(word) if t in terms]), 500_000)
+
+    def count(text: str) -> tuple[dict[int, int], float]:
+        counts: dict[int, int] = {}
+        unknown = 0.0
+        for word, n in Counter(_TERM.findall(text.lower())).items():
+            known, found = memo[word]
+            for t in found:
+                counts[t] = counts.get(t, 0) + n
+            if not known:
+                unknown += (1.0 + log(n)) ** 2
+        return counts, unknown
+
+    return count
+
+
 class Examples:
-    """The index of labelled examples; ``score`` gives the calibrated probability and the nearest examples' ids."""
+    """The index of labelled examples; ``score`` gives the calibrated probability and the nearest examples' ids.
 
-    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, most_terms: int = 20_000):
+    ``frequencies`` gives (documents, document frequency of each term) of the corpus for the index's terms; without it the
+    examples are the corpus.
+    """
+
+    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, frequencies=None):
         self.k, self.block = k, block
         y = np.array([label for _, _, label in rows], int)
-        bags, lengths = [], []
-        for _, text, _ in rows:
-            bag: Counter = Counter()
-            words = _TERM.findall(text.lower())
-            for word, n in Counter(words).items():
-                for term in word_terms(word):
-                    bag[term] += n
-            bags.append(bag)
-            lengths.append(len(words))
+        bags = [Counter(_TERM.findall(text.lower())) for _, text, _ in rows]
         df = (Counter(), Counter())
         for bag, label in zip(bags, y, strict=True):
-            df[label].update(bag.keys())
+            df[label].update({t for word in bag for t in word_terms(word)})
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
         common = [t for t in df[1].keys() | df[0].keys() if df[1][t] + df[0][t] >= 3] if n1 and n0 else []
         gain = _g2(np.array([df[1][t] for t in common], float), np.array([df[0][t] for t in common], float), n1, n0)
         least = 2 * np.log(max(1.0, len(common) / by_chance))  # about ``by_chance`` terms pass that differ by chance
-        chosen = sorted((t for t, g in zip(common, gain, strict=True) if g >= least), key=dict(zip(common, -gain, strict=True)).__getitem__)
-        chosen = sorted(chosen[:most_terms])
-        self.terms = {t: i for i, t in enumerate(chosen)}
-        self.idf = np.array([1.0 + np.log(len(rows) / (df[0][t] + df[1][t])) for t in chosen])
-
+        telling = {t for t, g in zip(common, gain, strict=True) if g >= least}
+        terms = sorted({word for bag in bags for word in bag} | telling)
+        self.terms = {t: i for i, t in enumerate(terms)}
+        n, often = frequencies(self.terms) if frequencies else (len(rows), np.array([df[0][t] + df[1][t] for t in terms], float))
+        self.rare = OTHER * (1.0 + np.log(max(1, n)))  # of words that no example has
+        share = np.array([1.0 if t in telling else OTHER for t in terms])
+        self.idf = share * (1.0 + np.log(np.maximum(1.0, n / np.maximum(1.0, often))))
+
+        count = self.counter()
         weight = class_weights(y, totals)
-        vectors = [self.vector({self.terms[t]: n for t, n in bag.items() if t in self.terms}, size) for bag, size in zip(bags, lengths, strict=True)]
+        vectors = [self.vector(*count(text)) for _, text, _ in rows]
         blank = np.array([not len(v[0]) for v in vectors], bool)
         toxic, total = float((weight * y)[blank].sum()), float(weight[blank].sum())
         whole = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
-        self.blank = (toxic + whole) / (total + 1.0)  # among examples without any of the terms
+        self.blank = (toxic + whole) / (total + 1.0)  # among examples without words
         self.prior = whole
 
-        order = sorted(np.flatnonzero(~blank).tolist(), key=lambda d: (int(vectors[d][0][np.argmax(vectors[d][1][:-1])]), d))
+        order = sorted(np.flatnonzero(~blank).tolist(), key=lambda d: (int(vectors[d][0][np.argmax(vectors[d][1])]), d))
         self.ids = np.array([rows[d][0] for d in order], np.int64)
         self.label, self.weight = y[order] if order else np.zeros(0, int), weight[order] if order else np.zeros(0)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for place, d in enumerate(order):
-            for t, w in zip(*vectors[d], strict=True):
-                postings[int(t)].append((place, float(w)))
-        blocks = -(-len(order) // block)
-        self.docs = [np.array([p for p, _ in postings[t]], np.int64) for t in range(len(chosen) + 1)]
-        self.values = [np.array([w for _, w in postings[t]]) for t in range(len(chosen) + 1)]
-        self.most = np.zeros((len(chosen) + 1, blocks))
-        for t, d in enumerate(self.docs):
-            np.maximum.at(self.most[t], d // block, self.values[t])
+        sizes = np.array([len(vectors[d][0]) for d in order], np.int64)
+        of = np.concatenate([vectors[d][0] for d in order]) if order else np.zeros(0, np.int64)
+        values = np.concatenate([vectors[d][1] for d in order]) if order else np.zeros(0)
+        places = np.repeat(np.arange(len(order)), sizes)
+        by_term = np.lexsort((places, of))
+        of, self.docs, self.values = of[by_term], places[by_term].astype(np.int32), values[by_term]
+        self.blocks = -(-len(order) // block)
+        # A term's postings in one block of examples are one entry: its block, its largest weight, its first posting.
+        entry = np.flatnonzero(np.diff(of * max(1, self.blocks) + self.docs // block, prepend=-1))
+        self.entry_block = (self.docs[entry] // block).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.values, entry) if len(entry) else np.zeros(0)
+        self.entry_at = np.append(entry, len(of))
+        self.first_entry = np.searchsorted(of[entry], np.arange(len(terms) + 1))
 
         self.a, self.b = 1.0, 0.0
         raw = np.array([self.vote(*self.nearest(*vectors[d], skip=place)) for place, d in enumerate(order)])
         if len(raw):
             self.a, self.b = platt(logit(raw), self.label.astype(float), self.weight)
 
-    def vector(self, counts: dict[int, int], words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of unit length, of (1 + ln tf) * idf, the last term being the rest of the text; empty without
-        a term of the index."""
+    def vector(self, counts: dict[int, int], unknown: float) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of (1 + ln tf) * idf, in a vector whose length is 1 with the words that no example has;
+        ``unknown`` is the sum of their (1 + ln tf) squared."""
         if not counts:
             return np.zeros(0, np.int64), np.zeros(0)
-        t = np.array(sorted(counts), np.int64)
-        w = (1.0 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
-        t, w = np.append(t, len(self.idf)), np.append(w, REST * np.sqrt(words))
-        return t, w / np.sqrt((w * w).sum())
+        t = np.fromiter(counts.keys(), np.int64, len(counts))
+        w = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
+        order = np.argsort(t)
+        t, w = t[order], w[order]
+        return t, w / np.sqrt((w * w).sum() + unknown * self.rare**2)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples with a term in common, ties by place; exact.
 
-        The blocks of the highest bounds are scored first, then, at once, all others whose bound reaches the k-th best.
+        The blocks of the highest bounds are scored first, then all others whose bound reaches the k-th best.
         """
-        bound = weights @ self.most[terms]
-        docs = np.concatenate([self.docs[t] for t in terms.tolist()])
-        values = np.concatenate([w * self.values[t] for t, w in zip(terms.tolist(), weights.tolist(), strict=True)])
+        first = self.first_entry[terms]
+        sizes = self.first_entry[terms + 1] - first
+        entries, each = _ranges(first, sizes), np.repeat(weights, sizes)
+        block = self.entry_block[entries]
+        bound = np.bincount(block, each * self.entry_most[entries], self.blocks)
+        scores = np.zeros(len(self.ids))
         lead = np.zeros(len(bound), bool)
         lead[np.argsort(-bound, kind="stable")[:4]] = True
-        places, cosines = self._best(docs, values, lead, skip)
+        self._add(scores, entries, each, lead[block])
+        places, cosines = self._best(scores, skip)
         least = cosines[self.k - 1] - 1e-9 if len(cosines) >= self.k else 0.0
         more = ~lead & (bound > 0) & (bound >= least)
         if more.any():
-            places, cosines = self._best(docs, values, lead | more, skip)
+            self._add(scores, entries, each, more[block])
+            places, cosines = self._best(scores, skip)
         return places[: self.k], cosines[: self.k]
 
-    def _best(self, docs: np.ndarray, values: np.ndarray, blocks: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scored examples of some blocks, nearest first."""
-        inside = blocks[docs // self.block]
-        scores = np.round(np.bincount(docs[inside], values[inside], len(self.ids)), 12)
+    def _add(self, scores: np.ndarray, entries: np.ndarray, each: np.ndarray, inside: np.ndarray) -> None:
+        """The products of the postings of some entries, added to their examples' scores."""
+        chosen = entries[inside]
+        first = self.entry_at[chosen]
+        sizes = self.entry_at[chosen + 1] - first
+        at = _ranges(first, sizes)
+        scores += np.bincount(self.docs[at], np.repeat(each[inside], sizes) * self.values[at], len(scores))
+
+    def _best(self, scores: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scored examples, nearest first."""
+        scores = np.round(scores, 12)
         if skip >= 0:
             scores[skip] = 0.0
         hit = np.flatnonzero(scores > 0)
@@ -141,8 +182,8 @@ class Examples:
         w = self.weight[places] * cosines / (1.05 - np.minimum(cosines, 1.0))
         return float(((w * self.label[places]).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
 
-    def score(self, counts: dict[int, int], words: int, evidence: int = 5) -> tuple[float, list[int]]:
-        terms, weights = self.vector(counts, words)
+    def score(self, counts: dict[int, int], unknown: float, evidence: int = 5) -> tuple[float, list[int]]:
+        terms, weights = self.vector(counts, unknown)
         if not len(terms) or not len(self.ids):
             return self.blank, []
         places, cosines = self.nearest(terms, weights)
@@ -150,23 +191,45 @@ class Examples:
         return float(sigmoid(self.a * logit(np.array(raw)) + self.b)), self.ids[places[:evidence]].tolist()
 
     def counter(self):
-        """text -> (counts of the index's terms, words); what a word is worth is looked up once."""
-        memo = Memo(lambda word: [self.terms[t] for t in word_terms(word) if t in self.terms], 500_000)
-
-        def count(text: str) -> tuple[dict[int, int], int]:
-            counts: dict[int, int] = {}
-            words = _TERM.findall(text.lower())
-            for found in filter(None, map(memo.__getitem__, words)):
-                for t in found:
-                    counts[t] = counts.get(t, 0) + 1
-            return counts, len(words)
-
-        return count
+        """text -> (counts of the index's terms, sum of (1 + ln tf) squared of the words that no example has)."""
+        return term_counter(self.terms)
 
     def of_text(self, text: str) -> tuple[float, list[int]]:
         return self.score(*self.counter()(text))
 
 
+def _document_frequencies(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pickle.loads(shared.value)
+        count, often, n = term_counter(terms), np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                counts, _ = count(text.as_py() or "")
+                often[np.fromiter(counts, np.int64, len(counts))] += 1
+                n += 1
+        seen = np.flatnonzero(often)
+        columns = [pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(often[seen], n), pa.int64())]  # -1: documents
+        yield pa.RecordBatch.from_arrays(columns, ["term", "n"])
+
+    return run
+
+
+def _trained(docs: DataFrame, labels: DataFrame, label: str, per_class: int, k: int, id_col: str, text_col: str):
+    """The shared index: examples from the bounded sample, document frequencies of their terms over all documents."""
+    rows, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
+    spark = docs.sparkSession
+
+    def frequencies(terms: dict[str, int]) -> tuple[int, np.ndarray]:
+        counted = docs.select(text_col).mapInArrow(_document_frequencies(share(spark, terms)), "term int, n long")
+        found = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the examples at most
+        term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+        often = np.zeros(len(terms))
+        often[term[term >= 0]] = n[term >= 0]
+        return int(n[term < 0].sum()), often
+
+    return share(spark, Examples(rows, totals, k, frequencies=frequencies))
+
+
 _OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
 
 
@@ -192,11 +255,10 @@ def score_toxicity(
     """(doc_id, held_out, score, predicted, evidence) per row; evidence: ids of the five nearest examples.
 
     Fitted on at most ``per_class`` labelled rows of each label, none of them held out. NULL and empty texts, and texts
-    without a term of the index, get the share of such among the labelled rows. Without labelled rows every score is 0.
+    without a term of the index, get the share of toxic ones among labelled rows without words. Without labelled rows every score is 0.
     Repeated and NULL ids give a row each; an empty table gives no row.
     """
-    rows, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    shared = share(docs.sparkSession, Examples(rows, totals, k))
+    shared = _trained(docs, labels, label, per_class, k, id_col, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_score(shared), _OUT)
 
@@ -204,9 +266,12 @@ def score_toxicity(
 def without_toxic(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000, k: int = 15, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents, all columns kept, without the rows whose own text is predicted toxic."""
-    rows, totals = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    shared = share(docs.sparkSession, Examples(rows, totals, k))
+    """The documents, all columns kept, without the rows whose own text is predicted toxic.
+
+    Rows of NULL or repeated id are judged as any other; NULL and empty texts stay unless most labelled rows without words
+    are toxic. Without labelled rows all stay; an empty table gives no row.
+    """
+    shared = _trained(docs, labels, label, per_class, k, id_col, text_col)
 
     def verdicts():
         examples = pickle.loads(shared.value)

@@ -1,5 +1,6 @@
 """Toxicity and quality: exact search, base rules by hand, and accuracy on rows that were held out."""
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -28,7 +29,7 @@ def test_nearest_are_those_of_a_full_scan():
     rows, index = examples()
     count = index.counter()
     vectors = {i: index.vector(*count(text)) for i, text, _ in rows}
-    dense = np.zeros((len(index.ids), len(index.idf) + 1))
+    dense = np.zeros((len(index.ids), len(index.idf)))
     for place, i in enumerate(index.ids.tolist()):
         dense[place, vectors[i][0]] = vectors[i][1]
     for _, text, _ in rows[:120]:
@@ -43,6 +44,42 @@ def test_nearest_are_those_of_a_full_scan():
         assert np.allclose(found, cosine[expected], atol=1e-9) and np.allclose(cosine[places], cosine[expected], atol=1e-9)
 
 
+def test_cosines_are_those_of_whole_texts():
+    """TF-IDF cosine by hand over all words of both texts and the beginnings that tell labels apart."""
+    rows, index = examples()
+    beginnings = {t for t in index.terms if t.startswith("^")}
+    assert {w for _, text, _ in rows for w in text.split()} == index.terms.keys() - beginnings
+
+    def by_hand(text):
+        tf = Counter(t for w in text.split() for t in (w, *("^" + w[:n] for n in X.BEGINNINGS if len(w) > n)) if not t.startswith("^") or t in beginnings)
+        return {t: (1 + np.log(n)) * (index.idf[index.terms[t]] if t in index.terms else X.OTHER * (1 + np.log(len(rows)))) for t, n in tf.items()}
+
+    def cosine(a, b):
+        return sum(w * b.get(t, 0.0) for t, w in a.items()) / np.sqrt(sum(w * w for w in a.values()) * sum(w * w for w in b.values()))
+
+    text_of = {i: text for i, text, _ in rows}
+    for text in ("w1 w2 w2 vile", "w7 new newer w9 w9 w9 foulsome", rows[3][1], rows[4][1] + " unseen unseen"):
+        places, found = index.nearest(*index.vector(*index.counter()(text)))
+        assert len(places) == 7 and np.allclose(found, [cosine(by_hand(text), by_hand(text_of[i])) for i in index.ids[places].tolist()], atol=1e-9)
+
+
+def test_a_copy_of_an_example_is_found_whatever_its_words():
+    rows, _ = examples()
+    rows = [*rows, (1000, "rarely seen words of one toxic row alone", 1)]
+    index = X.Examples(rows, {0: 300, 1: 101}, k=7, block=16)
+    assert index.of_text(rows[-1][1])[1][0] == 1000 and index.of_text(rows[-1][1])[0] > index.of_text("w1 w2 w3 w4")[0]
+
+
+def test_document_frequencies_are_those_of_all_documents(spark, sf_dir, documents):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    index = pickle.loads(X._trained(documents, labels, "toxic", 40, 5, "doc_id", "text").value)
+    texts = [{t for w in re.findall(r"\w+", (r.text or "").lower()) for t in X.word_terms(w)} for r in documents.select("text").collect()]
+    often = Counter(t for text in texts for t in text)
+    plain = 1 + np.log([len(texts) / often[t] for t in index.terms])
+    share = index.idf / plain
+    assert np.all(np.isclose(share, 1.0) | np.isclose(share, X.OTHER))
+
+
 def test_word_beginnings_count():
     _, index = examples()
     assert index.of_text("w1 w2 w3 foulsome w5 vile grim")[0] > 0.5 > index.of_text("w1 w2 w3 w4")[0]
