@@ -13,7 +13,6 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +49,32 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def term_counter(terms: dict[str, int]):
-    """text -> (counts of terms, sum of (1 + ln tf) squared of words that are none); a word is looked up once."""
-    memo = Memo(lambda word: (word in terms, [terms[t] for t in word_terms(word) if t in terms]), 500_000)
-
-    def count(text: str) -> tuple[dict[int, int], float]:
-        counts: dict[int, int] = {}
-        unknown = 0.0
-        for word, n in Counter(_TERM.findall(text.lower())).items():
-            known, found = memo[word]
-            for t in found:
-                counts[t] = counts.get(t, 0) + n
-            if not known:
-                unknown += (1.0 + log(n)) ** 2
-        return counts, unknown
+    """text -> (terms, their counts, counts of the words that are none); a word is looked up once."""
+    beginnings = {t for t in terms if t.startswith("^")}
+
+    def look_up(word: str) -> int:
+        """The word's term, -1 for none; below that, -2 less, with beginnings that are terms."""
+        term = terms.get(word, -1)
+        return -3 - term if any("^" + word[:n] in beginnings for n in BEGINNINGS if len(word) > n) else term
+
+    memo = Memo(look_up, 500_000)
+
+    def count(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bag = Counter(_TERM.findall(text.lower()))
+        found = np.fromiter(map(memo.__getitem__, bag), np.int64, len(bag))
+        n = np.fromiter(bag.values(), float, len(bag))
+        begun = np.flatnonzero(found < -1)
+        if len(begun):
+            words, more = list(bag), Counter()
+            for at in begun.tolist():
+                for t in word_terms(words[at])[1:]:
+                    if t in beginnings:
+                        more[terms[t]] += n[at]
+            found[begun] = -3 - found[begun]
+            found = np.append(found, np.fromiter(more, np.int64, len(more)))
+            n = np.append(n, np.fromiter(more.values(), float, len(more)))
+        known = found >= 0
+        return found[known], n[known], n[~known]
 
     return count
 
@@ -110,11 +122,11 @@ class Examples:
         values = np.concatenate([vectors[d][1] for d in order]) if order else np.zeros(0)
         places = np.repeat(np.arange(len(order)), sizes)
         by_term = np.lexsort((places, of))
-        of, self.docs, self.values = of[by_term], places[by_term].astype(np.int32), values[by_term]
+        of, self.docs, self.values = of[by_term], places[by_term], values[by_term]
         self.blocks = -(-len(order) // block)
         # A term's postings in one block of examples are one entry: its block, its largest weight, its first posting.
         entry = np.flatnonzero(np.diff(of * max(1, self.blocks) + self.docs // block, prepend=-1))
-        self.entry_block = (self.docs[entry] // block).astype(np.int32)
+        self.entry_block = self.docs[entry] // block
         self.entry_most = np.maximum.reduceat(self.values, entry) if len(entry) else np.zeros(0)
         self.entry_at = np.append(entry, len(of))
         self.first_entry = np.searchsorted(of[entry], np.arange(len(terms) + 1))
@@ -124,57 +136,57 @@ class Examples:
         if len(raw):
             self.a, self.b = platt(logit(raw), self.label.astype(float), self.weight)
 
-    def vector(self, counts: dict[int, int], unknown: float) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of (1 + ln tf) * idf, in a vector whose length is 1 with the words that no example has;
-        ``unknown`` is the sum of their (1 + ln tf) squared."""
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[t]
-        order = np.argsort(t)
-        t, w = t[order], w[order]
-        return t, w / np.sqrt((w * w).sum() + unknown * self.rare**2)
+    def vector(self, terms: np.ndarray, counts: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of (1 + ln tf) * idf, in a vector whose length is 1 with the words that no example has, of the
+        counts ``unknown``."""
+        w = (1.0 + np.log(counts)) * self.idf[terms]
+        other = (1.0 + np.log(unknown)) * self.rare
+        return terms, w / np.sqrt(max(1e-300, w @ w + other @ other))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples with a term in common, ties by place; exact.
 
         The blocks of the highest bounds are scored first, then all others whose bound reaches the k-th best.
         """
-        first = self.first_entry[terms]
-        sizes = self.first_entry[terms + 1] - first
-        entries, each = _ranges(first, sizes), np.repeat(weights, sizes)
-        block = self.entry_block[entries]
-        bound = np.bincount(block, each * self.entry_most[entries], self.blocks)
-        scores = np.zeros(len(self.ids))
+        first, end = self.first_entry[terms], self.first_entry[terms + 1]
+        entries, each = _ranges(first, end - first), np.repeat(weights, end - first)
+        block, most = self.entry_block[entries], self.entry_most[entries]
+        bound = np.bincount(block, each * most, self.blocks)
         lead = np.zeros(len(bound), bool)
         lead[np.argsort(-bound, kind="stable")[:4]] = True
-        self._add(scores, entries, each, lead[block])
+        inside = np.flatnonzero(lead[block])
+        scores = self._scores(entries[inside], each[inside])
         places, cosines = self._best(scores, skip)
         least = cosines[self.k - 1] - 1e-9 if len(cosines) >= self.k else 0.0
         more = ~lead & (bound > 0) & (bound >= least)
-        if more.any():
-            self._add(scores, entries, each, more[block])
-            places, cosines = self._best(scores, skip)
+        if more.sum() > self.blocks // 4:  # whole lists are read faster than many of their blocks
+            at = list(zip(self.entry_at[first].tolist(), self.entry_at[end].tolist(), strict=True))
+            docs, values = np.concatenate([self.docs[a:b] for a, b in at]), np.concatenate([self.values[a:b] for a, b in at])
+            values *= np.repeat(weights, [b - a for a, b in at])
+            places, cosines = self._best(np.bincount(docs, values, len(self.ids)), skip)
+        elif more.any():
+            inside = np.flatnonzero(more[block])
+            places, cosines = self._best(scores + self._scores(entries[inside], each[inside]), skip)
         return places[: self.k], cosines[: self.k]
 
-    def _add(self, scores: np.ndarray, entries: np.ndarray, each: np.ndarray, inside: np.ndarray) -> None:
-        """The products of the postings of some entries, added to their examples' scores."""
-        chosen = entries[inside]
-        first = self.entry_at[chosen]
-        sizes = self.entry_at[chosen + 1] - first
+    def _scores(self, entries: np.ndarray, each: np.ndarray) -> np.ndarray:
+        """The products of the postings of some entries, summed by example."""
+        first = self.entry_at[entries]
+        sizes = self.entry_at[entries + 1] - first
         at = _ranges(first, sizes)
-        scores += np.bincount(self.docs[at], np.repeat(each[inside], sizes) * self.values[at], len(scores))
+        return np.bincount(self.docs[at], np.repeat(each, sizes) * self.values[at], len(self.ids))
 
     def _best(self, scores: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """Scored examples, nearest first."""
-        scores = np.round(scores, 12)
         if skip >= 0:
             scores[skip] = 0.0
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > 4 * self.k:  # the k-th best score decides who has to be ordered
-            hit = hit[scores[hit] >= np.partition(scores[hit], -self.k)[-self.k]]
-        order = np.lexsort((hit, -scores[hit]))
-        return hit[order], scores[hit][order]
+        if len(scores) > self.k:  # the k-th best score decides who has to be ordered
+            hit = np.flatnonzero(scores >= max(1e-12, np.partition(scores, -self.k)[-self.k] - 1e-11))
+        else:
+            hit = np.flatnonzero(scores > 0)
+        found = np.round(scores[hit], 12)
+        order = np.lexsort((hit, -found))
+        return hit[order], found[order]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic votes; an example's vote counts by its nearness and by the rows that it stands for, beside one vote
@@ -182,8 +194,8 @@ class Examples:
         w = self.weight[places] * cosines / (1.05 - np.minimum(cosines, 1.0))
         return float(((w * self.label[places]).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
 
-    def score(self, counts: dict[int, int], unknown: float, evidence: int = 5) -> tuple[float, list[int]]:
-        terms, weights = self.vector(counts, unknown)
+    def score(self, terms: np.ndarray, counts: np.ndarray, unknown: np.ndarray, evidence: int = 5) -> tuple[float, list[int]]:
+        terms, weights = self.vector(terms, counts, unknown)
         if not len(terms) or not len(self.ids):
             return self.blank, []
         places, cosines = self.nearest(terms, weights)
@@ -191,7 +203,7 @@ class Examples:
         return float(sigmoid(self.a * logit(np.array(raw)) + self.b)), self.ids[places[:evidence]].tolist()
 
     def counter(self):
-        """text -> (counts of the index's terms, sum of (1 + ln tf) squared of the words that no example has)."""
+        """text -> (terms of the index, their counts, counts of the words that no example has)."""
         return term_counter(self.terms)
 
     def of_text(self, text: str) -> tuple[float, list[int]]:
@@ -204,8 +216,7 @@ def _document_frequencies(shared):
         count, often, n = term_counter(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                counts, _ = count(text.as_py() or "")
-                often[np.fromiter(counts, np.int64, len(counts))] += 1
+                often[count(text.as_py() or "")[0]] += 1
                 n += 1
         seen = np.flatnonzero(often)
         columns = [pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(often[seen], n), pa.int64())]  # -1: documents
