@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterglass.functions.nulls import is_true
-from quarterglass.operators.quantiles import distinct_values, measured, pair_counts, pair_moments, ranked_values
+from quarterglass.operators.packed import correlations, facts, measured, pack, quantiles
 from quarterglass.settings import Columns
 
 
@@ -66,7 +66,7 @@ def crosscheck(panel: DataFrame, price: DataFrame, data: DataFrame, c: Columns)
     }
     names = [*flags, *values]
     rows = m.select(*[v.cast("double").alias(k) for k, v in (flags | values).items()])
-    one = measured(distinct_values(rows, names), names, [0.5, 0.99])
+    one = measured(rows, names, [0.5, 0.99])
     cell = lambda key: F.col("m")[key]
     share = lambda name: F.try_divide(cell(f"{name}:sum"), cell(f"{name}:n"))
     count = lambda name: F.coalesce(cell(f"{name}:sum"), F.lit(0.0))
@@ -108,22 +108,19 @@ def zero_coded_by_period(panel: DataFrame, price: DataFrame, c: Columns) -> Data
 def field_agreement(ours: DataFrame, theirs: DataFrame, fields: list[str], on: list[str]) -> DataFrame:
     """Per field: pairs, correlation, median ratio, median relative deviation, share within 5 %.
 
-    Both sides are read once: the fields of the joined rows are melted into counted pairs (field, mine, theirs), and every
-    column comes from these counts.
+    Both sides are read once: ratios and deviations of the joined rows travel as packed distinct values, pairs as moments of
+    pieces of the rows, in one shuffle, and every column comes from these.
     """
     joined = ours.select(*on, *fields).join(theirs.select(*on, *[F.col(f).alias(f"o_{f}") for f in fields]), on)
-    pairs = pair_counts(joined, [(F.col(f), F.col(f"o_{f}")) for f in fields])
-    ratio, deviation = F.try_divide("a", "b"), F.abs(F.try_divide(F.col("a") - F.col("b"), F.col("b")))
-    both = F.posexplode(F.array(ratio, deviation)).alias("kind", "value")
-    values = pairs.select("fid", "n", both).filter(F.col("value").isNotNull())
-    values = values.select((F.col("fid") * 2 + F.col("kind")).alias("fid"), "value", "n")
+    pairs = [(F.col(f).cast("double"), F.col(f"o_{f}").cast("double")) for f in fields]
+    measures = [m for a, b in pairs for m in (F.try_divide(a, b), F.abs(F.try_divide(a - b, b)))]
+    packed = pack(joined, measures, pairs)
     median = lambda kind: F.max(F.when(F.col("fid") % 2 == kind, F.col("quantile")))
-    medians = ranked_values(values, [0.5]).groupBy(F.expr("fid div 2").cast("int").alias("fid"))
+    medians = quantiles(packed, [0.5]).groupBy(F.expr("fid div 2").cast("int").alias("fid"))
     medians = medians.agg(median(0).alias("median_ratio"), median(1).alias("median_relative_deviation"))
-    near = pairs.groupBy("fid").agg(
-        F.try_divide(F.sum(F.when(deviation <= 0.05, F.col("n")).otherwise(0)), F.sum(F.when(deviation.isNotNull(), F.col("n")))).alias("share_within_5pct")
-    )
-    found = pair_moments(pairs).join(F.broadcast(near), "fid").join(F.broadcast(medians), "fid", "left")  # one row per field
+    near = facts(packed, near=0.05).filter("fid % 2 = 1")
+    near = near.select(F.expr("fid div 2").cast("int").alias("fid"), (F.col("n_near") / F.col("n")).alias("share_within_5pct"))
+    found = correlations(packed).join(F.broadcast(near), "fid", "left").join(F.broadcast(medians), "fid", "left")  # one row per field
     every = ours.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(f) for f in fields])).alias("fid", "field"))
     table = every.join(F.broadcast(found), "fid", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     accepted = (F.col("correlation") >= 0.95) & F.col("median_ratio").between(0.99, 1.01)
