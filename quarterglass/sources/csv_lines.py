@@ -35,7 +35,8 @@ def parse_lines(lines: DataFrame, names: Sequence[str], line_col: str = "line")
     A NULL line has NULL fields and nothing to rescue.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in (*names, RESCUED))
-    parsed = lines.withColumn("__r", F.from_csv(line_col, schema, _READ))
+    # generated, not projected: a condition on a projected record would be pushed below it and write and parse it once more
+    parsed = lines.select("*", F.explode(F.array(F.from_csv(line_col, schema, _READ))).alias("__r"))
     bad = F.col(f"__r.{RESCUED}")
     fields = [F.when(bad.isNull(), F.col(f"__r.{quoted(n)}")).alias(n) for n in names]
     return parsed.select(*[quoted(c) for c in lines.columns], *fields, bad.alias(RESCUED))

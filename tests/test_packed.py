@@ -1,5 +1,7 @@
 """Reports from packed values: exact, and few shuffled rows."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -42,3 +44,37 @@ def test_field_agreement_shuffles_no_row_per_value(spark):
     assert {r.n for r in table.collect()} == {3_000}
     plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Generate posexplode(array(struct(" in line]
+
+
+def _optimized(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_record_is_parsed_once_behind_a_condition(spark):
+    from quarterglass.sources import csv_lines as CL
+
+    lines = spark.createDataFrame([("1,x",), ("2",), (None,)], "line string")
+    good = CL.parse_lines(lines, ["a", "b"]).filter(F.col(CL.RESCUED).isNull())
+    assert _optimized(good.select("a")).count("from_csv") == 1
+    assert sorted(good.select("a").collect(), key=str) == [("1",), (None,)]
+
+
+def test_a_row_meets_few_splitters(spark):
+    from quarterglass.operators.positions import in_runs
+
+    frame = spark.range(5_000).select((F.col("id") * 7_919 % 5_000).alias("i"))
+    placed = in_runs(frame, ["i"], 16)
+    assert "filter(__s" not in _optimized(placed)
+    rows = sorted((r.i, r["__run"]) for r in placed.collect())
+    runs = [run for _, run in rows]
+    assert runs == sorted(runs) and runs[0] == 0 and set(runs) == set(range(17))
+
+
+def test_checksums_add_up_longs(spark):
+    from quarterglass.sources.fingerprints import content_digest
+
+    frame = spark.range(1_000).select("id", F.col("id").cast("string").alias("text"))
+    digest = {r.column: r for r in content_digest(frame).collect()}
+    expected = sum(int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) for i in range(1_000))
+    assert digest["id"].checksum == digest["text"].checksum == str(expected)
+    assert _optimized(content_digest(frame)).count("as bigint)) as decimal(20,0))") == 4  # longs are summed, sums become decimals
