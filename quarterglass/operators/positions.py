@@ -19,7 +19,10 @@ def in_runs(frame: DataFrame, order: Sequence[str], runs: int) -> DataFrame:
     drawn = frame.select(key.alias("k")).withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(runs * 32)
     every = F.filter(F.sort_array(F.collect_list("k")), lambda _, i: i % 32 == 16)  # from sample to splitters: every 32nd key
     splitters = drawn.agg(every.alias("s")).scalar()
-    return frame.withColumn("__s", splitters).withColumn("__run", F.size(F.filter("__s", lambda s: s <= key))).drop("__s")
+    # splitters are in order, so their number up to the key is found by halving: one comparison per power of two
+    steps = F.array(*[F.lit(1 << k) for k in range(runs.bit_length(), -1, -1)])
+    upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("__s", at + step - 1) <= key, at + step).otherwise(at))
+    return frame.withColumn("__s", splitters).withColumn("__run", upto).drop("__s")
 
 
 def with_position(frame: DataFrame, order: Sequence[str], runs: int = 64, name: str = "position") -> DataFrame:
