@@ -28,13 +28,16 @@ def content_digest(frame: DataFrame) -> DataFrame:
     lines = []
     for field in frame.schema.fields:
         text = canonical(field.name, field.dataType)
-        piece = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+        digest = F.md5(text.cast("binary"))
+        # 24 bits at a time: sums of longs stay exact over 2 ** 39 rows
+        high, low = (F.sum(F.conv(F.substring(digest, at, 6), 16, 10).cast("long")).cast("decimal(20,0)") for at in (1, 7))
+        checksum = high * F.lit(2**24) + low
         lines.append(
             F.struct(
                 F.lit(field.name).alias("column"),
                 F.count(F.lit(1)).alias("n_rows"),
                 F.count(text).alias("n_values"),
-                F.coalesce(F.sum(piece), F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"),
+                F.coalesce(checksum, F.lit(0)).cast("decimal(38,0)").cast("string").alias("checksum"),
             )
         )
     return frame.agg(F.array(*lines).alias("r")).selectExpr("inline(r)")
