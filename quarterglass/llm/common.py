@@ -61,8 +61,9 @@ def share(spark: SparkSession, thing: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
 
 
-def rows_where(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
-    """Rows of ``docs``, all columns kept, by a verdict on each row's own text; ``verdicts()`` gives a task's function of it."""
+def rows_where(docs: DataFrame, text_col: str, verdicts, together: int = 1) -> DataFrame:
+    """Rows of ``docs``, all columns kept, by a verdict on each row's own text; ``verdicts()`` gives a task's function from
+    ``together`` texts at most to theirs."""
     at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches):
@@ -70,7 +71,8 @@ def rows_where(docs: DataFrame, text_col: str, verdicts) -> DataFrame:
 
         keep = verdicts()
         for batch in batches:
-            yield batch.filter(pa.array([keep(text.as_py()) for text in batch.column(at)], pa.bool_()))
+            parts = [batch.column(at).slice(first, together) for first in range(0, len(batch), together)]
+            yield batch.filter(pa.array([kept for part in parts for kept in keep([text.as_py() for text in part])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -262,7 +262,7 @@ def decontaminate(
     def verdicts(index):
         def task():
             items, memo = pickle.loads(index.value), word_hashes()
-            return lambda text: not items.find(hashed(terms_of(text), memo), threshold)
+            return lambda texts: [not items.find(hashed(terms_of(text), memo), threshold) for text in texts]
 
         return task
 

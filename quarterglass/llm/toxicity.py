@@ -3,8 +3,10 @@
 The examples are a bounded sample of the labelled rows. Terms are all words of the examples, and those beginnings of words
 whose document frequency differs between the labels beyond chance; document frequencies are those of all documents. Words
 that differ so weigh in full, all others by ``OTHER``: none is left out, and words that no example has are in the length of
-a text's vector. Postings are in blocks of examples with the largest weight of each block; blocks are visited by the bound
-that follows from these until none can hold a nearer example, so what is found are the exact nearest ones.
+a text's vector. The terms of most examples, whose lists would be the longest, are columns of a matrix that several texts are
+multiplied with at once; all others have inverted lists. Their postings are in blocks of examples with the largest weight of
+each block; blocks are visited by the bound that follows from these and the matrix until none can hold a nearer example, so
+what is found are the exact nearest ones.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ _TERM = re.compile(r"\w+")
 OTHER = 0.1
 #: Lengths of the word beginnings that are terms beside the words.
 BEGINNINGS = (4, 5, 6)
+#: Texts that are searched together, the number of their terms from which fewer are, and those whose lists are read together.
+TOGETHER, MOST_TERMS, FEW = 64, 50_000, 8
 
 
 def word_terms(word: str) -> list[str]:
@@ -86,7 +90,7 @@ class Examples:
     examples are the corpus.
     """
 
-    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, frequencies=None):
+    def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, frequencies=None, columns: int = 512):
         self.k, self.block = k, block
         y = np.array([label for _, _, label in rows], int)
         bags = [Counter(_TERM.findall(text.lower())) for _, text, _ in rows]
@@ -124,6 +128,13 @@ class Examples:
         by_term = np.lexsort((places, of))
         of, self.docs, self.values = of[by_term], places[by_term], values[by_term]
         self.blocks = -(-len(order) // block)
+        common = np.argsort(-np.bincount(of, minlength=len(terms)), kind="stable")[:columns]
+        self.column = np.full(len(terms), -1)  # of the matrix; -1: the term has a list
+        self.column[common] = np.arange(len(common))
+        inside = self.column[of] >= 0
+        self.matrix = np.zeros((len(common), self.blocks * block))
+        self.matrix[self.column[of[inside]], self.docs[inside]] = self.values[inside]
+        of, self.docs, self.values = of[~inside], self.docs[~inside], self.values[~inside]
         # A term's postings in one block of examples are one entry: its block, its largest weight, its first posting.
         entry = np.flatnonzero(np.diff(of * max(1, self.blocks) + self.docs // block, prepend=-1))
         self.entry_block = self.docs[entry] // block
@@ -132,7 +143,11 @@ class Examples:
         self.first_entry = np.searchsorted(of[entry], np.arange(len(terms) + 1))
 
         self.a, self.b = 1.0, 0.0
-        raw = np.array([self.vote(*self.nearest(*vectors[d], skip=place)) for place, d in enumerate(order)])
+        found = []
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            found += self.nearest_of([vectors[d] for d in some], np.arange(at, at + len(some)))
+        raw = np.array([self.vote(*own) for own in found])
         if len(raw):
             self.a, self.b = platt(logit(raw), self.label.astype(float), self.weight)
 
@@ -143,50 +158,62 @@ class Examples:
         other = (1.0 + np.log(unknown)) * self.rare
         return terms, w / np.sqrt(max(1e-300, w @ w + other @ other))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a term in common, ties by place; exact.
+    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest examples with a term in common, ties by place; exact."""
+        return self.nearest_of([(terms, weights)])[0]
 
-        The blocks of the highest bounds are scored first, then all others whose bound reaches the k-th best.
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each vector, of TOGETHER at most, without the example at its place in ``skip``.
+
+        The lists are read in the blocks of the highest bounds first, then in all others whose bound reaches the k-th best.
         """
-        first, end = self.first_entry[terms], self.first_entry[terms + 1]
-        entries, each = _ranges(first, end - first), np.repeat(weights, end - first)
-        block, most = self.entry_block[entries], self.entry_most[entries]
-        bound = np.bincount(block, each * most, self.blocks)
-        lead = np.zeros(len(bound), bool)
-        lead[np.argsort(-bound, kind="stable")[:4]] = True
-        inside = np.flatnonzero(lead[block])
-        scores = self._scores(entries[inside], each[inside])
-        places, cosines = self._best(scores, skip)
-        least = cosines[self.k - 1] - 1e-9 if len(cosines) >= self.k else 0.0
-        more = ~lead & (bound > 0) & (bound >= least)
-        if more.sum() > self.blocks // 4:  # whole lists are read faster than many of their blocks
-            at = list(zip(self.entry_at[first].tolist(), self.entry_at[end].tolist(), strict=True))
-            docs, values = np.concatenate([self.docs[a:b] for a, b in at]), np.concatenate([self.values[a:b] for a, b in at])
-            values *= np.repeat(weights, [b - a for a, b in at])
-            places, cosines = self._best(np.bincount(docs, values, len(self.ids)), skip)
-        elif more.any():
-            inside = np.flatnonzero(more[block])
-            places, cosines = self._best(scores + self._scores(entries[inside], each[inside]), skip)
-        return places[: self.k], cosines[: self.k]
-
-    def _scores(self, entries: np.ndarray, each: np.ndarray) -> np.ndarray:
-        """The products of the postings of some entries, summed by example."""
-        first = self.entry_at[entries]
-        sizes = self.entry_at[entries + 1] - first
-        at = _ranges(first, sizes)
-        return np.bincount(self.docs[at], np.repeat(each, sizes) * self.values[at], len(self.ids))
-
-    def _best(self, scores: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scored examples, nearest first."""
-        if skip >= 0:
-            scores[skip] = 0.0
-        if len(scores) > self.k:  # the k-th best score decides who has to be ordered
-            hit = np.flatnonzero(scores >= max(1e-12, np.partition(scores, -self.k)[-self.k] - 1e-11))
-        else:
-            hit = np.flatnonzero(scores > 0)
-        found = np.round(scores[hit], 12)
-        order = np.lexsort((hit, -found))
-        return hit[order], found[order]
+        row = np.repeat(np.arange(len(vectors)), [len(terms) for terms, _ in vectors])
+        terms, weights = (np.concatenate(parts) for parts in zip(*vectors, strict=True))
+        column = self.column[terms]
+        inside, listed = column >= 0, column < 0
+        probe = np.zeros((TOGETHER, len(self.matrix)))  # of one shape, so that a text's sums don't depend on its neighbours
+        probe[row[inside], column[inside]] = weights[inside]
+        scores = (probe @ self.matrix)[: len(vectors)]
+        row, terms, weights, out = row[listed], terms[listed], weights[listed], []
+        for at in range(0, len(vectors), FEW):  # arrays of lists stay small
+            a, b = np.searchsorted(row, (at, at + FEW)).tolist()
+            out += self._by_lists(scores[at : at + FEW], row[a:b] - at, terms[a:b], weights[a:b], None if skip is None else skip[at : at + FEW])
+        return out
+
+    def _by_lists(self, scores: np.ndarray, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, skip: np.ndarray | None) -> list:
+        """``nearest_of`` of rows whose products with the matrix are in ``scores`` and whose other terms are given by row."""
+        n, width = scores.shape
+        scores = scores.ravel()
+        first, sizes = self.first_entry[terms], self.first_entry[terms + 1] - self.first_entry[terms]
+        entries, each = _ranges(first, sizes), np.repeat(weights, sizes)
+        cell = np.repeat(row * self.blocks, sizes) + self.entry_block[entries]
+        bound = scores.reshape(-1, self.block).max(axis=1) + np.bincount(cell, each * self.entry_most[entries], n * self.blocks)
+        ahead = min(4, self.blocks)
+        lead = np.argpartition(-bound.reshape(n, self.blocks), ahead - 1, axis=1)[:, :ahead] + np.arange(n)[:, None] * self.blocks
+        read = np.zeros(len(bound), bool)
+        read[lead.ravel()] = True
+
+        def read_lists(cells: np.ndarray) -> None:
+            at = np.flatnonzero(cells[cell])
+            first, base = self.entry_at[entries[at]], cell[at] // self.blocks * width
+            sizes = self.entry_at[entries[at] + 1] - first
+            postings = _ranges(first, sizes)
+            places = np.repeat(base, sizes) + self.docs[postings]
+            scores[:] += np.bincount(places, np.repeat(each[at], sizes) * self.values[postings], len(scores))
+            if skip is not None:
+                scores[np.arange(n) * width + skip] = 0.0
+
+        read_lists(read)
+        best = scores.reshape(-1, self.block)[lead].reshape(n, -1)
+        least = np.partition(best, -self.k, axis=1)[:, -self.k] if best.shape[1] >= self.k else np.zeros(n)
+        more = (bound.reshape(n, -1) >= least[:, None] - 1e-9).ravel() & (bound > 0) & ~read
+        if more.any():
+            read_lists(more)
+        hit = np.flatnonzero(scores.reshape(n, width) >= np.maximum(1e-12, least - 1e-11)[:, None])
+        row, place, cosine = hit // width, hit % width, np.round(scores[hit], 12)
+        order = np.lexsort((place, -cosine, row))
+        ends = np.searchsorted(row, np.arange(n + 1)).tolist()
+        return [(place[own], cosine[own]) for own in (order[a : min(a + self.k, b)] for a, b in zip(ends[:-1], ends[1:], strict=True))]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic votes; an example's vote counts by its nearness and by the rows that it stands for, beside one vote
@@ -194,20 +221,27 @@ class Examples:
         w = self.weight[places] * cosines / (1.05 - np.minimum(cosines, 1.0))
         return float(((w * self.label[places]).sum() + 0.1 * self.prior) / (w.sum() + 0.1))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray, unknown: np.ndarray, evidence: int = 5) -> tuple[float, list[int]]:
-        terms, weights = self.vector(terms, counts, unknown)
-        if not len(terms) or not len(self.ids):
-            return self.blank, []
-        places, cosines = self.nearest(terms, weights)
-        raw = self.vote(places, cosines)
-        return float(sigmoid(self.a * logit(np.array(raw)) + self.b)), self.ids[places[:evidence]].tolist()
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], evidence: int = 5) -> list[tuple[float, list[int]]]:
+        """(score, ids of the nearest examples) of texts as ``counter`` gives them."""
+        out = [(self.blank, [])] * len(texts)
+        known = [i for i, (terms, _, _) in enumerate(texts) if len(terms)] if len(self.ids) else []
+        sizes = np.cumsum([len(texts[i][0]) for i in known])
+        at = 0
+        while at < len(known):
+            room = int(np.searchsorted(sizes, MOST_TERMS + (sizes[at - 1] if at else 0), side="right")) - at
+            some = known[at : at + min(TOGETHER, max(1, room))]
+            at += len(some)
+            for i, (places, cosines) in zip(some, self.nearest_of([self.vector(*texts[i]) for i in some]), strict=True):
+                raw = self.vote(places, cosines)
+                out[i] = (float(sigmoid(self.a * logit(np.array(raw)) + self.b)), self.ids[places[:evidence]].tolist())
+        return out
 
     def counter(self):
         """text -> (terms of the index, their counts, counts of the words that no example has)."""
         return term_counter(self.terms)
 
     def of_text(self, text: str) -> tuple[float, list[int]]:
-        return self.score(*self.counter()(text))
+        return self.score([self.counter()(text)])[0]
 
 
 def _document_frequencies(shared):
@@ -249,11 +283,10 @@ def _score(shared):
         examples = pickle.loads(shared.value)
         count = examples.counter()
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch.column("text"):
-                score, nearest = examples.score(*count(text.as_py() or ""))
-                scores.append(score)
-                evidence.append(nearest)
+            found = []
+            for at in range(0, len(batch), TOGETHER):
+                found += examples.score([count(text.as_py() or "") for text in batch.column("text").slice(at, TOGETHER)])
+            scores, evidence = [score for score, _ in found], [nearest for _, nearest in found]
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -287,6 +320,6 @@ def without_toxic(
     def verdicts():
         examples = pickle.loads(shared.value)
         count = examples.counter()
-        return lambda text: examples.score(*count(text or ""))[0] < 0.5
+        return lambda texts: [score < 0.5 for score, _ in examples.score([count(text or "") for text in texts])]
 
-    return rows_where(docs, text_col, verdicts)
+    return rows_where(docs, text_col, verdicts, TOGETHER)

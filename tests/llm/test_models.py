@@ -44,6 +44,25 @@ def test_nearest_are_those_of_a_full_scan():
         assert np.allclose(found, cosine[expected], atol=1e-9) and np.allclose(cosine[places], cosine[expected], atol=1e-9)
 
 
+def test_matrix_and_lists_find_the_same():
+    """Whichever terms are in the matrix and whichever texts are searched together, also with an example left out."""
+    rows, plain = examples()
+    texts = [text for _, text, _ in rows[:100]] + ["", "unseen", "w1", "vile vile w2"]
+    counted = [plain.counter()(text) for text in texts]
+    vectors = [plain.vector(*c) for c in counted if len(c[0])][: X.TOGETHER]
+    skip = np.arange(len(vectors))
+    alone, apart = [plain.nearest(*v) for v in vectors], plain.nearest_of(vectors, skip)
+    assert all(place not in own.tolist() for place, (own, _) in zip(skip.tolist(), apart, strict=True))
+    for columns in (0, 40):
+        index = X.Examples(rows, {0: 300, 1: 100}, k=7, block=16, columns=columns)
+        assert len(index.matrix) == columns and len(index.docs)
+        for found, expected in ((index.nearest_of(vectors), alone), (index.nearest_of(vectors, skip), apart)):
+            for (places, cosines), (own, exact) in zip(found, expected, strict=True):
+                assert np.allclose(cosines, exact, atol=1e-11) and len(places) == len(own)
+        scores = index.score(counted)
+        assert np.allclose([s for s, _ in scores], [plain.score([c])[0][0] for c in counted], atol=1e-9) and scores[100] == (plain.blank, [])
+
+
 def test_cosines_are_those_of_whole_texts():
     """TF-IDF cosine by hand over all words of both texts and the beginnings that tell labels apart."""
     rows, index = examples()
