@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need pyarrow, not this package
+
 # The key sets the duplicate report looks at.
 KEY_SETS = (("symbol", "period_key"), ("symbol", "fiscal_period_end_date"), ("KEY",))
 
@@ -58,3 +64,64 @@ def require_unique(panel: DataFrame, keys: Sequence[str] = ("symbol", "q_ord"))
     if found:
         examples = [tuple(row[k] for k in keys) for row in found]
         raise ValueError(f"rows share {tuple(keys)}: {examples}")
+
+
+def _packed_keys(batches: Iterator[pa.RecordBatch], rows: int = 131_072) -> Iterator[pa.RecordBatch]:
+    """Pieces of (bucket, key, b, a) rows, summed by key, as a row of arrays per bucket."""
+    held, n = [], 0
+
+    def handed_on() -> Iterator[pa.RecordBatch]:
+        by_key = pa.Table.from_batches(held).group_by(["bucket", "key"], use_threads=False).aggregate([("b", "sum"), ("a", "sum")])
+        by_bucket = by_key.group_by("bucket", use_threads=False).aggregate([("key", "list"), ("b_sum", "list"), ("a_sum", "list")])
+        yield from by_bucket.select(["bucket", "key_list", "b_sum_list", "a_sum_list"]).rename_columns(["bucket", "key", "b", "a"]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield from handed_on()
+            held, n = [], 0
+    if n:
+        yield from handed_on()
+
+
+def _compared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rows_before, lost, added) of each bucket of packed keys, which come one after the other."""
+
+    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        flat = pa.table({name: pa.concat_arrays([part.column(i).flatten() for part in parts]) for i, name in ((1, "key"), (2, "b"), (3, "a"))})
+        counts = flat.group_by("key", use_threads=False).aggregate([("b", "sum"), ("a", "sum")])
+        more = pc.subtract(counts["b_sum"], counts["a_sum"])
+        found = (counts["b_sum"], pc.max_element_wise(more, 0), pc.max_element_wise(pc.negate(more), 0))
+        return pa.RecordBatch.from_arrays([pa.array([pc.sum(c).as_py()], pa.int64()) for c in found], ["rows_before", "lost", "added"])
+
+    at, parts = None, []
+    for batch in batches:
+        buckets, first = batch.column(0).to_pylist(), 0
+        while first < len(buckets):
+            if buckets[first] != at:
+                if parts:
+                    yield compared(parts)
+                at, parts = buckets[first], []
+            end = first
+            while end < len(buckets) and buckets[end] == at:
+                end += 1
+            parts.append(batch.slice(first, end - first))
+            first = end
+    if parts:
+        yield compared(parts)
+
+
+def multiset_difference(before: DataFrame, after: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+    """One row: the rows of ``before``, how many of its keys ``after`` has too few of (``lost``) and too many (``added``).
+
+    Tasks sum pieces of rows by key and hand them on in arrays, a row per bucket of keys; buckets are compared one by one,
+    so that no task holds a table of all its keys. Equal NULLs count as equal.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    text = F.col(key).cast("string").alias("key")
+    rows = before.select(text, one.alias("b"), none.alias("a")).unionByName(after.select(text, none.alias("b"), one.alias("a")))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket"), "key", "b", "a")
+    packed = rows.mapInArrow(_packed_keys, "bucket int, key array<string>, b array<long>, a array<long>").repartition("bucket")
+    found = packed.sortWithinPartitions("bucket").mapInArrow(_compared_keys, "rows_before long, lost long, added long")
+    return found.agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("rows_before", "lost", "added")])

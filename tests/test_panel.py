@@ -5,12 +5,13 @@ import inspect
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarterglass.operators import membership, sequence, signals
 from quarterglass.operators.timing import as_of_table
-from quarterglass.operators.uniqueness import duplicated_rows, duplicates_report, require_unique
+from quarterglass.operators.uniqueness import _packed_keys, duplicated_rows, duplicates_report, multiset_difference, require_unique
 from quarterglass.plans.research_panel import build_research_panel, signal_panel
 from quarterglass.settings import DEFAULTS as S
 from quarterglass.settings import PanelSettings, TimingRule, TrendRule
@@ -128,3 +129,19 @@ def test_plan_has_one_exchange_and_one_sort_by_entity(spark, ranges, panel, sf_d
     plan = signal_panel(stored, TP.ranges(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 1 and plan.count("Sort [symbol") == 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_multiset_difference(spark):
+    """Repeats, NULLs and keys of one side alone, whatever the pieces and buckets; a key that is lost is not made up for by another."""
+    before = ["a"] * 5 + ["b", "c", None, None] + [f"k{i}" for i in range(300)]
+    after = ["a"] * 3 + ["b", "b", "d", None] + [f"k{i}" for i in range(300)]
+    frames = [spark.createDataFrame([(k,) for k in keys], "KEY string").repartition(n) for keys, n in ((before, 5), (after, 3))]
+    for buckets in (1, 7, 1024):
+        assert [tuple(r) for r in multiset_difference(*frames, "KEY", buckets).collect()] == [(309, 4, 2)]
+    assert [tuple(r) for r in multiset_difference(frames[0].limit(0), frames[1].limit(0), "KEY").collect()] == [(0, 0, 0)]
+    # tasks hold no table of all keys: sums are by piece, and the only exchange by key is of buckets
+    plan = multiset_difference(*frames, "KEY")._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[KEY" not in plan and "hashpartitioning(bucket" in plan
+    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([1, 0, 1], pa.int32()), "key": ["x", "y", "x"], "b": [1, 1, 1], "a": [0, 0, 0]})
+    pieces = [b.to_pylist() for b in _packed_keys(iter([batch, batch]), rows=3)]
+    assert len(pieces) == 2 and {"bucket": 1, "key": ["x"], "b": [2], "a": [0]} in pieces[0]
