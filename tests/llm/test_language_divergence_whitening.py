@@ -244,6 +244,24 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert again == {r.doc_id: r.lang_pred for r in found}
 
 
+def test_more_n_grams_than_places_change_nothing(spark, sf_dir):
+    """Models that stay tables use every n-gram, as the arrays do."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    arrays, tables = L.train(docs, order=3), L.train(docs, order=3, places=50)
+    assert isinstance(arrays, L.Models) and isinstance(tables, L.Stored)
+    assert tables.grams.selectExpr("sum(size(filter(shares, x -> x > 0)))").first()[0] == sum(len(g.keys) for t in arrays.tables for g, _ in t)
+    assert {r.lang_pred: r for r in L.identify(docs, arrays).collect()}.keys() - {"und"}
+    expected = {r.doc_id: r for r in L.identify(docs, arrays).collect()}
+    found = L.identify(docs, tables).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        own = expected[r.doc_id]
+        assert (r.lang_pred, r.held_out, r.n_signs) == (own.lang_pred, own.held_out, own.n_signs)
+        assert math.isclose(r.score, own.score, abs_tol=1e-4) and math.isclose(r.entropy or 0, own.entropy or 0, rel_tol=1e-4)
+    few = L.text_sums(docs.selectExpr("doc_id", "false AS held_out", "text"), tables, head=20)
+    assert all(math.isclose(min(r.sums) / max(1, r.n_signs), expected[r.doc_id].entropy or 0, rel_tol=1e-4) for r in few.collect())
+
+
 def test_rejection_of_an_unknown_language(spark):
     rng = np.random.default_rng(2)
     make = lambda parts: " ".join("".join(rng.choice(parts, 3)) for _ in range(60))
