@@ -58,7 +58,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def share(spark: SparkSession, thing: object) -> Broadcast:
     """A broadcast of an object with its class pickled by value; tasks get it back by ``pickle.loads(shared.value)``."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    pickled = cloudpickle.dumps(thing)
+    del thing  # an object made for this call is not held beside its bytes
+    return spark.sparkContext.broadcast(pickled)
 
 
 def rows_where(docs: DataFrame, text_col: str, verdicts, together: int = 1) -> DataFrame:

@@ -47,6 +47,46 @@ def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return out
 
 
+def _vocabulary(texts: list[str], y: np.ndarray, by_chance: float) -> tuple[list[str], set[str], np.ndarray]:
+    """(terms in order, those that differ between the labels, the document frequency of each term among the texts).
+
+    Texts are held as numbers of their words, and beginnings are counted one length after the other: as tables of words,
+    texts and beginnings would be several hundred MB in the driver.
+    """
+    number: dict[str, int] = {}
+    bags = []
+    for text in texts:
+        bag = set(_TERM.findall(text.lower()))
+        bags.append(np.fromiter((number.setdefault(word, len(number)) for word in bag), np.int32, len(bag)))
+
+    def seen(of: np.ndarray | None, size: int) -> np.ndarray:
+        """Documents of label 0 and of label 1 with each word, or with each number that ``of`` gives for words; -1: none."""
+        n = np.zeros((2, size), np.int64)
+        for bag, label in zip(bags, y.tolist(), strict=True):
+            own = bag if of is None else np.unique(of[bag])
+            n[label, own[own >= 0]] += 1
+        return n
+
+    words = seen(None, len(number))
+    strings, counts = [np.array(list(number), object)], [words]
+    for length in BEGINNINGS:
+        begun: dict[str, int] = {}
+        of = np.fromiter((begun.setdefault("^" + word[:length], len(begun)) if len(word) > length else -1 for word in number), np.int32, len(number))
+        n = seen(of, len(begun))
+        often = n.sum(axis=0) >= 3
+        strings.append(np.array(list(begun), object)[often])
+        counts.append(n[:, often])
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    strings, counts = np.concatenate(strings), np.concatenate(counts, axis=1)
+    common = np.flatnonzero(counts.sum(axis=0) >= 3) if n1 and n0 else np.zeros(0, int)
+    gain = _g2(counts[1, common].astype(float), counts[0, common].astype(float), n1, n0)
+    telling = common[gain >= 2 * np.log(max(1.0, len(common) / by_chance))]  # about ``by_chance`` terms pass that differ by chance
+    often = dict(zip(strings[telling].tolist(), counts[:, telling].sum(axis=0).tolist(), strict=True))
+    terms = sorted(number.keys() | often.keys())
+    total = words.sum(axis=0)
+    return terms, set(often), np.array([total[number[t]] if t in number else often[t] for t in terms], float)
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -93,25 +133,20 @@ class Examples:
     def __init__(self, rows: list[tuple[int, str, int]], totals: dict[int, int], k: int = 15, block: int = 64, by_chance: float = 1.0, frequencies=None, columns: int = 512):
         self.k, self.block = k, block
         y = np.array([label for _, _, label in rows], int)
-        bags = [Counter(_TERM.findall(text.lower())) for _, text, _ in rows]
-        df = (Counter(), Counter())
-        for bag, label in zip(bags, y, strict=True):
-            df[label].update({t for word in bag for t in word_terms(word)})
-        n1, n0 = int(y.sum()), int(len(y) - y.sum())
-        common = [t for t in df[1].keys() | df[0].keys() if df[1][t] + df[0][t] >= 3] if n1 and n0 else []
-        gain = _g2(np.array([df[1][t] for t in common], float), np.array([df[0][t] for t in common], float), n1, n0)
-        least = 2 * np.log(max(1.0, len(common) / by_chance))  # about ``by_chance`` terms pass that differ by chance
-        telling = {t for t, g in zip(common, gain, strict=True) if g >= least}
-        terms = sorted({word for bag in bags for word in bag} | telling)
+        terms, telling, often = _vocabulary([text for _, text, _ in rows], y, by_chance)
         self.terms = {t: i for i, t in enumerate(terms)}
-        n, often = frequencies(self.terms) if frequencies else (len(rows), np.array([df[0][t] + df[1][t] for t in terms], float))
+        n, often = frequencies(self.terms) if frequencies else (len(rows), often)
         self.rare = OTHER * (1.0 + np.log(max(1, n)))  # of words that no example has
         share = np.array([1.0 if t in telling else OTHER for t in terms])
         self.idf = share * (1.0 + np.log(np.maximum(1.0, n / np.maximum(1.0, often))))
 
         count = self.counter()
         weight = class_weights(y, totals)
-        vectors = [self.vector(*count(text)) for _, text, _ in rows]
+        vectors = []
+        for _, text, _ in rows:
+            own, weights = self.vector(*count(text))
+            vectors.append((own.astype(np.int32), weights))
+        del count  # its words
         blank = np.array([not len(v[0]) for v in vectors], bool)
         toxic, total = float((weight * y)[blank].sum()), float(weight[blank].sum())
         whole = float((weight * y).sum() / weight.sum()) if len(y) else 0.0
@@ -121,36 +156,60 @@ class Examples:
         order = sorted(np.flatnonzero(~blank).tolist(), key=lambda d: (int(vectors[d][0][np.argmax(vectors[d][1])]), d))
         self.ids = np.array([rows[d][0] for d in order], np.int64)
         self.label, self.weight = y[order] if order else np.zeros(0, int), weight[order] if order else np.zeros(0)
-        sizes = np.array([len(vectors[d][0]) for d in order], np.int64)
-        of = np.concatenate([vectors[d][0] for d in order]) if order else np.zeros(0, np.int64)
-        values = np.concatenate([vectors[d][1] for d in order]) if order else np.zeros(0)
-        places = np.repeat(np.arange(len(order)), sizes)
-        by_term = np.lexsort((places, of))
-        of, self.docs, self.values = of[by_term], places[by_term], values[by_term]
-        self.blocks = -(-len(order) // block)
-        common = np.argsort(-np.bincount(of, minlength=len(terms)), kind="stable")[:columns]
-        self.column = np.full(len(terms), -1)  # of the matrix; -1: the term has a list
-        self.column[common] = np.arange(len(common))
-        inside = self.column[of] >= 0
-        self.matrix = np.zeros((len(common), self.blocks * block))
-        self.matrix[self.column[of[inside]], self.docs[inside]] = self.values[inside]
-        of, self.docs, self.values = of[~inside], self.docs[~inside], self.values[~inside]
-        # A term's postings in one block of examples are one entry: its block, its largest weight, its first posting.
-        entry = np.flatnonzero(np.diff(of * max(1, self.blocks) + self.docs // block, prepend=-1))
-        self.entry_block = self.docs[entry] // block
-        self.entry_most = np.maximum.reduceat(self.values, entry) if len(entry) else np.zeros(0)
-        self.entry_at = np.append(entry, len(of))
-        self.first_entry = np.searchsorted(of[entry], np.arange(len(terms) + 1))
+        vectors = [vectors[d] for d in order]
+        self._index(vectors, len(terms), columns)
 
         self.a, self.b = 1.0, 0.0
         found = []
         for at in range(0, len(order), TOGETHER):
-            some = order[at : at + TOGETHER]
-            found += self.nearest_of([vectors[d] for d in some], np.arange(at, at + len(some)))
+            some = vectors[at : at + TOGETHER]
+            found += self.nearest_of(some, np.arange(at, at + len(some)))
         raw = np.array([self.vote(*own) for own in found])
         if len(raw):
             self.a, self.b = platt(logit(raw), self.label.astype(float), self.weight)
 
+    def _index(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, columns: int) -> None:
+        """The matrix and the lists; numbers of 32 bits, since the index is in the driver, in the broadcast and in each task."""
+        of = np.concatenate([terms for terms, _ in vectors]) if vectors else np.zeros(0, np.int32)
+        places = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(terms) for terms, _ in vectors])
+        by_term = np.argsort(of, kind="stable")  # and by place, as they come
+        of, docs = of[by_term], places[by_term]
+        values = np.concatenate([weights for _, weights in vectors])[by_term] if vectors else np.zeros(0)
+        del places, by_term
+        self.blocks = -(-len(vectors) // self.block)
+        common = np.argsort(-np.bincount(of, minlength=n_terms), kind="stable")[:columns]
+        self.column = np.full(n_terms, -1, np.int32)  # of the matrix; -1: the term has a list
+        self.column[common] = np.arange(len(common))
+        inside = self.column[of] >= 0
+        self.matrix = np.zeros((len(common), self.blocks * self.block))
+        self.matrix[self.column[of[inside]], docs[inside]] = values[inside]
+        of, self.docs, self.values = of[~inside], docs[~inside], values[~inside]
+        self._enter(np.searchsorted(of, np.arange(n_terms + 1, dtype=np.int32)))
+
+    def _enter(self, starts: np.ndarray) -> None:
+        """A term's postings in one block of examples are one entry: its block, its largest weight, its first posting. The
+        lists begin at ``starts``."""
+        of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        entry = np.flatnonzero(np.diff(of * max(1, self.blocks) + self.docs // self.block, prepend=-1))
+        self.entry_block = self.docs[entry] // np.int32(self.block)
+        self.entry_most = np.maximum.reduceat(self.values, entry) if len(entry) else np.zeros(0)
+        self.entry_at = np.append(entry, len(of)).astype(np.int32)
+        self.first_entry = np.searchsorted(of[entry], np.arange(len(starts))).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        """What the entries follow from, and the weights of the matrix, most of which is 0: the bytes stay in each worker."""
+        at = np.flatnonzero(self.matrix).astype(np.int32)
+        state = {k: v for k, v in vars(self).items() if k not in ("entry_block", "entry_most", "entry_at", "first_entry", "matrix")}
+        return state | {"sparse": (self.matrix.shape, at, self.matrix.ravel()[at]), "starts": self.entry_at[self.first_entry]}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, weights = state.pop("sparse")
+        starts = state.pop("starts")
+        vars(self).update(state)
+        self.matrix = np.zeros(shape)
+        self.matrix.ravel()[at] = weights
+        self._enter(starts)
+
     def vector(self, terms: np.ndarray, counts: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of (1 + ln tf) * idf, in a vector whose length is 1 with the words that no example has, of the
         counts ``unknown``."""

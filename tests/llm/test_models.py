@@ -2,11 +2,13 @@
 
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from quarterglass.llm import quality as Q
 from quarterglass.llm import toxicity as X
@@ -105,6 +107,31 @@ def test_word_beginnings_count():
     assert index.of_text("") == (index.blank, [])
 
 
+def test_index_takes_few_bytes_in_the_driver():
+    """Bytes for each word of an example: while the documents are counted, at the peak of the build, and as sent to tasks."""
+    rng = np.random.default_rng(7)
+    words = [(rng.random(400) ** 4 * 20000).astype(int).tolist() for _ in range(400)]
+    rows = [(i, " ".join(f"{w * 2654435761 % 2**32:08x}" for w in own), i % 2) for i, own in enumerate(words)]
+    n, held = sum(len(set(own)) for own in words), []
+
+    def frequencies(terms):
+        held.append(tracemalloc.get_traced_memory()[0])
+        return len(rows), np.full(len(terms), 3.0)
+
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        index = X.Examples(rows, {0: 200, 1: 200}, frequencies=frequencies)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    sent = cloudpickle.dumps(index)
+    assert held[0] - before < 60 * n and peak - before < 150 * n and len(sent) < 25 * n
+    again = pickle.loads(sent)
+    assert vars(again).keys() == vars(index).keys() and all(np.array_equal(getattr(again, k), v) for k, v in vars(index).items() if isinstance(v, np.ndarray))
+    assert [again.of_text(text) for _, text, _ in rows[:20]] == [index.of_text(text) for _, text, _ in rows[:20]]
+
+
 def by_id(rows):
     return {r.doc_id: r for r in rows}
 
