@@ -109,9 +109,14 @@ def field_agreement(ours: DataFrame, theirs: DataFrame, fields: list[str], on: l
     """Per field: pairs, correlation, median ratio, median relative deviation, share within 5 %.
 
     Both sides are read once: ratios and deviations of the joined rows travel as packed distinct values, pairs as moments of
-    pieces of the rows, in one shuffle, and every column comes from these.
+    pieces of the rows, in one shuffle, and every column comes from these. The first of ``on`` is the entity: sides that are
+    clustered by it meet on it alone, without another exchange or sort, and the other keys choose among an entity's rows, of
+    which there is one per quarter.
     """
-    joined = ours.select(*on, *fields).join(theirs.select(*on, *[F.col(f).alias(f"o_{f}") for f in fields]), on)
+    other = theirs.select(*[F.col(n).alias(f"o_{n}") for n in (*on, *fields)])
+    same = [F.col(on[0]) == F.col(f"o_{on[0]}")]
+    same += [F.col(n).between(F.col(f"o_{n}"), F.col(f"o_{n}")) for n in on[1:]]  # an equality would ask for a row's own exchange
+    joined = ours.select(*on, *fields).join(other.hint("merge"), same)
     pairs = [(F.col(f).cast("double"), F.col(f"o_{f}").cast("double")) for f in fields]
     measures = [m for a, b in pairs for m in (F.try_divide(a, b), F.abs(F.try_divide(a - b, b)))]
     packed = pack(joined, measures, pairs)

@@ -1,9 +1,11 @@
 """Reports from packed values: exact, and few shuffled rows."""
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarterglass.operators.crosscheck import field_agreement
@@ -46,6 +48,19 @@ def test_field_agreement_shuffles_no_row_per_value(spark):
     assert "MapInArrow" in plan and not [line for line in plan.splitlines() if "Generate posexplode(array(struct(" in line]
 
 
+def test_sides_of_one_entity_meet_without_another_exchange(spark, sf_dir):
+    """Sides dealt by symbol for their windows are joined on it; the quarter only chooses among an entity's rows."""
+    rows = [("a", 1, 1.0), ("a", 2, 4.0), ("a", 3, 9.0), ("b", 1, 2.0), ("b", None, 5.0), (None, 1, 7.0)]
+    ours = spark.createDataFrame(rows, "symbol string, q int, f double")
+    theirs = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 2, 4.0), ("b", 2, 2.0), ("b", None, 5.0), (None, 1, 7.0)], "symbol string, q int, f double")
+    r = field_agreement(ours, theirs, ["f"], ["symbol", "q"]).first()
+    assert (r.field, r.n, r.median_ratio, r.share_within_5pct) == ("f", 3, 1.0, 2 / 3)
+    by_entity = Window.partitionBy("symbol").orderBy("q")
+    linked = [side.withColumn("f", F.col("f") - F.lag("q").over(by_entity)) for side in (ours, theirs)]
+    plan = field_agreement(*linked, ["f"], ["symbol", "q"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [symbol" in plan and not re.search(r"hashpartitioning\(symbol#\d+, q#", plan)
+
+
 def _optimized(frame) -> str:
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
