@@ -9,6 +9,7 @@ from quarterglass.operators.crosscheck import with_prices_by_entity
 from quarterglass.settings import DEFAULTS as S
 from quarterglass.sources import csv_lines as CL
 from quarterglass.sources import panel_text as PT
+from quarterglass.sources import trade_panel as TP
 from quarterglass.sources.sinks import save_clustered, save_table
 
 
@@ -42,6 +43,20 @@ def test_a_file_of_records_is_typed_and_its_copies_go(spark):
     assert [r[0] for r in rescued.collect()] == ["2020Q3_B,B,2020Q3"]
 
 
+def test_copies_are_compared_on_records_of_their_own(spark, sf_dir):
+    """The pass that compares copies deals no links or texts, and finds what the whole records would show."""
+    lines, names = TP.panel_lines(spark, sf_dir)
+    pairs = [n for pair in PT.duplicate_pairs(names) for n in pair]
+    few, own = TP.panel_lines(spark, sf_dir, only=pairs)
+    assert own == pairs
+    found = [{r.duplicate_column: r.identical for r in PT.duplicate_columns(CL.parse_lines(*side)).collect()} for side in ((lines, names), (few, own))]
+    assert found[0] == found[1] == {"market_cap.1": True, "goodwill.1": False}
+    plan = PT.duplicate_columns(CL.parse_lines(few, own))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "p_name" not in plan
+    typed, _ = PT.load_lines(lines, names, S.load, ["market_cap", "goodwill"], (few, own))
+    assert "market_cap.1" not in typed.columns and "goodwill.1" in typed.columns
+
+
 def test_appended_rows_keep_all_columns(spark):
     one, two = spark.createDataFrame([(1, "a")], "i int, s string"), spark.createDataFrame([("b", 2.0)], "s string, d double")
     assert [tuple(r) for r in CL.append_rows([one, two, one]).orderBy("s", "i").collect()] == [(1, "a", None), (1, "a", None), (None, "b", 2.0)]
