@@ -131,6 +131,17 @@ def test_plan_has_one_exchange_and_one_sort_by_entity(spark, ranges, panel, sf_d
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_no_table_of_all_entities_goes_to_every_task(spark, sf_dir):
+    """Tables with rows per entity are dealt, however small their files are; the panel is still dealt and sorted once."""
+    from quarterglass.sources import trade_panel as TP
+
+    statements = TP.raw_statements(spark, sf_dir)
+    panel = signal_panel(TP.panel(spark, sf_dir), TP.ranges(spark, sf_dir))
+    for frame in (statements, statements.select("symbol", "ebit"), panel):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_multiset_difference(spark):
     """Repeats, NULLs and keys of one side alone, whatever the pieces and buckets; a key that is lost is not made up for by another."""
     before = ["a"] * 5 + ["b", "c", None, None] + [f"k{i}" for i in range(300)]
