@@ -38,6 +38,24 @@ def test_packed_values_give_exact_facts_and_quantiles(spark):
     assert moments[1].n == len(b) and np.isnan(moments[1].correlation)
 
 
+def test_buckets_do_not_depend_on_the_order_of_a_tasks_rows(spark):
+    """A task that runs again gets its rows in another order and cuts other pieces; what each bucket holds stays the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = []
+        for order in (F.col("id"), -F.col("id")):
+            rows = spark.range(0, 2_000, 1, 4).withColumn("a", F.when(F.col("id") % 9 > 0, F.col("id") / 7)).sortWithinPartitions(order)
+            packed = pack(rows, [F.col("a")], [(F.col("a"), F.col("id").cast("double"))], rows=200)
+            held = {}
+            for r in packed.collect():
+                n = np.frombuffer(r["items"], np.float64)[0] if r.fid < 0 else np.frombuffer(r["times"], np.uint32).sum()
+                held[r.fid, r.bucket] = held.get((r.fid, r.bucket), 0) + int(n)
+            found.append(held)
+        assert found[0] == found[1] and len([fid for fid, _ in found[0] if fid < 0]) == 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_field_agreement_shuffles_no_row_per_value(spark):
     """The pairs of a field travel as moments and packed distinct ratios, not as a row each."""
     fields = [f"f{i}" for i in range(20)]
